@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("term",)
+_MODULES = ("term", "encode", "pack")
 
 QUERIES: dict = {}
 SQL: dict = {}
