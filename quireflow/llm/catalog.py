@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("term", "encode", "pack", "span")
+_MODULES = ("term", "near", "encode", "pack", "span")
 
 QUERIES: dict = {}
 SQL: dict = {}
