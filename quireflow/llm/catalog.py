@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("term", "near", "markup", "encode", "pack", "span")
+_MODULES = ("term", "split", "near", "markup", "encode", "pack", "span")
 
 QUERIES: dict = {}
 SQL: dict = {}
