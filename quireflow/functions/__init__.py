@@ -1 +1 @@
-
+"""Column functions on text, ids and labels."""
