@@ -23,8 +23,9 @@ def postings(records: DataFrame, key: str, weights: dict[str, float], analyze=No
     """key, term, tf (weighted), length (unweighted tokens of the record): one row per record and term."""
     words = analyze or (lambda c: T.tokens(c, T.PLAIN_TOKEN))
     parts = [_weighted(words(F.col(c)), w) for c, w in weights.items()]
-    every = F.concat(*parts)
-    rows = records.select(key, F.size(every).alias("length"), F.explode(every).alias("t"))
+    # Tokenized below the generator, which would else repeat it for each row it makes.
+    every = records.select(key, F.concat(*parts).alias("ts"))
+    rows = every.select(key, F.size("ts").alias("length"), F.explode("ts").alias("t"))
     return rows.groupBy(key, "length", F.col("t.term").alias("term")).agg(F.sum("t.w").alias("tf"))
 
 
