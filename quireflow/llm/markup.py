@@ -59,7 +59,7 @@ _WIKI = re.compile(
 _LATEX = re.compile(
     r"""(?mx)
     \\(?:begin|end)\{[A-Za-z]+\*?\}                               # environment
-  | (?<![\w:\\/])\\[A-Za-z]{2,}\*?(?=[\[{])                         # command
+  | (?<![:\\/])\\[A-Za-z]{2,}\*?(?=[\[{])                           # command
   | (?<![\w:\\/])\\(?:item|hline|newline|par|noindent|centering|maketitle|tableofcontents|toprule|midrule|bottomrule|LaTeX|TeX|ldots|dots|newpage|clearpage)(?![\w\\])
   | \\\((?=[^\n]*?\\\))  | \\\[(?=[\s\S]*?\\\])                   # formula
   | \$\$[^$]+\$\$
@@ -329,7 +329,7 @@ def _from_latex(text: str) -> str:
     text = re.sub(r"\\SI\{([^{}]*)\}\{([^{}]*)\}", lambda m: m[1] + " " + m[2].replace("\\", " ").strip(), text)
     text = re.sub(r"\\(?:label|ref|cite|pageref)\{[^{}]*\}", "", text)
     for _ in range(4):
-        text = re.sub(r"(?<![\w:\\/])\\[A-Za-z]{2,}\*?(?:\[[^\]]*\])?\{([^{}]*)\}", r"\1", text)
+        text = re.sub(r"(?<![:\\/])\\[A-Za-z]{2,}\*?(?:\[[^\]]*\])?\{([^{}]*)\}", r"\1", text)
     text = re.sub(r"(?<![\w:\\/])\\(?:item|hline|newline|par|noindent|centering|maketitle|toprule|midrule|bottomrule|newpage|clearpage)(?![\w\\])\s?", "", text)
     text = re.sub(r"(?<![\w:])\\([%&#$_{}])", r"\1", text)
     text = re.sub(r"(?<=\d)~(?=\S)", " ", text)
