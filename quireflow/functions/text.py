@@ -68,8 +68,10 @@ def words_of(values: Iterable[str]) -> Column:
 
 
 def tokens(text: Column, pattern: str) -> Column:
-    """All matches, extracted first and lowered after, as letters outside ASCII part tokens."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({pattern})"), 1), F.lower)
+    """All matches, extracted first and lowered after, as letters outside ASCII part tokens. No pattern here matches a
+    space, so joining and splitting at spaces lowers all at once, inside generated code."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({pattern})"), 1)
+    return F.array_remove(F.split(F.lower(F.array_join(found, " ")), " "), F.lit(""))
 
 
 def search_terms(query: Column, stopwords: Iterable[str] = TEXT_STOPWORDS) -> Column:
@@ -107,12 +109,12 @@ def stem(token: Column) -> Column:
 
 def answer_terms(text: Column) -> Column:
     """Distinct stems of more than one letter that are no stopwords."""
-    stems = F.transform(tokens(text, JOINED_TOKEN), stem)
-    return F.array_distinct(F.filter(stems, lambda t: ~F.array_contains(words_of(ANSWER_STOPWORDS), t) & (F.length(t) > 1)))
+    stems = F.transform(F.array_distinct(tokens(text, JOINED_TOKEN)), stem)
+    return F.array_except(F.filter(stems, lambda t: F.length(t) > 1), words_of(ANSWER_STOPWORDS))
 
 
 def plain_terms(text: Column, stopwords: Iterable[str], pattern: str = PLAIN_TOKEN) -> Column:
-    return F.array_distinct(F.filter(tokens(text, pattern), lambda t: ~F.array_contains(words_of(stopwords), t) & (F.length(t) > 1)))
+    return F.filter(F.array_except(tokens(text, pattern), words_of(stopwords)), lambda t: F.length(t) > 1)
 
 
 def coverage(wanted: Column, had: Column) -> Column:

@@ -21,30 +21,35 @@ SAFETY_NOTE = "Safety: heed the warning or caution cited above."
 REFUSAL = "The manual's evidence does not support an answer."
 
 
-def evidence_packs(hits: DataFrame, max_evidence: int = 3, score_scale: float = SCORE_SCALE) -> DataFrame:
+def evidence_packs(hits: DataFrame, chunks: DataFrame, questions: DataFrame, max_evidence: int = 3, score_scale: float = SCORE_SCALE) -> DataFrame:
     """The best pieces of evidence of each question, reranked, one a chunk, with citation ids from 1.
 
-    Rows: query_id, question, score, rank and the chunk's columns. Coverage of a question without terms is 0; equal
-    rerank scores keep the retrieval order.
+    hits: query_id, chunk_id, score, rank; chunks and questions with their columns. Terms are taken once a chunk and once
+    a question, before they meet. Coverage of a question without terms is 0; equal rerank scores keep the retrieval order.
     """
-    wanted = T.answer_terms(F.col("question"))
-    df = hits.withColumn("_wanted", wanted).withColumn("_section", T.section_text(F.col("section_path")))
-    cover = T.coverage(F.col("_wanted"), T.answer_terms(F.concat_ws("\n", F.col("_section"), F.col("content"))))
-    section = T.coverage(F.col("_wanted"), T.answer_terms(F.col("_section")))
-    df = df.withColumn("procedure_support", T.supports_procedure(F.col("chunk_type"), F.col("section_path"), F.col("content")))
-    bonus = F.when(T.is_procedural(F.col("question")) & F.col("procedure_support"), BONUS_PROCEDURE).otherwise(0.0)
-    raw = F.least(W_SCORE * F.least(F.col("score") / score_scale, F.lit(1.0)) + W_CONTENT * cover + W_SECTION * section + bonus, F.lit(1.0))
-    df = df.withColumn("_raw", raw).withColumn("query_term_coverage", F.round(cover, 6))
+    section = T.section_text(F.col("section_path"))
+    termed = chunks.select(
+        "chunk_id", "brand", "model", "year", "section_path", "page_nos", "chunk_type", "element_ids",
+        T.answer_terms(F.concat_ws("\n", section, F.col("content"))).alias("_had"), T.answer_terms(section).alias("_had_section"),
+        T.supports_procedure(F.col("chunk_type"), F.col("section_path"), F.col("content")).alias("procedure_support"),
+        T.compact(F.col("content"), CONTENT_LIMIT, "…", collapse=False).alias("content"),
+    )
+    asked = questions.select("query_id", T.answer_terms(F.col("question")).alias("_wanted"), T.is_procedural(F.col("question")).alias("_procedural"))
+    df = hits.select("query_id", "chunk_id", "score", "rank").join(termed, "chunk_id").join(asked, "query_id")
+    df = df.withColumn("_cover", T.coverage(F.col("_wanted"), F.col("_had")))
+    bonus = F.when(F.col("_procedural") & F.col("procedure_support"), BONUS_PROCEDURE).otherwise(0.0)
+    raw = F.least(W_SCORE * F.least(F.col("score") / score_scale, F.lit(1.0)) + W_CONTENT * F.col("_cover") + W_SECTION * T.coverage(F.col("_wanted"), F.col("_had_section")) + bonus, F.lit(1.0))
+    df = df.withColumn("_raw", raw).drop("_wanted", "_had", "_had_section", "_procedural")
     order = [F.desc(F.round("_raw", 9)), F.asc("rank")]
     once = df.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy(*order))).where("_n = 1")
     ranked = once.withColumn("citation_id", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("citation_id") <= max_evidence)
     return (
         ranked.withColumn("rerank_score", F.round("_raw", 6))
-        .withColumn("content", T.compact(F.col("content"), CONTENT_LIMIT, "…", collapse=False))
+        .withColumn("query_term_coverage", F.round("_cover", 6))
         .withColumn("source", T.source_label(F.col("section_path"), F.col("page_nos")))
         .withColumnRenamed("rank", "retrieval_rank")
         .withColumnRenamed("score", "retrieval_score")
-        .drop("_wanted", "_section", "_raw", "_n")
+        .drop("_raw", "_cover", "_n")
     )
 
 
@@ -52,39 +57,44 @@ def has_vehicle_context() -> Column:
     return F.btrim(F.coalesce("doc_id", F.lit(""))) != ""
 
 
-def decisions(questions: DataFrame, packs: DataFrame, min_score: float = MIN_SCORE, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """questions' columns with n_evidence, confidence, reason, status; the first reason that holds counts."""
-    top = packs.where("citation_id = 1").select("query_id", "retrieval_score", "rerank_score", "procedure_support")
-    n = packs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_evidence"))
-    df = questions.join(top, "query_id", "left").join(n, "query_id", "left")
+def _lines(column: str) -> Column:
+    rows = F.array_sort(F.collect_list(F.struct("citation_id", column)))
+    return F.array_join(F.transform(rows, lambda r: F.concat(F.lit("["), r["citation_id"].cast("string"), F.lit("] "), r[column])), "\n")
+
+
+def _decided(questions: DataFrame, packs: DataFrame, min_score: float, min_confidence: float) -> DataFrame:
+    """questions' columns, the decision, and what an answer is made of: one pass over the packs."""
+    top = F.min(F.struct("citation_id", "retrieval_score", "rerank_score", "procedure_support")).alias("_top")
+    body = [_lines("content").alias("_lines"), _lines("source").alias("_sources"), F.max(F.col("chunk_type").isin("warning", "caution")).alias("_safety")]
+    held = packs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_evidence"), top, *body, F.flatten(F.collect_list("element_ids")).alias("cited"))
+    df = questions.join(held, "query_id", "left")
     reason = (
         F.when(~has_vehicle_context(), "needs_vehicle_context")
         .when(F.col("n_evidence").isNull(), "no_retrieval_results")
-        .when(T.is_procedural(F.col("question")) & ~F.col("procedure_support"), "procedure_not_supported")
-        .when((F.col("retrieval_score") < min_score) | (F.col("rerank_score") < min_confidence), "evidence_below_threshold")
+        .when(T.is_procedural(F.col("question")) & ~F.col("_top.procedure_support"), "procedure_not_supported")
+        .when((F.col("_top.retrieval_score") < min_score) | (F.col("_top.rerank_score") < min_confidence), "evidence_below_threshold")
         .otherwise("answered")
     )
     status = F.when(F.col("reason") == "answered", "answered").when(F.col("reason") == "needs_vehicle_context", "needs_context").otherwise("refused")
     return (
         df.withColumn("reason", reason)
         .withColumn("status", status)
-        .withColumn("confidence", F.coalesce("rerank_score", F.lit(0.0)))
+        .withColumn("confidence", F.coalesce("_top.rerank_score", F.lit(0.0)))
         .withColumn("n_evidence", F.coalesce("n_evidence", F.lit(0)).cast("bigint"))
-        .drop("retrieval_score", "rerank_score", "procedure_support")
     )
 
 
-def _lines(column: str) -> Column:
-    rows = F.array_sort(F.collect_list(F.struct("citation_id", column)))
-    return F.array_join(F.transform(rows, lambda r: F.concat(F.lit("["), r["citation_id"].cast("string"), F.lit("] "), r[column])), "\n")
+def decisions(questions: DataFrame, packs: DataFrame, min_score: float = MIN_SCORE, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """questions' columns with n_evidence, cited (element ids), confidence, reason, status; the first reason that holds
+    counts."""
+    return _decided(questions, packs, min_score, min_confidence).drop("_top", "_lines", "_sources", "_safety")
 
 
-def answers(questions: DataFrame, packs: DataFrame) -> DataFrame:
+def answers(questions: DataFrame, packs: DataFrame, min_score: float = MIN_SCORE, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """decisions() with the extractive answer, or the refusal."""
-    body = packs.groupBy("query_id").agg(_lines("content").alias("_lines"), _lines("source").alias("_sources"), F.max(F.col("chunk_type").isin("warning", "caution")).alias("_safety"))
     text = F.concat_ws("\n", F.lit(HEADER), "_lines", F.when(F.col("_safety"), SAFETY_NOTE), F.lit("Sources:"), "_sources")
-    done = decisions(questions, packs).join(body, "query_id", "left")
-    return done.withColumn("answer", F.when(F.col("status") == "answered", text).otherwise(F.lit(REFUSAL))).drop("_lines", "_sources", "_safety")
+    done = _decided(questions, packs, min_score, min_confidence)
+    return done.withColumn("answer", F.when(F.col("status") == "answered", text).otherwise(F.lit(REFUSAL))).drop("_top", "_lines", "_sources", "_safety")
 
 
 def row_decisions(rows: DataFrame, min_score: float = ROW_MIN_SCORE, min_coverage: float = ROW_MIN_COVERAGE) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quireflow.functions import text as T
+from quireflow.plans.workspace import written
 
 K1, B = 1.2, 0.75
 #: An inverse document frequency that is not positive counts as this.
@@ -19,48 +20,46 @@ ROW_WEIGHTS = {"content": 1.0, "section_text": 1.8, "metadata": 0.5}
 NODE_WEIGHTS = {"label": 2.2, "text": 1.0, "section_json": 0.6}
 
 
-def postings(records: DataFrame, key: str, weights: dict[str, float], analyze=None) -> DataFrame:
-    """key, term, tf (weighted), length (unweighted tokens of the record): one row per record and term."""
-    words = analyze or (lambda c: T.tokens(c, T.PLAIN_TOKEN))
-    parts = [_weighted(words(F.col(c)), w) for c, w in weights.items()]
-    # Tokenized below the generator, which would else repeat it for each row it makes.
-    every = records.select(key, F.concat(*parts).alias("ts"))
-    rows = every.select(key, F.size("ts").alias("length"), F.explode("ts").alias("t"))
-    return rows.groupBy(key, "length", F.col("t.term").alias("term")).agg(F.sum("t.w").alias("tf"))
-
-
-def _weighted(terms: Column, weight: float) -> Column:
-    return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
+def postings(records: DataFrame, key: str, weights: dict[str, float], within: str | None = None, analyze=None) -> DataFrame:
+    """key, term, tf (weighted), length (unweighted tokens of the record), and ``within``: one row per record and term.
 
-
-def index_stats(records: DataFrame, key: str, posted: DataFrame) -> tuple[Column, Column]:
-    """Rows of the whole index, and their mean length; rows without tokens count."""
-    lengths = posted.select(key, "length").distinct()
-    rows = records.agg(F.count(F.lit(1))).scalar()
-    return rows, lengths.agg(F.sum("length")).scalar() / rows
+    All columns' tokens are laid end to end below the generator, which would else tokenize again for each row it makes;
+    a token's place tells its column and so its weight.
+    """
+    words = analyze or (lambda c: T.tokens(c, T.PLAIN_TOKEN))
+    carried = [key, within] if within else [key]
+    parts = records.select(*carried, *[words(F.col(c)).alias(f"_w{i}") for i, c in enumerate(weights)])
+    ends, total = [], F.lit(0)
+    for i in range(len(weights)):
+        total = total + F.size(f"_w{i}")
+        ends.append(total)
+    laid = parts.select(*carried, total.alias("length"), *[e.alias(f"_e{i}") for i, e in enumerate(ends)], F.concat(*[f"_w{i}" for i in range(len(weights))]).alias("ts"))
+    rows = laid.select(*carried, "length", *[f"_e{i}" for i in range(len(ends))], F.posexplode("ts").alias("place", "term"))
+    weight = F.lit(0.0)
+    for i, w in reversed(list(enumerate(weights.values()))):
+        weight = F.when(F.col("place") < F.col(f"_e{i}"), F.lit(w)).otherwise(weight)
+    return rows.groupBy(*carried, "length", "term").agg(F.sum(weight).alias("tf"))
 
 
 def search(records: DataFrame, key: str, weights: dict[str, float], queries: DataFrame, limit: int | None, within: str | None = None, analyze=None) -> DataFrame:
     """query_id, key, score, rank of the ``limit`` best records of each query (query_id, term; distinct terms).
 
-    ``within`` names a column of both sides that a hit must share; it filters hits before ranking, never the statistics.
-    Ties go to the smaller key. Only terms that some query asks for reach the join, and only postings of those terms
-    are shuffled.
+    The postings are written once, as an index table that statistics and hits read. Statistics are of the whole index,
+    records without tokens included. ``within`` names a column of both sides that a hit must share; it filters hits
+    before ranking, never the statistics. Ties go to the smaller key. Only postings of terms some query asks for are
+    shuffled to the join.
     """
-    posted = postings(records, key, weights, analyze)
-    n, mean = index_stats(records, key, posted)
+    posted = written(postings(records, key, weights, within, analyze), "postings")
+    n = records.agg(F.count(F.lit(1))).scalar()
+    mean = posted.select(key, "length").distinct().agg(F.sum("length")).scalar() / n
     dfs = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     wanted = queries.select("term").distinct()
     weighed = dfs.join(wanted, "term").select("term", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weighed = weighed.withColumn("idf", F.when(F.col("idf") <= 0, LEAST_IDF).otherwise(F.col("idf")))
     asked = queries.join(weighed, "term")
-    on = ["term"]
-    if within:
-        posted = posted.join(records.select(key, within), key)
-        on.append(within)
     tf = F.col("tf")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / mean))
-    scored = posted.join(asked, on).groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
+    scored = posted.join(asked, ["term", within] if within else ["term"]).groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     ranked = scored.withColumn("rank", F.row_number().over(best))
     return ranked if limit is None else ranked.where(F.col("rank") <= limit)

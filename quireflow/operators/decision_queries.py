@@ -12,6 +12,7 @@ from quireflow.operators import bm25, dense, fusion
 from quireflow.operators import graph_queries as Q
 from quireflow.operators import ingest_queries as I
 from quireflow.operators import retrieval_queries as R
+from quireflow.operators import answering as A
 from quireflow.operators.answering import REFUSAL
 from quireflow.sources.tables import table
 
@@ -37,7 +38,7 @@ def critic_decision(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def guard_check(spark: SparkSession, folder: str) -> DataFrame:
-    done = R.answer_text(spark, folder).join(R.answer_decision(spark, folder).select("query_id", "n_evidence"), "query_id")
+    done = A.answers(R.questions(spark, folder), R._packs(spark, folder))
     return G.guard(done.withColumn("foreign", F.lit(0))).select("query_id", "status", "passed")
 
 

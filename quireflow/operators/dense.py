@@ -7,10 +7,11 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quireflow.functions import text as T
+from quireflow.plans.workspace import written
 
 # Features, dimensions, further directions of the random projection, its seed.
 FEATURES, DIMENSIONS, OVERSAMPLE, SEED = 2048, 128, 16, 2026
@@ -41,12 +42,12 @@ def tfidf(df: DataFrame, key: str, text: str, features: int = FEATURES) -> DataF
 
     N counts all rows. Texts without terms have no rows. At most ``features`` idf values are broadcast.
     """
-    counts = hashed_counts(df, key, text, features)
+    counts = written(hashed_counts(df, key, text, features), "counts")
     n = df.agg(F.count(F.lit(1))).scalar()
     idf = counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("df")).select("bucket", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = counts.join(F.broadcast(idf), "bucket").withColumn("w", F.signum("n") * (1 + F.log(F.abs("n"))) * F.col("idf"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, key).select(key, "bucket", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))  # of a text's own terms
+    return raw.select(key, "bucket", (F.col("w") / norm).alias("weight"))
 
 
 def lsa(weights: DataFrame, key: str, features: int = FEATURES, dimensions: int = DIMENSIONS, oversample: int = OVERSAMPLE, seed: int = SEED) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quireflow.functions import text as T
+from quireflow.plans.workspace import written
 
 META = ["doc_id", "brand", "model", "year", "region", "language", "manual_type"]
 
@@ -144,7 +145,7 @@ def build_nodes(manifest: DataFrame, chunks: DataFrame, elements: DataFrame) ->
 
     A chunk without a page has no page node; an empty section path is the section "Unsectioned evidence".
     """
-    c, e = chunk_records(chunks), element_records(elements)
+    c, e = written(chunk_records(chunks).drop("content"), "graph_chunks"), element_records(elements)
     seen = _first_sightings(c, e)
     none = F.array().cast("array<string>")
     vehicle = manifest.groupBy("doc_id").agg(F.min(F.concat_ws(" ", "brand", "model", "year")).alias("label")).select(_node_id("Vehicle").alias("node_id"), F.lit("Vehicle").alias("node_type"), "label", "doc_id", F.lit(None).cast("int").alias("page_no"), none.alias("evidence"))
@@ -180,8 +181,8 @@ def build_edges(chunks: DataFrame, elements: DataFrame) -> DataFrame:
 
     An id covers evidence and page, so parallel edges of other evidence stay.
     """
-    c, e = chunk_records(chunks), element_records(elements)
-    seen = _first_sightings(c, e)
+    c, e = written(chunk_records(chunks).drop("content"), "graph_chunks"), written(element_records(elements).drop("content"), "graph_elements")
+    seen = written(_first_sightings(c, e), "graph_seen")
 
     def edges(df: DataFrame, made: list[Column]) -> DataFrame:
         rows = df.select("doc_id", F.explode(F.filter(F.array(*made), lambda x: x["source_id"].isNotNull() & x["target_id"].isNotNull())).alias("e"))
@@ -246,7 +247,7 @@ def paths(entities: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int =
     terms, and 0.08 of its type's weight. All of a hop's paths count; only the ``beam`` best of an anchor go on. A path
     repeats no node; found from several anchors, it keeps its best score.
     """
-    ends = node_terms(nodes).select(F.col("node_id").alias("other"), F.col("doc_id"), "node_type", "terms")
+    ends = written(node_terms(nodes), "node_terms").select(F.col("node_id").alias("other"), F.col("doc_id"), "node_type", "terms")
     step = adjacency(edges).join(ends, ["doc_id", "other"])
     front = entities.select("query_id", "doc_id", "wanted", F.col("node_id").alias("anchor"), F.col("node_id").alias("node"), F.array("node_id").alias("path"), F.array().cast("array<string>").alias("edges"), "score")
     found = None

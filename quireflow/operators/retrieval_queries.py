@@ -110,8 +110,7 @@ def dense_filtered(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _packs(spark: SparkSession, folder: str, limit: int = 3) -> DataFrame:
-    hits = text_hits(spark, folder).join(chunks(spark, folder), "chunk_id").join(questions(spark, folder).select("query_id", "question", "gold"), "query_id")
-    return A.evidence_packs(hits, limit)
+    return A.evidence_packs(text_hits(spark, folder), chunks(spark, folder), questions(spark, folder), limit)
 
 
 def evidence_pack(spark: SparkSession, folder: str) -> DataFrame:
@@ -127,7 +126,7 @@ def answer_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def answer_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    done = A.decisions(questions(spark, folder), _packs(spark, folder)).join(_packs(spark, folder).groupBy("query_id").agg(F.flatten(F.collect_list("element_ids")).alias("cited")), "query_id", "left")
+    done = A.decisions(questions(spark, folder), _packs(spark, folder))
     known = F.size("gold") > 0
     hit = F.coalesce(F.arrays_overlap("cited", "gold"), F.lit(False))
     return done.agg(
