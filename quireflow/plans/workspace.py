@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -24,6 +25,9 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def _remove(path: str) -> None:
+    if path.startswith("file:"):  # goes without a session, which has often ended by then
+        shutil.rmtree(path.removeprefix("file:").replace("//", "", 1), ignore_errors=True)
+        return
     spark = SparkSession.getActiveSession()
     if spark is None:
         return
