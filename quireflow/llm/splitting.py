@@ -70,6 +70,8 @@ def split(text: str, limit: int = LIMIT, overlap: tuple[int, int] = OVERLAP) ->
     What follows the cuts, end to end, is the text without blanks at its ends. A text within the limit is one piece, a
     blank one none.
     """
+    if limit <= overlap[1]:
+        raise ValueError("limit must exceed the overlap")
     first = len(text) - len(text.lstrip(BLANK))
     last = len(text.rstrip(BLANK))
     if first >= last:
@@ -81,12 +83,13 @@ def split(text: str, limit: int = LIMIT, overlap: tuple[int, int] = OVERLAP) ->
     spaces = [m.end() for m in _SPACE.finditer(text, first, last)]
     out, start, cut = [], first, first
     while last - start > limit:
-        low, high = max(cut + 1, start + int(limit * FILL)), start + limit
-        some = _within(natural, low, high) or _within(natural, cut + 1, high)
+        # No cut lies nearer to the start than the overlap, so the next piece never starts before this one.
+        least, high = max(cut + 1, start + overlap[1]), start + limit
+        some = _within(natural, max(least, start + int(limit * FILL)), high) or _within(natural, least, high)
         if some:
             end = natural[max(some, key=lambda i: (depth[i], i))]
         else:
-            words = _within(spaces, cut + 1, high)
+            words = _within(spaces, least, high)
             end = spaces[words[-1]] if words else high
         out.append((start, cut, end))
         cut = end

@@ -89,6 +89,18 @@ def test_split_takes_natural_and_deepest_boundaries():
     assert all(words[z - 1] == " " for _, _, z in check_pieces(words)[:-1])
 
 
+@pytest.mark.parametrize("text", ["Title line\n" + "word " * 400, "One. " + "x" * 2000, "ab " + "x" * 2000, " \nFirst one.\n" + "字" * 2000, "a" * 130 + ".\n" + "b" * 2000])
+def test_split_after_a_short_first_line_loses_nothing(text):
+    whole, at = text.strip(splitting.BLANK), 0
+    parts = splitting.split(text)
+    for a, c, z in parts:
+        piece = text[a:z]
+        assert 0 < len(piece) <= splitting.LIMIT and (c == a or splitting.OVERLAP[0] <= c - a <= splitting.OVERLAP[1])
+        assert piece[c - a :] == whole[at : at + z - c] and whole[: at + z - c].endswith(piece)
+        at += z - c
+    assert at == len(whole)
+
+
 def test_pieces_with_sources(spark):
     body = ["First element says something. " * 30, "Second one says more about it. " * 30, "Third."]
     text = "\n".join(b.strip() for b in body)
