@@ -8,6 +8,7 @@ walked once, with partial overlaps shared along common prefixes and subtrees cut
 
 from __future__ import annotations
 
+import math
 import re
 import sys
 import zlib
@@ -26,7 +27,7 @@ SKETCH_BITS = 20
 _SKETCH_PARTS = 64
 #: Tokens are 48-bit hashes of n-grams.
 _TOKEN = np.uint64((1 << 48) - 1)
-#: Sets smaller than this also meet under their single tokens.
+#: Sets smaller than this also meet under their single tokens; at low similarity, larger ones too.
 SMALL = 8
 #: Meetings of a pair that are asked for where its sets guarantee as many.
 MEETINGS = 4
@@ -145,17 +146,23 @@ def _lost(n: np.ndarray | int, similarity: float):
     return np.floor(2 * (1 - similarity) * n + 1e-9).astype(np.int64)
 
 
+def _small(similarity: float) -> float:
+    """Sets smaller than this also meet under their single tokens, for their pairs do not guarantee a meeting: similar
+    sets of up to n tokens share n - 1 - 2(1 - t)n adjacent pairs or more, at least one from 2/(2t - 1) tokens on."""
+    return max(SMALL, math.ceil(2 / (2 * similarity - 1))) if similarity > 0.5 else math.inf
+
+
 def _keys(tokens: np.ndarray, cls: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Meeting keys of an ordered set, and each one's place in it."""
     n = len(tokens)
     keys, places = [], []
-    if n >= SMALL:
+    if n >= _small(similarity):
         pairs = _mixed(_mixed(tokens[:-1]) + tokens[1:])
         keep = int(_lost(n, similarity)) + MEETINGS
         order = np.lexsort((pairs, cls[1:]))[:keep]
         keys.append(pairs[order])
         places.append(order)
-    if n < SMALL / similarity + 1:
+    if n < _small(similarity) / similarity + 1:
         keys.append(_mixed(tokens + np.uint64(1)))
         places.append(np.arange(n))
     return np.concatenate(keys), np.concatenate(places)
@@ -223,6 +230,8 @@ def walk(probe: np.ndarray, partners: list[np.ndarray], similarity: float) -> li
 
 def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b) with a < b: the pairs of distinct sets whose overlap is at least ``similarity`` of their union."""
+    if similarity <= 0:
+        raise ValueError("similarity must be above 0, as sets that share nothing do not meet")
     spark = sets.sparkSession
     classes = _frequency_classes(sets)
     one = sets.groupBy("set_id").agg(F.first("tokens").alias("tokens"))  # copies collapse before the shuffle
@@ -239,7 +248,7 @@ def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
     )
     size = F.greatest(n, m)
     sure = F.least(F.lit(MEETINGS), F.greatest(F.lit(1), size - 1 - F.floor(2 * (1 - similarity) * size + 1e-9).cast("int")))
-    sure = F.when(F.least(n, m) < SMALL, 1).otherwise(sure)
+    sure = F.when(F.least(n, m) < _small(similarity), 1).otherwise(sure)
     met = (
         near.select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"), sure.alias("sure"))
         .groupBy("a", "b", "sure")

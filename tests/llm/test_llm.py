@@ -152,6 +152,21 @@ def test_near_pairs_are_those_of_brute_force(spark, words, similarity, least):
     assert near.near_pairs(df.limit(0), words, similarity, least).count() == 0
 
 
+@pytest.mark.parametrize(("similarity", "size", "vocabulary"), [(0.2, 45, 135), (0.3, 30, 70), (0.55, 18, 24)])
+def test_near_pairs_of_low_similarity_are_those_of_brute_force(spark, similarity, size, vocabulary):
+    rng = random.Random(12)
+    records = [("p", f"{i:03}", " ".join(rng.sample([f"w{j}" for j in range(vocabulary)], size))) for i in range(80)]
+    want = brute_pairs(records, 1, similarity, 1)
+    got = {tuple(r) for r in near.near_pairs(spark.createDataFrame(records, "space string, id string, text string"), 1, similarity, 1).collect()}
+    print(similarity, "true pairs", len(want), "found", len(got & want))
+    assert len(want) > 100 and got == want
+
+
+def test_near_needs_a_similarity_above_0(spark):
+    with pytest.raises(ValueError):
+        near.near_pairs(spark.createDataFrame([("p", "a", "x y")], "space string, id string, text string"), 1, 0, 1)
+
+
 def test_near_classes(spark):
     records = variants(9, 40, [f"w{i}" for i in range(60)])
     df = spark.createDataFrame(records, "space string, id string, text string")
