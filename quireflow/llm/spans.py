@@ -89,11 +89,11 @@ class Hashed:
 
     def cut_of(self, window: int) -> np.ndarray:
         """A cut of each window, by the window's first position."""
-        low = np.uint64(127)
+        low = np.uint64((1 << max(7, window.bit_length())) - 1)  # the low bits hold any place of a window
         place = np.arange(len(self.gear), dtype=np.uint64) & low
         least = _sliding((self._gear_hashes() & ~low) | place, window, np.minimum) & low
         first = np.arange(len(least))
-        return first + ((least.astype(np.int64) - first) & 127) + 1
+        return first + ((least.astype(np.int64) - first) & int(low)) + 1
 
 
 def _sliding(x: np.ndarray, window: int, op: np.ufunc) -> np.ndarray:

@@ -357,6 +357,26 @@ def test_stretches_are_those_of_brute_force(spark):
         spans.shared_stretches(df, "id", "text", 40)
 
 
+@pytest.mark.parametrize("window", [12, 128, 129, 300, 1000])
+def test_cut_of_a_window_is_its_least_hash(window):
+    h = spans.Hashed(["".join(random.Random(9).choices("abcdefgh é😀", k=3_000))])
+    hashes = h._gear_hashes()
+    want = [i + int(np.argmin(hashes[i : i + window])) + 1 for i in range(len(hashes) - window + 1)]
+    assert h.cut_of(window).tolist() == want and set(want) <= set(h.cuts(window).tolist())
+
+
+def test_stretches_of_a_wide_window_are_those_of_brute_force(spark):
+    rng, span = random.Random(10), 400
+    word = lambda n: "".join(rng.choices("abcdefgh é😀", k=n))
+    passages = [word(n) for n in (399, 400, 401, 600)]
+    texts = {i: word(rng.randint(0, 300)) + passages[i % 4] + word(rng.randint(0, 300)) for i in range(40)}
+    df = spark.createDataFrame(list(texts.items()), "id bigint, text string")
+    got = {tuple(r) for r in spans.shared_stretches(df, "id", "text", span, window=300, anchor=80).collect()}
+    want = brute_stretches(texts, span)
+    print("true stretches", len(want), "found", len(got & want))
+    assert len(want) > 20 and got == want
+
+
 def test_every_span_holds_a_common_cut():
     rng = random.Random(8)
     for _ in range(300):
