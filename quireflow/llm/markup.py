@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from html import unescape
 from html.entities import html5
 from html.parser import HTMLParser
@@ -266,13 +267,21 @@ def _cells(line: str, parter: str) -> str:
     return " | ".join(c.strip() for c in line.split(parter))
 
 
+def _repeated(pattern: str, by: str | Callable[[re.Match], str], text: str) -> str:
+    """``text`` with matches replaced from the inside out, until none is left; each must take braces away."""
+    found = 1
+    while found:
+        text, found = re.subn(pattern, by, text)
+    return text
+
+
 def _from_wiki(text: str) -> str:
     text = re.sub(r"<ref\b[^>/]*/>|<ref\b[^>]*>.*?</ref>", "", text, flags=re.S)
     text = re.sub(r"(?m)^[ \t]*(={2,6})[ \t]*([^=\n].*?)[ \t]*\1[ \t]*$", lambda m: "#" * len(m[1]) + " " + m[2], text)
     text = re.sub(r"\[\[(?:File|Image|Datei|Fichier|Archivo):[^\[\]|]*((?:\|[^\[\]|]*)*)\]\]", lambda m: (m[1].split("|")[-1]).strip(), text)
     text = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", r"\1", text)
     text = re.sub(r"\[(?:https?|ftp)://\S+ ([^\]\n]+)\]", r"\1", text)
-    text = re.sub(r"\{\{[^{}|]*\|?([^{}]*)\}\}", lambda m: m[1].replace("|", ", "), text)
+    text = _repeated(r"\{\{[^{}|]*\|?([^{}]*)\}\}", lambda m: m[1].replace("|", ", "), text)
     text = re.sub(r"'{2,5}(?=\S)([^\n]*?\S)'{2,5}", r"\1", text)
     out, inside = [], False
     for line in text.split("\n"):
@@ -328,8 +337,7 @@ def _from_latex(text: str) -> str:
     text = re.sub(rf"\\({'|'.join(_SECTIONS)})\*?\{{([^{{}}]*)\}}", lambda m: "#" * _SECTIONS[m[1]] + " " + m[2] + "\n", text)
     text = re.sub(r"\\SI\{([^{}]*)\}\{([^{}]*)\}", lambda m: m[1] + " " + m[2].replace("\\", " ").strip(), text)
     text = re.sub(r"\\(?:label|ref|cite|pageref)\{[^{}]*\}", "", text)
-    for _ in range(4):
-        text = re.sub(r"(?<![:\\/])\\[A-Za-z]{2,}\*?(?:\[[^\]]*\])?\{([^{}]*)\}", r"\1", text)
+    text = _repeated(r"(?<![:\\/])\\[A-Za-z]{2,}\*?(?:\[[^\]]*\])?\{([^{}]*)\}", r"\1", text)
     text = re.sub(r"(?<![\w:\\/])\\(?:item|hline|newline|par|noindent|centering|maketitle|toprule|midrule|bottomrule|newpage|clearpage)(?![\w\\])\s?", "", text)
     text = re.sub(r"(?<![\w:])\\([%&#$_{}])", r"\1", text)
     text = re.sub(r"(?<=\d)~(?=\S)", " ", text)

@@ -236,6 +236,14 @@ def test_links_alone_are_left_out_of_content():
     assert "item 3" not in got and got.count("real content") == 80
 
 
+def test_clean_unwraps_any_nesting():
+    deep = "deep"
+    for _ in range(9):
+        deep = "\\textbf{" + deep + "}"
+    assert markup.clean("Some " + deep + " text")[0] == "Some deep text"
+    assert markup.clean("Some {{a|{{b|{{c|deep}}}}}} text")[0] == "Some deep text"
+
+
 def test_clean_texts(spark):
     df = spark.createDataFrame([("a", "1", "<b>x</b>", 1), ("a", "2", None, 2), ("a", "2", None, 2), (None, None, "y" * 100_000, 3)], "space string, id string, text string, kinds int")
     got = Counter((r.space, r.id, r.text, r.kinds) for r in clean_texts(df).collect())
