@@ -87,14 +87,23 @@ def match_expression(query: Column, stopwords: Iterable[str] = TEXT_STOPWORDS) -
     return F.when(F.size(terms) > 0, F.array_join(F.transform(terms, lambda t: F.concat(F.lit('"'), t, F.lit('"'))), " OR "))
 
 
-def dense_terms(text: Column) -> Column:
-    """Filtered single terms, then pairs of neighbours among them."""
-    kept = F.filter(tokens(text, PLAIN_TOKEN), lambda t: ~F.array_contains(words_of(TEXT_STOPWORDS), t) & ((F.length(t) > 1) | t.rlike("^[0-9]$")))
+def dense_words(text: Column) -> Column:
+    """The words dense terms are made of."""
+    return F.filter(tokens(text, PLAIN_TOKEN), lambda t: ~F.array_contains(words_of(TEXT_STOPWORDS), t) & ((F.length(t) > 1) | t.rlike("^[0-9]$")))
+
+
+def with_pairs(kept: Column) -> Column:
+    """Words, then pairs of neighbours among them. Give a column, not an expression, as it is read several times."""
     size = F.size(kept)
     pairs = F.zip_with(F.slice(kept, 1, F.greatest(size - 1, F.lit(0))), F.slice(kept, 2, F.greatest(size - 1, F.lit(0))), lambda a, b: F.concat_ws("_", a, b))
     return F.when(size > 1, F.concat(kept, pairs)).otherwise(kept)
 
 
+def dense_terms(text: Column) -> Column:
+    """Filtered single terms, then pairs of neighbours among them."""
+    return with_pairs(dense_words(text))
+
+
 def stem(token: Column) -> Column:
     """ing, ed, es or s cut off; the first ending that fits, if enough is left."""
     t, n = F.lower(token), F.length(token)

@@ -57,21 +57,21 @@ def porter_search(spark: SparkSession, folder: str) -> DataFrame:
     return bm25.search(R.chunks(spark, folder), "chunk_id", bm25.TEXT_WEIGHTS, asked, 10, within="doc_id", analyze=porter.stemmed).select("query_id", "chunk_id", "score", "rank")
 
 
-def _weights(spark: SparkSession, folder: str) -> DataFrame:
-    return dense.tfidf(R.chunks(spark, folder).withColumn("t", F.concat_ws("\n", "metadata", "section_text", "content")), "chunk_id", "t")
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    return R.chunks(spark, folder).select("chunk_id", F.concat_ws("\n", "metadata", "section_text", "content").alias("t"))
 
 
 def hashed_tfidf(spark: SparkSession, folder: str) -> DataFrame:
-    return _weights(spark, folder).withColumn("weight", F.round("weight", 6))
+    return dense.tfidf(_texts(spark, folder), "chunk_id", "t").withColumn("weight", F.round("weight", 6))
 
 
 def lsa_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return dense.lsa(_weights(spark, folder), "chunk_id").select("chunk_id", F.size("vector").alias("dimensions"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
+    return dense.lsa(dense.weights(_texts(spark, folder), "chunk_id", "t"), "chunk_id").select("chunk_id", F.size("vector").alias("dimensions"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
 
 
 def lsa_search(spark: SparkSession, folder: str) -> DataFrame:
     """The nearest other chunks of each chunk that steps make up."""
-    v = dense.lsa(_weights(spark, folder), "chunk_id")
+    v = dense.lsa(dense.weights(_texts(spark, folder), "chunk_id", "t"), "chunk_id")
     asked = v.join(R.chunks(spark, folder).where("chunk_type = 'steps'").select("chunk_id"), "chunk_id", "left_semi")
     return fusion.vector_search(v, asked, "chunk_id", "vector", limit=5)
 

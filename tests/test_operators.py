@@ -101,7 +101,7 @@ def test_lsa_is_that_of_full_decomposition(spark):
     for r in w.collect():
         a[r["id"], r["bucket"]] = r["weight"]
     assert np.allclose(np.linalg.norm(a, axis=1), 1)
-    e = {r["id"]: np.array(r["vector"]) for r in dense.lsa(w, "id", 64, dimensions=12, oversample=8).collect()}
+    e = {r["id"]: np.array(r["vector"]) for r in dense.lsa(dense.weights(spark.createDataFrame(texts, "id bigint, t string"), "id", "t", 64), "id", 64, dimensions=12, oversample=8).collect()}
     assert np.allclose([[e[i] @ e[j] for j in range(12)] for i in range(12)], a @ a.T, atol=1e-6)
 
 
