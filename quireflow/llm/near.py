@@ -15,12 +15,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireflow.plans.workspace import spread, written
+from quireflow.plans.workspace import partitions_for, spread, summed, written
 
 #: Counters of the frequency sketch: of fixed size, so its broadcast and its collection are bounded by a megabyte.
 SKETCH_BITS = 20
@@ -33,6 +32,11 @@ SMALL = 8
 MEETINGS = 4
 #: Up to so many records to be fetched are broadcast (8 bytes each); beyond, they are joined by a shuffle.
 FETCHED_BY_BROADCAST = 200_000
+#: A meeting key is split where its tokens' counters reach this class (2^13 sets) and eight times the mean counter, which
+#: one in a fixed share of all sets does at any size.
+HOT_CLASS = 13
+#: Bytes of a meeting in a shuffle.
+_MEETING_BYTES = 22
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -106,31 +110,30 @@ def ngram_sets(df: DataFrame, words: int, least_words: int) -> DataFrame:
     return spread(held).mapInArrow(build, "space string, id string, set_id bigint, n int, tokens binary")
 
 
-def _frequency_classes(sets: DataFrame) -> np.ndarray:
-    """log2 of each sketch counter, over all sets; one byte each."""
+def _frequency_classes(sets: DataFrame) -> tuple[np.ndarray, int]:
+    """log2 of each sketch counter, over all sets, one byte each; and the class from which a token is hot. Map tasks'
+    counters are summed in steps."""
     size = 1 << SKETCH_BITS
     part = size // _SKETCH_PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         counts = np.zeros(size, np.int64)
         for batch in batches:
             tokens = _unpack(b"".join(batch.column(0).to_pylist()))
             counts += np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size)
         if counts.any():
             blobs = [zlib.compress(counts[i * part : (i + 1) * part].tobytes(), 1) for i in range(_SKETCH_PARTS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(_SKETCH_PARTS), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "counts"])
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(part, np.int64)
-        for blob in rows["counts"]:
-            total += np.frombuffer(zlib.decompress(blob), np.int64)
-        return pd.DataFrame({"part": rows["part"].iloc[:1], "classes": [np.log2(total + 1).astype(np.uint8).tobytes()]})
+            task = np.full(_SKETCH_PARTS, TaskContext.get().partitionId())
+            yield pa.RecordBatch.from_arrays([pa.array(range(_SKETCH_PARTS), pa.int32()), pa.array(task, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "source", "blob"])
 
-    summed = sets.select("tokens").mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, classes binary")
     out = np.zeros(size, np.uint8)
-    for row in summed.collect():  # 64 rows of 16 KB
-        out[row["part"] * part : (row["part"] + 1) * part] = np.frombuffer(row["classes"], np.uint8)
-    return out
+    sums = summed(sets.select("tokens").mapInArrow(count, "part int, source int, blob binary"), "int64", sets.rdd.getNumPartitions())
+    for i, total in sums.items():  # 64 arrays of 128 KB
+        out[i * part : (i + 1) * part] = np.log2(total + 1)
+    mean = sum(int(t.sum()) for t in sums.values()) / size
+    return out, max(HOT_CLASS, math.ceil(math.log2(mean + 1)) + 3)
 
 
 def _ordered(tokens: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,44 +155,52 @@ def _small(similarity: float) -> float:
     return max(SMALL, math.ceil(2 / (2 * similarity - 1))) if similarity > 0.5 else math.inf
 
 
-def _keys(tokens: np.ndarray, cls: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Meeting keys of an ordered set, and each one's place in it."""
+def _keys(tokens: np.ndarray, cls: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Meeting keys of an ordered set, each one's place in it, and the class of its rarer token."""
     n = len(tokens)
-    keys, places = [], []
+    keys, places, rarer = [], [], []
     if n >= _small(similarity):
         pairs = _mixed(_mixed(tokens[:-1]) + tokens[1:])
         keep = int(_lost(n, similarity)) + MEETINGS
         order = np.lexsort((pairs, cls[1:]))[:keep]
         keys.append(pairs[order])
         places.append(order)
+        rarer.append(cls[order])
     if n < _small(similarity) / similarity + 1:
         keys.append(_mixed(tokens + np.uint64(1)))
         places.append(np.arange(n))
-    return np.concatenate(keys), np.concatenate(places)
+        rarer.append(cls)
+    return np.concatenate(keys), np.concatenate(places), np.concatenate(rarer)
+
 
+def _meetings(sets: DataFrame, classes: np.ndarray, similarity: float, hot_class: int, hot: bool) -> DataFrame:
+    """(meet, set_id, n, place, shares): the keys under which a set meets others, either the hot ones or the rest.
 
-def _meetings(sets: DataFrame, classes: np.ndarray, similarity: float) -> DataFrame:
-    """(meet, set_id, n, place): the keys under which a set meets others."""
+    A key is hot where the tokens it is made of are: it cannot be in more sets than its rarer token. ``shares`` is into how
+    many parts its sets are to be split."""
     shared = sets.sparkSession.sparkContext.broadcast(classes)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ids, sizes, places = [], [], [], []
+            keys, ids, sizes, places, shares = [], [], [], [], []
             for set_id, packed in zip(batch.column(0).to_numpy(), batch.column(1).to_pylist()):
                 tokens, cls = _ordered(_unpack(packed), shared.value)
-                k, p = _keys(tokens, cls, similarity)
+                if hot and cls[-1] < hot_class:
+                    continue
+                k, p, c = _keys(tokens, cls, similarity)
+                chosen = (c >= hot_class) == hot
+                k, p, c = k[chosen], p[chosen], c[chosen]
                 keys.append(k)
                 places.append(p)
                 ids.append(np.full(len(k), set_id))
                 sizes.append(np.full(len(k), len(tokens)))
+                shares.append(1 << np.clip(c.astype(np.int32) - hot_class + 1, 0, 20))
             if keys:
                 cat = np.concatenate
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cat(keys).view(np.int64)), pa.array(cat(ids)), pa.array(cat(sizes).astype(np.int32)), pa.array(cat(places).astype(np.int32))],
-                    names=["meet", "set_id", "n", "place"],
-                )
+                columns = [pa.array(cat(keys).view(np.int64)), pa.array(cat(ids)), *(pa.array(cat(x).astype(np.int32)) for x in (sizes, places, shares))]
+                yield pa.RecordBatch.from_arrays(columns if hot else columns[:4], names=["meet", "set_id", "n", "place", "shares"][: len(columns) if hot else 4])
 
-    return sets.select("set_id", "tokens").mapInArrow(emit, "meet bigint, set_id bigint, n int, place int")
+    return sets.select("set_id", "tokens").mapInArrow(emit, "meet bigint, set_id bigint, n int, place int" + (", shares int" if hot else ""))
 
 
 def walk(probe: np.ndarray, partners: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -228,29 +239,47 @@ def walk(probe: np.ndarray, partners: list[np.ndarray], similarity: float) -> li
     return found
 
 
-def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) with a < b: the pairs of distinct sets whose overlap is at least ``similarity`` of their union."""
-    if similarity <= 0:
-        raise ValueError("similarity must be above 0, as sets that share nothing do not meet")
-    spark = sets.sparkSession
-    classes = _frequency_classes(sets)
-    one = sets.groupBy("set_id").agg(F.first("tokens").alias("tokens"))  # copies collapse before the shuffle
-    meet = _meetings(one, classes, similarity)
-    a, b = meet.alias("a"), meet.alias("b")
+def _met(left: DataFrame, right: DataFrame, keys: list[str], similarity: float) -> DataFrame:
+    """(a, b, n, m): a row for each key under which two sets meet whose sizes and places allow the similarity."""
+    a, b = left.alias("a"), right.alias("b")
     n, m, i, j = F.col("a.n"), F.col("b.n"), F.col("a.place"), F.col("b.place")
     share = similarity / (1 + similarity)
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(f"a.{k}") == F.col(f"b.{k}"))
     near = a.join(
         b,
-        (F.col("a.meet") == F.col("b.meet"))
+        same
         & (F.col("a.set_id") < F.col("b.set_id"))
         & (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9)
         & (F.least(i, j) + F.least(n - i, m - j) >= share * (n + m) - 1e-9),
     )
+    return near.select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"), n.alias("n"), m.alias("m"))
+
+
+def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) with a < b: the pairs of distinct sets whose overlap is at least ``similarity`` of their union."""
+    if similarity <= 0:
+        raise ValueError("similarity must be above 0, as sets that share nothing do not meet")
+    spark = sets.sparkSession
+    classes, hot_class = _frequency_classes(sets)
+    one = sets.groupBy("set_id").agg(F.first("tokens").alias("tokens"))  # copies collapse before the shuffle
+    kept = F.when(F.col("n") >= _small(similarity), F.least(F.col("n") - 1, F.floor(2 * (1 - similarity) * F.col("n")) + MEETINGS)).otherwise(F.col("n"))
+    size = _MEETING_BYTES * (sets.agg(F.sum(kept)).first()[0] or 0)
+    meet = _meetings(one, classes, similarity, hot_class, False).repartition(partitions_for(spark, size), "meet")
+    near = _met(meet, meet, ["meet"], similarity)
+    if int(classes.max()) >= hot_class:
+        # One side of a hot key's sets is parted, the other goes to each part, so its square is spread.
+        hot = _meetings(one, classes, similarity, hot_class, True)
+        parted = hot.withColumn("share", F.pmod(F.xxhash64("set_id"), F.col("shares")).cast("int"))
+        copied = hot.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        near = near.unionByName(_met(parted, copied, ["meet", "share"], similarity))
+    n, m = F.col("n"), F.col("m")
     size = F.greatest(n, m)
     sure = F.least(F.lit(MEETINGS), F.greatest(F.lit(1), size - 1 - F.floor(2 * (1 - similarity) * size + 1e-9).cast("int")))
     sure = F.when(F.least(n, m) < _small(similarity), 1).otherwise(sure)
     met = (
-        near.select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"), sure.alias("sure"))
+        near.select("a", "b", sure.alias("sure"))
         .groupBy("a", "b", "sure")
         .agg(F.count(F.lit(1)).alias("meetings"))
         .where(F.col("meetings") >= F.col("sure"))
