@@ -35,8 +35,8 @@ FETCHED_BY_BROADCAST = 200_000
 #: A meeting key is split where its tokens' counters reach this class (2^13 sets) and eight times the mean counter, which
 #: one in a fixed share of all sets does at any size.
 HOT_CLASS = 13
-#: Bytes of a meeting in a shuffle.
-_MEETING_BYTES = 22
+#: Bytes of a meeting that the join reads, on both of its sides.
+_MEETING_BYTES = 40
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -155,6 +155,11 @@ def _small(similarity: float) -> float:
     return max(SMALL, math.ceil(2 / (2 * similarity - 1))) if similarity > 0.5 else math.inf
 
 
+def _kept(n: int, similarity: float) -> int:
+    """How many of its rarest tokens the keys of a set of size n start from, at most."""
+    return n if n < _small(similarity) / similarity + 1 else min(n, int(_lost(n, similarity)) + MEETINGS)
+
+
 def _keys(tokens: np.ndarray, cls: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Meeting keys of an ordered set, each one's place in it, and the class of its rarer token."""
     n = len(tokens)
@@ -178,15 +183,16 @@ def _meetings(sets: DataFrame, classes: np.ndarray, similarity: float, hot_class
 
     A key is hot where the tokens it is made of are: it cannot be in more sets than its rarer token. ``shares`` is into how
     many parts its sets are to be split."""
-    shared = sets.sparkSession.sparkContext.broadcast(classes)
+    shared, mask = sets.sparkSession.sparkContext.broadcast(classes), np.uint64(len(classes) - 1)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, ids, sizes, places, shares = [], [], [], [], []
             for set_id, packed in zip(batch.column(0).to_numpy(), batch.column(1).to_pylist()):
-                tokens, cls = _ordered(_unpack(packed), shared.value)
-                if hot and cls[-1] < hot_class:
-                    continue
+                tokens = _unpack(packed)
+                if hot and np.count_nonzero(shared.value[(tokens & mask).astype(np.int64)] >= hot_class) <= len(tokens) - _kept(len(tokens), similarity):
+                    continue  # the keys it keeps are of rarer tokens
+                tokens, cls = _ordered(tokens, shared.value)
                 k, p, c = _keys(tokens, cls, similarity)
                 chosen = (c >= hot_class) == hot
                 k, p, c = k[chosen], p[chosen], c[chosen]
@@ -270,7 +276,7 @@ def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
     near = _met(meet, meet, ["meet"], similarity)
     if int(classes.max()) >= hot_class:
         # One side of a hot key's sets is parted, the other goes to each part, so its square is spread.
-        hot = _meetings(one, classes, similarity, hot_class, True)
+        hot = written(_meetings(sets, classes, similarity, hot_class, True).distinct(), "hot")
         parted = hot.withColumn("share", F.pmod(F.xxhash64("set_id"), F.col("shares")).cast("int"))
         copied = hot.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
         near = near.unionByName(_met(parted, copied, ["meet", "share"], similarity))
