@@ -5,7 +5,7 @@ depends on nearby text only and moves with it when text is inserted before. From
 ``anchor`` code points; chunks are deduplicated by digest. With window + anchor + GEAR <= span + 1 every stretch of ``span``
 code points that two records share holds a chunk cut in both, so the chunks whose digest occurs in two records
 mark all places where a shared stretch can be. There, and only there, the digest of each ``span`` code points is
-compared the same way, which gives the stretches to the code point.
+compared the same way, by 96 bits, which gives the stretches to the code point.
 """
 
 from __future__ import annotations
@@ -30,7 +30,11 @@ GEAR = 16
 #: Code points hashed at once in a worker; a longer text is taken alone.
 HASHED_AT_ONCE = 1 << 18
 
+#: Digests that leave a worker together, so that it finds those of two keys among them itself.
+RESOLVED_AT_ONCE = 1 << 18
+
 _BASE = 0x9E3779B97F4A7C15
+_OTHER = 0xD1342543DE82EF95
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -46,10 +50,10 @@ def _gears() -> np.ndarray:
 
 
 @functools.cache
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(size: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.ones(size, np.uint64), np.ones(size, np.uint64)
-    np.multiply.accumulate(np.full(size - 1, _BASE, np.uint64), out=up[1:])
-    np.multiply.accumulate(np.full(size - 1, pow(_BASE, -1, 1 << 64), np.uint64), out=down[1:])
+    np.multiply.accumulate(np.full(size - 1, base, np.uint64), out=up[1:])
+    np.multiply.accumulate(np.full(size - 1, pow(base, -1, 1 << 64), np.uint64), out=down[1:])
     return up, down
 
 
@@ -65,10 +69,21 @@ class Hashed:
         up, self.down = _powers(1 << max(HASHED_AT_ONCE + 1, size + 1).bit_length())
         self.sums = np.zeros(size + 1, np.uint64)
         np.cumsum(self.gear * up[:size], out=self.sums[1:])
+        self._other: tuple[np.ndarray, np.ndarray] | None = None
 
     def digests(self, at: np.ndarray, length: int) -> np.ndarray:
         return _mixed((self.sums[at + length] - self.sums[at]) * self.down[at]).view(np.int64)
 
+    def checks(self, at: np.ndarray, length: int) -> np.ndarray:
+        """32 further bits of a stretch, from sums of another base over other numbers of its code points."""
+        if self._other is None:
+            up, down = _powers(len(self.down), _OTHER)
+            sums = np.zeros(len(self.gear) + 1, np.uint64)
+            np.cumsum(_mixed(self.gear + np.uint64(1)) * up[: len(self.gear)], out=sums[1:])
+            self._other = sums, down
+        sums, down = self._other
+        return (_mixed((sums[at + length] - sums[at]) * down[at]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
     def _gear_hashes(self) -> np.ndarray:
         h = self.gear
         for step in (1, 2, 4, 8):
@@ -120,14 +135,40 @@ def _groups(texts: list[str | None]) -> Iterator[list[int]]:
         yield some
 
 
+def _sorted(digest: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by (digest, check), stable, and where in it a new one begins."""
+    order = np.argsort(digest, kind="stable")
+    for again in (True, False):
+        d, c = digest[order], check[order]
+        same, other = d[1:] == d[:-1], c[1:] != c[:-1]
+        if again and (same & other).any():
+            order = np.lexsort((check, digest))
+            continue
+        break
+    return order, np.concatenate([[True], ~same | other])[: len(order)]
+
+
+def _resolved(digest: np.ndarray, check: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows with at most one of a (digest, check) a key: their order by digest, which of them (in that order) have
+    another key beside them, and the first and last row of each such group."""
+    order, new = _sorted(digest, check)
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(order)))
+    many = size > 1
+    ends = np.concatenate([first[many], (first + size - 1)[many]])
+    return order, np.repeat(many, size), ends
+
+
 def _shared(rows: DataFrame) -> DataFrame:
-    """The rows of digest and key k whose digest occurs under two keys.
+    """The rows (digest, chk, k, at, own) whose digest occurs under two keys.
 
-    A digest comes at most once a key, so one held by a third of all records takes that small share of the rows, and
-    the window spills.
+    A worker has marked (own = k) the rows whose digest it met under two keys itself; of those only the first and last
+    also stand for their digest (without ``at``) in the shuffle, as all rows met once do. So a digest of a third of all
+    records costs its group a few rows a worker's portion, and its other rows are scattered.
     """
-    own = Window.partitionBy("digest")
-    return rows.withColumn("lo", F.min("k").over(own)).withColumn("hi", F.max("k").over(own)).where("lo <> hi").drop("lo", "hi")
+    group = Window.partitionBy("digest", "chk", "own")
+    met = rows.withColumn("lo", F.min("k").over(group)).withColumn("hi", F.max("k").over(group))
+    return met.where(F.col("at").isNotNull() & (F.col("own").isNotNull() | (F.col("lo") != F.col("hi")))).select("digest", "k", "at")
 
 
 def shared_stretches(df: DataFrame, key: str, text: str, span: int = SPAN, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -141,7 +182,10 @@ def shared_stretches(df: DataFrame, key: str, text: str, span: int = SPAN, windo
         raise ValueError("a shared stretch might hold no chunk cut in both records")
     source = df.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("text")).where(F.col(key).isNotNull() & (F.length("text") >= span))
 
+    kind = "digest bigint, chk int, k bigint, at array<int>, own bigint"
+
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Portion()
         for batch in batches:
             keys, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for some in _groups(texts):
@@ -152,12 +196,15 @@ def shared_stretches(df: DataFrame, key: str, text: str, span: int = SPAN, windo
                 cut, own = cut[inside], own[inside]
                 digest = hashed.digests(cut, anchor)
                 first = _first_of(own, digest)
-                yield pa.RecordBatch.from_arrays([pa.array(digest[first]), pa.array(keys[np.array(some)[own[first]]])], names=["digest", "k"])
+                none = np.zeros(len(first), np.int32)
+                yield from out.add(digest[first], none, keys[np.array(some)[own[first]]], none, np.arange(len(first) + 1))
+        yield from out.end()
 
-    common = _shared(spread(source).mapInArrow(chunks, "digest bigint, k bigint"))
+    common = _shared(spread(source).mapInArrow(chunks, kind)).select("digest", "k")
     flagged = written(common, "chunks").groupBy("k").agg(F.collect_set("digest").alias("digests"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Portion()
         for batch in batches:
             keys, texts, held = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2)
             for some in _groups(texts):
@@ -168,9 +215,10 @@ def shared_stretches(df: DataFrame, key: str, text: str, span: int = SPAN, windo
                     # The first window wholly within the span has its cut there in both records, and the chunk fits.
                     at = at[np.isin(hashed.digests(chunk[at + GEAR - 1], anchor), held[i].values.to_numpy())]
                     if len(at):
-                        yield _occurrences(keys[i], hashed.digests(at, span), at - hashed.starts[j])
+                        yield from out.add(*_occurrences(keys[i], hashed.digests(at, span), hashed.checks(at, span), at - hashed.starts[j]))
+        yield from out.end()
 
-    fine = _shared(source.join(flagged, "k").mapInArrow(windows, "digest bigint, k bigint, at array<int>"))
+    fine = _shared(source.join(flagged, "k").mapInArrow(windows, kind))
     # The places of a record's shared digests, whose number its own length bounds, run together to stretches.
     order = Window.partitionBy("k").orderBy("at")
     run = F.when(F.col("at") <= F.lag("at").over(order) + span, 0).otherwise(1)
@@ -178,13 +226,46 @@ def shared_stretches(df: DataFrame, key: str, text: str, span: int = SPAN, windo
     return runs.groupBy("k", "run").agg(F.min("at").alias("first"), (F.max("at") - F.min("at") + span).alias("length")).select(F.col("k").alias(key), "first", "length")
 
 
-def _occurrences(key: int, digest: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+class _Portion:
+    """Rows of a worker, gathered until there are enough to look for digests of two keys among them."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, digest: np.ndarray, check: np.ndarray, key: np.ndarray, at: np.ndarray, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows, whose places are at[cuts[i] : cuts[i + 1]]."""
+        self.parts.append((digest, check, key, at, np.diff(cuts)))
+        self.size += len(at)
+        if self.size >= RESOLVED_AT_ONCE:
+            yield from self.end()
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if not self.parts:
+            return
+        digest, check, key, at, sizes = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts, self.size = [], 0
+        order, many, ends = _resolved(digest, check, key)
+        known = np.zeros(len(digest), bool)
+        known[order] = many
+        stand = order[ends]
+        cuts = np.append(0, np.cumsum(sizes)).astype(np.int32)
+        places = pa.ListArray.from_arrays(pa.array(cuts), pa.array(at.astype(np.int32)))
+        own = pa.array(key, pa.int64(), mask=~known)
+        yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(check), pa.array(key), places, own], names=_COLUMNS)
+        if len(stand):
+            none = [pa.nulls(len(stand), pa.list_(pa.int32())), pa.nulls(len(stand), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(digest[stand]), pa.array(check[stand]), pa.array(key[stand]), *none], names=_COLUMNS)
+
+
+_COLUMNS = ["digest", "chk", "k", "at", "own"]
+
+
+def _occurrences(key: int, digest: np.ndarray, check: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     """A row for each digest, with all its places."""
-    order = np.lexsort((at, digest))
-    digest, at = digest[order], at[order]
-    first = np.flatnonzero(np.concatenate([[True], digest[1:] != digest[:-1]]))
-    places = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(at.astype(np.int32)))
-    return pa.RecordBatch.from_arrays([pa.array(digest[first]), pa.array(np.full(len(first), key, np.int64)), places], names=["digest", "k", "at"])
+    order, new = _sorted(digest, check)  # places come ascending
+    digest, check, at, first = digest[order], check[order], at[order], np.flatnonzero(new)
+    return digest[first], check[first], np.full(len(first), key, np.int64), at, np.append(first, len(at))
 
 
 def _first_of(own: np.ndarray, digest: np.ndarray) -> np.ndarray:
