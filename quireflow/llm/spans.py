@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from quireflow.plans.workspace import spread, written
+from quireflow.plans.workspace import partitions_for, spread, written
 
 SPAN = 200
 WINDOW = 95
@@ -32,6 +32,8 @@ HASHED_AT_ONCE = 1 << 18
 
 #: Digests that leave a worker together, so that it finds those of two keys among them itself.
 RESOLVED_AT_ONCE = 1 << 18
+#: Bytes of such a row in a shuffle.
+_ROW_BYTES = 24
 
 _BASE = 0x9E3779B97F4A7C15
 _OTHER = 0xD1342543DE82EF95
@@ -148,18 +150,19 @@ def _sorted(digest: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order, np.concatenate([[True], ~same | other])[: len(order)]
 
 
-def _resolved(digest: np.ndarray, check: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows with at most one of a (digest, check) a key: their order by digest, which of them (in that order) have
-    another key beside them, and the first and last row of each such group."""
+def _resolved(digest: np.ndarray, check: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows whose keys come together: which ones' (digest, check) another key has beside them, and the first and last
+    row of each such group."""
     order, new = _sorted(digest, check)
     first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(order)))
-    many = size > 1
-    ends = np.concatenate([first[many], (first + size - 1)[many]])
-    return order, np.repeat(many, size), ends
+    last = np.append(first[1:], len(order)) - 1
+    many = key[order[first]] != key[order[last]]
+    known = np.zeros(len(order), bool)
+    known[order] = np.repeat(many, last - first + 1)
+    return known, order[np.concatenate([first[many], last[many]])]
 
 
-def _shared(rows: DataFrame) -> DataFrame:
+def _shared(rows: DataFrame, size: float) -> DataFrame:
     """The rows (digest, chk, k, at, own) whose digest occurs under two keys.
 
     A worker has marked (own = k) the rows whose digest it met under two keys itself; of those only the first and last
@@ -167,6 +170,7 @@ def _shared(rows: DataFrame) -> DataFrame:
     records costs its group a few rows a worker's portion, and its other rows are scattered.
     """
     group = Window.partitionBy("digest", "chk", "own")
+    rows = rows.repartition(partitions_for(rows.sparkSession, size), "digest", "chk", "own")
     met = rows.withColumn("lo", F.min("k").over(group)).withColumn("hi", F.max("k").over(group))
     return met.where(F.col("at").isNotNull() & (F.col("own").isNotNull() | (F.col("lo") != F.col("hi")))).select("digest", "k", "at")
 
@@ -182,7 +186,7 @@ def shared_stretches(df: DataFrame, key: str, text: str, span: int = SPAN, windo
         raise ValueError("a shared stretch might hold no chunk cut in both records")
     source = df.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("text")).where(F.col(key).isNotNull() & (F.length("text") >= span))
 
-    kind = "digest bigint, chk int, k bigint, at array<int>, own bigint"
+    kind = "digest bigint, chk int, k bigint, at int, own bigint"
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Portion()
@@ -197,11 +201,13 @@ def shared_stretches(df: DataFrame, key: str, text: str, span: int = SPAN, windo
                 digest = hashed.digests(cut, anchor)
                 first = _first_of(own, digest)
                 none = np.zeros(len(first), np.int32)
-                yield from out.add(digest[first], none, keys[np.array(some)[own[first]]], none, np.arange(len(first) + 1))
+                yield from out.add(digest[first], none, keys[np.array(some)[own[first]]], none)
         yield from out.end()
 
-    common = _shared(spread(source).mapInArrow(chunks, kind)).select("digest", "k")
-    flagged = written(common, "chunks").groupBy("k").agg(F.collect_set("digest").alias("digests"))
+    spark = df.sparkSession
+    size = source.agg(F.sum(F.length("text"))).first()[0] or 0
+    common = written(_shared(spread(source).mapInArrow(chunks, kind), _ROW_BYTES * size / ((window + 1) / 2)).select("digest", "k"), "chunks")
+    flagged = common.groupBy("k").agg(F.collect_set("digest").alias("digests"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Portion()
@@ -215,14 +221,15 @@ def shared_stretches(df: DataFrame, key: str, text: str, span: int = SPAN, windo
                     # The first window wholly within the span has its cut there in both records, and the chunk fits.
                     at = at[np.isin(hashed.digests(chunk[at + GEAR - 1], anchor), held[i].values.to_numpy())]
                     if len(at):
-                        yield from out.add(*_occurrences(keys[i], hashed.digests(at, span), hashed.checks(at, span), at - hashed.starts[j]))
+                        yield from out.add(hashed.digests(at, span), hashed.checks(at, span), np.full(len(at), keys[i]), at - hashed.starts[j])
         yield from out.end()
 
-    fine = _shared(source.join(flagged, "k").mapInArrow(windows, kind))
+    # Around a shared chunk lie about as many windows as there are positions from cut to cut.
+    fine = _shared(source.join(flagged, "k").mapInArrow(windows, kind), _ROW_BYTES * common.count() * (window + 1) / 2)
     # The places of a record's shared digests, whose number its own length bounds, run together to stretches.
     order = Window.partitionBy("k").orderBy("at")
     run = F.when(F.col("at") <= F.lag("at").over(order) + span, 0).otherwise(1)
-    runs = fine.select("k", F.explode("at").alias("at")).withColumn("new", run).withColumn("run", F.sum("new").over(order))
+    runs = fine.select("k", "at").withColumn("new", run).withColumn("run", F.sum("new").over(order))
     return runs.groupBy("k", "run").agg(F.min("at").alias("first"), (F.max("at") - F.min("at") + span).alias("length")).select(F.col("k").alias(key), "first", "length")
 
 
@@ -233,9 +240,8 @@ class _Portion:
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
-    def add(self, digest: np.ndarray, check: np.ndarray, key: np.ndarray, at: np.ndarray, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Rows, whose places are at[cuts[i] : cuts[i + 1]]."""
-        self.parts.append((digest, check, key, at, np.diff(cuts)))
+    def add(self, digest: np.ndarray, check: np.ndarray, key: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append((digest, check, key, at))
         self.size += len(at)
         if self.size >= RESOLVED_AT_ONCE:
             yield from self.end()
@@ -243,31 +249,19 @@ class _Portion:
     def end(self) -> Iterator[pa.RecordBatch]:
         if not self.parts:
             return
-        digest, check, key, at, sizes = (np.concatenate(x) for x in zip(*self.parts))
+        digest, check, key, at = (np.concatenate(x) for x in zip(*self.parts))
         self.parts, self.size = [], 0
-        order, many, ends = _resolved(digest, check, key)
-        known = np.zeros(len(digest), bool)
-        known[order] = many
-        stand = order[ends]
-        cuts = np.append(0, np.cumsum(sizes)).astype(np.int32)
-        places = pa.ListArray.from_arrays(pa.array(cuts), pa.array(at.astype(np.int32)))
+        known, stand = _resolved(digest, check, key)
         own = pa.array(key, pa.int64(), mask=~known)
-        yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(check), pa.array(key), places, own], names=_COLUMNS)
+        yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(check), pa.array(key), pa.array(at.astype(np.int32)), own], names=_COLUMNS)
         if len(stand):
-            none = [pa.nulls(len(stand), pa.list_(pa.int32())), pa.nulls(len(stand), pa.int64())]
+            none = [pa.nulls(len(stand), pa.int32()), pa.nulls(len(stand), pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(digest[stand]), pa.array(check[stand]), pa.array(key[stand]), *none], names=_COLUMNS)
 
 
 _COLUMNS = ["digest", "chk", "k", "at", "own"]
 
 
-def _occurrences(key: int, digest: np.ndarray, check: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """A row for each digest, with all its places."""
-    order, new = _sorted(digest, check)  # places come ascending
-    digest, check, at, first = digest[order], check[order], at[order], np.flatnonzero(new)
-    return digest[first], check[first], np.full(len(first), key, np.int64), at, np.append(first, len(at))
-
-
 def _first_of(own: np.ndarray, digest: np.ndarray) -> np.ndarray:
     """Index of the first of each (own, digest), in order."""
     order = np.lexsort((digest, own))
