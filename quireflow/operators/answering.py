@@ -66,7 +66,7 @@ def _decided(questions: DataFrame, packs: DataFrame, min_score: float, min_confi
     """questions' columns, the decision, and what an answer is made of: one pass over the packs."""
     top = F.min(F.struct("citation_id", "retrieval_score", "rerank_score", "procedure_support")).alias("_top")
     body = [_lines("content").alias("_lines"), _lines("source").alias("_sources"), F.max(F.col("chunk_type").isin("warning", "caution")).alias("_safety")]
-    held = packs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_evidence"), top, *body, F.flatten(F.collect_list("element_ids")).alias("cited"))
+    held = packs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_evidence"), top, *body, F.flatten(F.collect_list("element_ids")).alias("cited"), F.collect_list("chunk_id").alias("cited_chunks"))
     df = questions.join(held, "query_id", "left")
     reason = (
         F.when(~has_vehicle_context(), "needs_vehicle_context")
@@ -85,7 +85,7 @@ def _decided(questions: DataFrame, packs: DataFrame, min_score: float, min_confi
 
 
 def decisions(questions: DataFrame, packs: DataFrame, min_score: float = MIN_SCORE, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """questions' columns with n_evidence, cited (element ids), confidence, reason, status; the first reason that holds
+    """questions' columns with n_evidence, cited (element ids), cited_chunks, confidence, reason, status; the first reason that holds
     counts."""
     return _decided(questions, packs, min_score, min_confidence).drop("_top", "_lines", "_sources", "_safety")
 

@@ -1,17 +1,25 @@
-"""Weighted BM25 over several text columns: index tables and searches of many queries in one plan."""
+"""Weighted BM25 over several text columns: kept indexes, and searches of many queries in one plan."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quireflow.functions import text as T
-from quireflow.plans.workspace import written
+from quireflow.plans.workspace import checkpoint_root, kept, partitions_for
+from quireflow.sources.files import open_index, write_index
 
 K1, B = 1.2, 0.75
 #: An inverse document frequency that is not positive counts as this.
 LEAST_IDF = 1e-6
+#: Scores are summed as whole numbers of this part, so that a sum does not depend on its order.
+UNIT = 1e12
+KIND = "bm25"
+#: Bytes of a posting.
+_POSTING_BYTES = 24
 
 # Weights of content, section and metadata (label, text and section for graph nodes).
 TEXT_WEIGHTS = {"content": 1.0, "section_text": 1.8, "metadata": 0.6}
@@ -24,7 +32,7 @@ def postings(records: DataFrame, key: str, weights: dict[str, float], within: st
     """key, term, tf (weighted), length (unweighted tokens of the record), and ``within``: one row per record and term.
 
     All columns' tokens are laid end to end below the generator, which would else tokenize again for each row it makes;
-    a token's place tells its column and so its weight.
+    a token's place tells its column. Tokens are counted by column and weighted after, so tf does not depend on an order.
     """
     words = analyze or (lambda c: T.tokens(c, T.PLAIN_TOKEN))
     carried = [key, within] if within else [key]
@@ -35,34 +43,106 @@ def postings(records: DataFrame, key: str, weights: dict[str, float], within: st
         ends.append(total)
     laid = parts.select(*carried, total.alias("length"), *[e.alias(f"_e{i}") for i, e in enumerate(ends)], F.concat(*[f"_w{i}" for i in range(len(weights))]).alias("ts"))
     rows = laid.select(*carried, "length", *[f"_e{i}" for i in range(len(ends))], F.posexplode("ts").alias("place", "term"))
-    weight = F.lit(0.0)
-    for i, w in reversed(list(enumerate(weights.values()))):
-        weight = F.when(F.col("place") < F.col(f"_e{i}"), F.lit(w)).otherwise(weight)
-    return rows.groupBy(*carried, "length", "term").agg(F.sum(weight).alias("tf"))
+    counts = [F.count_if((F.col("place") < F.col(f"_e{i}")) & (F.col("place") >= (F.col(f"_e{i - 1}") if i else F.lit(0)))) for i in range(len(ends))]
+    tf = F.lit(0.0)
+    for n, w in zip(counts, weights.values()):
+        tf = tf + n * F.lit(float(w))
+    return rows.groupBy(*carried, "length", "term").agg(tf.alias("tf"))
+
+
+@dataclass(frozen=True)
+class Index:
+    """Postings by term, each term's idf and greatest share of a score, and the size of what was indexed."""
+
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+    key: str
+
+
+def write(records: DataFrame, key: str, weights: dict[str, float], path: str, within: str | None = None, analyze=None) -> None:
+    """Writes an index of records. Repeated keys are an error. Postings are parted by ranges of term and key, so a term of
+    many records takes several files, and lie by term, so a search reads only the parts of its terms."""
+    spark = records.sparkSession
+    twice = records.groupBy(key).count().where("count > 1").first()
+    if twice:
+        raise ValueError(f"{key} {twice[key]} is indexed {twice['count']} times")
+    posted = f"{path}/_made"
+    postings(records, key, weights, within, analyze).write.parquet(posted)
+    made = spark.read.parquet(posted)
+    n = records.count()
+    lengths = made.select(key, "length").distinct()
+    total, rows = lengths.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0], made.count()
+    stats = spark.createDataFrame([(key, n, total, total / n if n else 0.0)], "key string, n bigint, tokens bigint, mean double")
+    mean = total / n if n and total else 1.0
+    tf = F.col("tf")
+    made = made.withColumn("part", tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / mean)))
+    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    terms = made.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("most")).withColumn("idf", F.when(idf <= 0, LEAST_IDF).otherwise(idf))
+    parted = made.repartitionByRange(partitions_for(spark, rows * _POSTING_BYTES), "term", key).sortWithinPartitions("term", key)
+    write_index({"postings": parted, "terms": terms.repartitionByRange("term").sortWithinPartitions("term"), "stats": stats}, path, KIND)
+
+
+def opened(spark: SparkSession, path: str) -> Index:
+    """A written index; another kind or version is an error."""
+    t = open_index(spark, path, KIND)
+    return Index(t["postings"], t["terms"], t["stats"], t["stats"].first()["key"])
+
 
+def index_of(spark: SparkSession, name: str, records: DataFrame, key: str, weights: dict[str, float], mark: str, within: str | None = None, analyze=None, root: str | None = None) -> Index:
+    """The kept index of that name and ``mark`` (a fingerprint of what records come from): written at first, opened after."""
+    place = kept(spark, f"{name}-{mark}", lambda path: write(records, key, weights, path, within, analyze), root or f"{checkpoint_root(spark)}/indexes")
+    return opened(spark, place)
 
-def search(records: DataFrame, key: str, weights: dict[str, float], queries: DataFrame, limit: int | None, within: str | None = None, analyze=None) -> DataFrame:
+
+def _score(parts: Column) -> Column:
+    return F.sum(F.round(parts * UNIT).cast("bigint"))
+
+
+def search(index: Index, queries: DataFrame, limit: int | None, within: str | None = None) -> DataFrame:
     """query_id, key, score, rank of the ``limit`` best records of each query (query_id, term; distinct terms).
 
-    The postings are written once, as an index table that statistics and hits read. Statistics are of the whole index,
-    records without tokens included. ``within`` names a column of both sides that a hit must share; it filters hits
-    before ranking, never the statistics. Ties go to the smaller key. Only postings of terms some query asks for are
-    shuffled to the join.
+    Statistics are of the whole index, records without tokens included. ``within`` names a column of both sides that a
+    hit must share; it filters hits before ranking, never the statistics. Ranks go by the sum itself, ties to the
+    smaller key; the score is rounded to 6 digits after. Only postings of terms some query asks for are read on.
     """
-    posted = written(postings(records, key, weights, within, analyze), "postings")
-    n = records.agg(F.count(F.lit(1))).scalar()
-    mean = posted.select(key, "length").distinct().agg(F.sum("length")).scalar() / n
-    dfs = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    wanted = queries.select("term").distinct()
-    weighed = dfs.join(wanted, "term").select("term", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weighed = weighed.withColumn("idf", F.when(F.col("idf") <= 0, LEAST_IDF).otherwise(F.col("idf")))
-    asked = queries.join(weighed, "term")
-    tf = F.col("tf")
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / mean))
-    scored = posted.join(asked, ["term", within] if within else ["term"]).groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    key = index.key
+    asked = queries.join(index.terms.select("term", "idf"), "term")
+    hits = index.postings.join(asked, ["term", within] if within else ["term"])
+    return _ranked(hits.groupBy("query_id", key).agg(_score(F.col("idf") * F.col("part")).alias("_s")), key, limit)
+
+
+def pruned_search(index: Index, queries: DataFrame, limit: int, within: str | None = None) -> DataFrame:
+    """``search``, but records that only common terms lead to are left out where they cannot be among the best.
+
+    A query's rarest terms give it ``limit`` records, and so a score the last of the best cannot lie below. Terms whose
+    greatest shares together stay under it cannot lift a record by themselves: they are looked up, by term and record,
+    only for records another term has found. Nothing is lost, and a term in most records makes no join of its own.
+    """
+    key = index.key
+    on = ["term", within] if within else ["term"]
+    asked = queries.join(index.terms, "term").withColumn("top", F.ceil(F.col("idf") * F.col("most") * UNIT).cast("bigint") + 1)
+    rarest = Window.partitionBy("query_id").orderBy(F.desc("top"), "term")
+    seeds = asked.withColumn("_n", F.row_number().over(rarest)).where("_n = 1")
+    first = index.postings.join(seeds, on).select("query_id", key, F.round(F.col("idf") * F.col("part") * UNIT).cast("bigint").alias("_s"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("_s"), key)
+    floors = first.withColumn("_n", F.row_number().over(best)).where(F.col("_n") == limit).select("query_id", F.col("_s").alias("floor"))
+    rising = Window.partitionBy("query_id").orderBy("top", F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
+    split = asked.join(floors, "query_id", "left").withColumn("needed", F.coalesce(F.sum("top").over(rising) >= F.col("floor"), F.lit(True)))
+    hits = index.postings.join(split.where("needed"), on).groupBy("query_id", key).agg(_score(F.col("idf") * F.col("part")).alias("_s"))
+    rest = split.where("not needed").groupBy("query_id").agg(F.sum("top").alias("more"), F.max("floor").alias("floor"), F.collect_list(F.struct("term", "idf")).alias("terms"))
+    open_ = hits.join(rest, "query_id", "left")
+    open_ = open_.where(F.coalesce(F.col("_s") + F.col("more") >= F.col("floor"), F.lit(True)))
+    asked_for = open_.where("terms IS NOT NULL").select("query_id", key, F.explode("terms").alias("t")).select("query_id", key, "t.term", "t.idf")
+    found = index.postings.select("term", key, "part").join(asked_for, ["term", key]).select("query_id", key, F.round(F.col("idf") * F.col("part") * UNIT).cast("bigint").alias("_s"))
+    return _ranked(open_.select("query_id", key, "_s").unionByName(found).groupBy("query_id", key).agg(F.sum("_s").alias("_s")), key, limit)
+
+
+def _ranked(scored: DataFrame, key: str, limit: int | None) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy(F.desc("_s"), key)
     ranked = scored.withColumn("rank", F.row_number().over(best))
-    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
+    ranked = ranked if limit is None else ranked.where(F.col("rank") <= limit)
+    return ranked.select("query_id", key, F.round(F.col("_s") / UNIT, 6).alias("score"), "rank")
 
 
 def query_terms(queries: DataFrame, text: str, stopwords=T.TEXT_STOPWORDS) -> DataFrame:

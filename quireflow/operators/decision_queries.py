@@ -54,7 +54,8 @@ def porter_search(spark: SparkSession, folder: str) -> DataFrame:
     """Text search over stemmed tokens without diacritics."""
     q = R.questions(spark, folder).withColumn("terms", porter.stemmed(F.array_join(R.T.search_terms(F.col("question")), " ")))
     asked = q.select("query_id", "doc_id", F.explode(F.array_distinct("terms")).alias("term"))
-    return bm25.search(R.chunks(spark, folder), "chunk_id", bm25.TEXT_WEIGHTS, asked, 10, within="doc_id", analyze=porter.stemmed).select("query_id", "chunk_id", "score", "rank")
+    index = R._index(spark, folder, "porter", R.chunks, "chunk_id", bm25.TEXT_WEIGHTS, "chunks", analyze=porter.stemmed)
+    return bm25.search(index, asked, 10, within="doc_id").select("query_id", "chunk_id", "score", "rank")
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:

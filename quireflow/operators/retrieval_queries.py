@@ -1,6 +1,7 @@
 """Queries of search, ranking, fusion and answering over the manual tables, with their SQL.
 
-Questions are the labels of a manual's components, asked within that manual; what answers one is the evidence its node names.
+Questions are made of the labels of a manual's components, by several templates: procedures, facts, values, warnings, and
+some without a manual, without a word of the corpus, or without an answer. What answers one is the evidence its node names.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from quireflow.functions import oracle as O
 from quireflow.functions import text as T
 from quireflow.operators import bm25
 from quireflow.operators import answering as A
+from quireflow.operators import evaluation as E
 from quireflow.operators import fusion
+from quireflow.plans.workspace import fingerprint
 from quireflow.sources.tables import first_arrivals, table
 
 META = ["doc_id", "brand", "model", "year", "region", "language", "manual_type"]
@@ -25,15 +28,59 @@ def chunks(spark: SparkSession, folder: str) -> DataFrame:
     return one.withColumn("section_text", T.section_text(F.col("section_path"))).withColumn("metadata", T.metadata_text())
 
 
+#: Question templates by the last character of a node's id; ``{}`` is the component's label.
+TEMPLATES = (
+    "How do I use the {}?", "What is the {}?", "Which warning applies to the {}?", "Where is the {} shown?", "What is the torque or capacity of the {}?",
+    "What does the {} indicate and what happens then?", "Qwyzzix vrombel?", "How do I calibrate the {} flux interlock?",
+)
+#: The template no manual answers, and the place of ids at which questions name no manual.
+UNANSWERED, WITHOUT_MANUAL = (6, 7), 9
+
+
 def questions(spark: SparkSession, folder: str) -> DataFrame:
-    """query_id, question, doc_id, gold (element ids) of every component node."""
-    nodes = first_arrivals(table(spark, folder, "graph_nodes"), "node_id", ["node_type", "label", "doc_id", "evidence_ids"])
-    return nodes.where("node_type = 'Component'").select(F.col("node_id").alias("query_id"), F.concat(F.lit("How do I use the "), "label", F.lit("?")).alias("question"), "doc_id", F.col("evidence_ids").alias("gold"))
+    """query_id, question, doc_id ('' where none is named), gold (evidence ids; none where no answer is expected), template, of
+    every component node."""
+    nodes = first_arrivals(table(spark, folder, "graph_nodes"), "node_id", ["node_type", "label", "doc_id", "evidence_ids", "page_no", "section_path"])
+    last = F.ascii(F.right("node_id", F.lit(1)))
+    t = (last % len(TEMPLATES)).alias("template")
+    nodes = nodes.where("node_type = 'Component'").select("node_id", "label", "doc_id", "evidence_ids", "page_no", t, (last % 16 == WITHOUT_MANUAL).alias("bare"))
+    asked = F.lit(TEMPLATES[0])
+    for i, text in enumerate(TEMPLATES):
+        asked = F.when(F.col("template") == i, F.lit(text)).otherwise(asked)
+    gold = F.when(F.col("template").isin(*UNANSWERED), F.array().cast("array<string>")).otherwise(F.filter("evidence_ids", lambda e: e != ""))
+    return nodes.select(
+        F.col("node_id").alias("query_id"), F.replace(asked, F.lit("{}"), "label").alias("question"), F.when(F.col("bare"), "").otherwise(F.col("doc_id")).alias("doc_id"),
+        gold.alias("gold"), "template", "page_no",
+    )
+
+
+def asked_terms(spark: SparkSession, folder: str, stopwords=T.TEXT_STOPWORDS) -> DataFrame:
+    return bm25.query_terms(questions(spark, folder), "question", stopwords).select("query_id", "term", "doc_id")
+
+
+def _index(spark: SparkSession, folder: str, name: str, records, key: str, weights: dict[str, float], source: str, analyze=None, root: str | None = None) -> bm25.Index:
+    mark = fingerprint(spark, [f"{folder}/{source}.parquet"], key, weights)
+    return bm25.index_of(spark, name, records(spark, folder), key, weights, mark, within="doc_id", analyze=analyze, root=root)
+
+
+def text_index(spark: SparkSession, folder: str, root: str | None = None) -> bm25.Index:
+    return _index(spark, folder, "text", chunks, "chunk_id", bm25.TEXT_WEIGHTS, "chunks", root=root)
+
+
+def table_index(spark: SparkSession, folder: str, root: str | None = None) -> bm25.Index:
+    return _index(spark, folder, "tables", _tables, "element_id", bm25.TABLE_WEIGHTS, "table_elements", root=root)
+
+
+def node_index(spark: SparkSession, folder: str, root: str | None = None) -> bm25.Index:
+    return _index(spark, folder, "nodes", graph_nodes, "node_id", bm25.NODE_WEIGHTS, "graph_nodes", root=root)
+
+
+def image_index(spark: SparkSession, folder: str, root: str | None = None) -> bm25.Index:
+    return _index(spark, folder, "images", lambda s, f: graph_nodes(s, f).where("node_type = 'Image'"), "node_id", bm25.NODE_WEIGHTS, "graph_nodes", root=root)
 
 
 def text_hits(spark: SparkSession, folder: str, limit: int | None = 10) -> DataFrame:
-    asked = bm25.query_terms(questions(spark, folder), "question").select("query_id", "term", "doc_id")
-    return bm25.search(chunks(spark, folder), "chunk_id", bm25.TEXT_WEIGHTS, asked, limit, within="doc_id")
+    return bm25.search(text_index(spark, folder), asked_terms(spark, folder), limit, within="doc_id")
 
 
 def fts_query_terms(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,8 +93,8 @@ def bm25_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bm25_unfiltered(spark: SparkSession, folder: str) -> DataFrame:
-    asked = bm25.query_terms(questions(spark, folder), "question").select("query_id", "term")
-    return bm25.search(chunks(spark, folder), "chunk_id", bm25.TEXT_WEIGHTS, asked, 10).select("query_id", "chunk_id", "score", "rank")
+    """All manuals' chunks for every question, by bounds that leave common terms out where nothing can come of them."""
+    return bm25.pruned_search(text_index(spark, folder), asked_terms(spark, folder).drop("doc_id"), 10).select("query_id", "chunk_id", "score", "rank")
 
 
 def _tables(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,8 +103,7 @@ def _tables(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bm25_tables(spark: SparkSession, folder: str) -> DataFrame:
-    asked = bm25.query_terms(questions(spark, folder), "question", T.TABLE_STOPWORDS).select("query_id", "term", "doc_id")
-    return bm25.search(_tables(spark, folder), "element_id", bm25.TABLE_WEIGHTS, asked, 10, within="doc_id").select("query_id", "element_id", "score", "rank")
+    return bm25.search(table_index(spark, folder), asked_terms(spark, folder, T.TABLE_STOPWORDS), 10, within="doc_id").select("query_id", "element_id", "score", "rank")
 
 
 def graph_nodes(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,13 +112,15 @@ def graph_nodes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bm25_entities(spark: SparkSession, folder: str) -> DataFrame:
-    asked = bm25.query_terms(questions(spark, folder), "question", T.GRAPH_STOPWORDS).select("query_id", "term", "doc_id")
-    return bm25.search(graph_nodes(spark, folder), "node_id", bm25.NODE_WEIGHTS, asked, 8, within="doc_id").select("query_id", "node_id", "score", "rank")
+    return bm25.search(node_index(spark, folder), asked_terms(spark, folder, T.GRAPH_STOPWORDS), 8, within="doc_id").select("query_id", "node_id", "score", "rank")
 
 
 def bm25_index_stats(spark: SparkSession, folder: str) -> DataFrame:
-    posted = bm25.postings(chunks(spark, folder), "chunk_id", bm25.TEXT_WEIGHTS)
-    return posted.agg(F.countDistinct("chunk_id").alias("n_rows"), F.countDistinct("term").alias("n_terms"), F.count(F.lit(1)).alias("n_postings"), F.round(F.sum("tf"), 3).alias("weight"))
+    """What the kept text index holds."""
+    index = text_index(spark, folder)
+    posted = index.postings.agg(F.countDistinct("chunk_id").alias("n_rows"), F.countDistinct("term").alias("n_terms"), F.count(F.lit(1)).alias("n_postings"), F.round(F.sum("tf"), 3).alias("weight"))
+    documents = index.postings.agg(F.countDistinct("doc_id").alias("documents"))
+    return posted.withColumn("documents", F.lit(documents.first()[0])).withColumn("records", F.lit(index.stats.first()["n"]))
 
 
 def _second_ranker(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,16 +134,15 @@ def _second_ranker(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rrf_hybrid(spark: SparkSession, folder: str) -> DataFrame:
-    fused = fusion.reciprocal_rank_fusion(text_hits(spark, folder, 50), _second_ranker(spark, folder), "chunk_id", limit=10, names=("text", "cover"))
+    fused = fusion.reciprocal_rank_fusion(text_hits(spark, folder, fusion.CANDIDATES), _second_ranker(spark, folder), "chunk_id", limit=10, names=("text", "cover"))
     return fused.select("query_id", "chunk_id", "text_rank", "cover_rank", "rrf_score", "rank")
 
 
 def page_fusion(spark: SparkSession, folder: str) -> DataFrame:
     """Image hits of each question joined with the best text hit of their page."""
     hits = text_hits(spark, folder, 50).join(chunks(spark, folder).select("chunk_id", "doc_id", "page_nos"), "chunk_id")
-    asked = bm25.query_terms(questions(spark, folder), "question").select("query_id", "term", "doc_id")
-    images = graph_nodes(spark, folder).where("node_type = 'Image'")
-    visual = bm25.search(images, "node_id", bm25.NODE_WEIGHTS, asked, 50, within="doc_id").join(images.select("node_id", "doc_id", "page_no"), "node_id")
+    images = graph_nodes(spark, folder).where("node_type = 'Image'").select("node_id", "doc_id", "page_no")
+    visual = bm25.search(image_index(spark, folder), asked_terms(spark, folder), 50, within="doc_id").join(images, "node_id")
     return fusion.page_fusion(visual, hits, "node_id", limit=10).select("query_id", "node_id", "visual_rank", "text_rank", "rrf_score", "rank")
 
 
@@ -125,43 +172,42 @@ def answer_text(spark: SparkSession, folder: str) -> DataFrame:
     return A.answers(questions(spark, folder), _packs(spark, folder)).select("query_id", "status", "answer")
 
 
-def answer_metrics(spark: SparkSession, folder: str) -> DataFrame:
+def answer_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Each question's decision, whether it was to be answered, and whether a cited piece is or holds its evidence."""
     done = A.decisions(questions(spark, folder), _packs(spark, folder))
-    known = F.size("gold") > 0
-    hit = F.coalesce(F.arrays_overlap("cited", "gold"), F.lit(False))
-    return done.agg(
-        F.count(F.lit(1)).alias("questions"),
-        F.round(F.avg(((F.col("status") == "answered") == known).cast("int")), 6).alias("decision_accuracy"),
-        F.round(F.avg(F.when(known, (F.col("status") == "answered").cast("int"))), 6).alias("response_rate"),
-        F.round(F.avg(F.when(known, ((F.col("status") == "answered") & hit).cast("int"))), 6).alias("citation_recall"),
-        F.round(F.avg(F.when(~known, (F.col("status") == "refused").cast("int"))), 6).alias("no_answer_accuracy"),
-    )
+    cited = F.coalesce(F.arrays_overlap(F.concat("cited", "cited_chunks"), "gold"), F.lit(False))
+    return done.select("query_id", "status", "reason", (F.size("gold") > 0).alias("answerable"), (F.col("status") == "answered").alias("answered"), cited.alias("hit"))
 
 
-def _first_ranks(spark: SparkSession, folder: str) -> DataFrame:
-    hits = text_hits(spark, folder).join(chunks(spark, folder).select("chunk_id", "element_ids"), "chunk_id")
-    q = questions(spark, folder).where(F.size("gold") > 0).join(chunks(spark, folder).select("doc_id", "language").distinct(), "doc_id", "left").groupBy("query_id", "gold").agg(F.min("language").alias("category"))
-    gold = q.select("query_id", F.explode("gold").alias("element_id")).distinct()
-    found = hits.select("query_id", "rank", F.explode("element_ids").alias("element_id")).join(gold, ["query_id", "element_id"]).groupBy("query_id").agg(F.min("rank").alias("first_rank"))
-    return q.select("query_id", "category").join(found, "query_id", "left")
+def answer_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    return E.answer_metrics(answer_records(spark, folder))
+
 
+def _gold_ranks(spark: SparkSession, folder: str, hits: DataFrame) -> DataFrame:
+    """query_id, category, first_rank: the best rank of a chunk that is a question's evidence or holds it."""
+    held = chunks(spark, folder).select("chunk_id", "element_ids")
+    q = questions(spark, folder).where(F.size("gold") > 0)
+    proofs = F.explode(F.array_distinct(F.concat(F.array("chunk_id"), F.coalesce("element_ids", F.array().cast("array<string>"))))).alias("evidence")
+    found = hits.select("query_id", "chunk_id", "rank").join(held, "chunk_id").select("query_id", "rank", proofs)
+    gold = q.select("query_id", F.explode("gold").alias("evidence")).distinct()
+    first = found.join(gold, ["query_id", "evidence"]).groupBy("query_id").agg(F.min("rank").alias("first_rank"))
+    return q.select("query_id", F.concat(F.lit("template "), F.col("template").cast("string")).alias("category")).join(first, "query_id", "left")
 
-def _recall(df: DataFrame, *by: str) -> DataFrame:
-    at = lambda k: F.round(F.avg(F.when(F.col("first_rank") <= k, 1).otherwise(0)), 6)
-    mrr = F.round(F.avg(F.coalesce(F.when(F.col("first_rank") <= 10, 1 / F.col("first_rank")), F.lit(0.0))), 6)
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("questions"), at(1).alias("recall_1"), at(5).alias("recall_5"), at(10).alias("recall_10"), mrr.alias("mrr_10"))
+
+def _first_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    return _gold_ranks(spark, folder, text_hits(spark, folder))
 
 
 def recall_mrr(spark: SparkSession, folder: str) -> DataFrame:
-    return _recall(_first_ranks(spark, folder))
+    return E.recall(_first_ranks(spark, folder))
 
 
 def recall_by_category(spark: SparkSession, folder: str) -> DataFrame:
-    return _recall(_first_ranks(spark, folder).withColumn("category", F.coalesce("category", F.lit("none"))), "category")
+    return E.recall(_first_ranks(spark, folder), "category")
 
 
 def route_plan(spark: SparkSession, folder: str) -> DataFrame:
-    q = questions(spark, folder).unionByName(table(spark, folder, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("query_id"), F.col("text").alias("question"), F.lit("").alias("doc_id"), F.array().cast("array<string>").alias("gold")))
+    q = questions(spark, folder).unionByName(table(spark, folder, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("query_id"), F.col("text").alias("question"), F.lit("").alias("doc_id"), F.array().cast("array<string>").alias("gold"), F.lit(0).alias("template"), F.lit(None).cast("int").alias("page_no")))
     return A.routes(q, "question").select("query_id", "intent", "multi_hop", "use_text", "use_table", "use_graph", "use_visual")
 
 
@@ -170,24 +216,28 @@ QUERIES = {f.__name__: f for f in (fts_query_terms, bm25_search, bm25_unfiltered
 # --- SQL -----------------------------------------------------------------------------------------------------------
 
 _NODES = O.first("graph_nodes", "node_id", "*")
-_QUESTIONS = f"questions AS (SELECT node_id AS query_id, 'How do I use the ' || label || '?' AS question, doc_id, evidence_ids AS gold FROM {_NODES} WHERE node_type = 'Component')"
+_LAST = "ascii(right(node_id, 1))"
+_ASKED = f"replace(CASE {_LAST} % {len(TEMPLATES)} " + " ".join(f"WHEN {i} THEN {O.lit(t)}" for i, t in enumerate(TEMPLATES)) + " END, '{}', label)"
+_QUESTIONS = f"""questions AS (SELECT node_id AS query_id, {_ASKED} AS question, CASE WHEN {_LAST} % 16 = {WITHOUT_MANUAL} THEN '' ELSE doc_id END AS doc_id,
+  CASE WHEN {_LAST} % {len(TEMPLATES)} IN {UNANSWERED} THEN []::VARCHAR[] ELSE list_filter(evidence_ids, lambda e: e <> '') END AS gold, {_LAST} % {len(TEMPLATES)} AS template, page_no FROM {_NODES} WHERE node_type = 'Component')"""
 _CHUNKS = f"chunk AS (SELECT * REPLACE (array_to_string(section_path, ' > ') AS section_text), {O.metadata_text()} AS metadata FROM {O.first('chunks', 'chunk_id', '*')})"
 _TABLES = f"tab AS (SELECT * REPLACE (array_to_string(section_path, ' > ') AS section_text), {O.metadata_text()} AS metadata FROM {O.first('table_elements', 'element_id', '*')})"
 _NODE = f"node AS (SELECT *, '[' || array_to_string(section_path, ', ') || ']' AS section_json FROM {_NODES})"
 
 
 def _search(name: str, source: str, key: str, weights: dict[str, float], limit: int | None, within: bool = True, stopwords=T.TEXT_STOPWORDS) -> str:
-    parts = " UNION ALL ".join(f"SELECT {key} AS k, doc_id, unnest({O.tokens(c)}) AS term, {w} AS w FROM {source}" for c, w in weights.items())
+    parts = " UNION ALL ".join(f"SELECT {key} AS k, doc_id, unnest({O.tokens(c)}) AS term, {i} AS c FROM {source}" for i, c in enumerate(weights))
+    tf = " + ".join(f"count(CASE WHEN c = {i} THEN 1 END) * {w}::DOUBLE" for i, w in enumerate(weights.values()))
     return f"""
 {name}_t AS MATERIALIZED ({parts}),
-{name}_p AS MATERIALIZED (SELECT k, doc_id, term, sum(w) AS tf FROM {name}_t GROUP BY ALL),
+{name}_p AS MATERIALIZED (SELECT k, doc_id, term, {tf} AS tf FROM {name}_t GROUP BY ALL),
 {name}_l AS (SELECT k, count(*) AS length FROM {name}_t GROUP BY k),
 {name}_s AS (SELECT (SELECT count(*) FROM {source}) AS n, (SELECT sum(length) FROM {name}_l) / (SELECT count(*) FROM {source}) AS mean),
 {name}_d AS (SELECT term, CASE WHEN ln((n - count(*) + 0.5) / (count(*) + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - count(*) + 0.5) / (count(*) + 0.5)) END AS idf FROM {name}_p, {name}_s GROUP BY term, n),
 {name}_q AS (SELECT query_id, doc_id, unnest({O.search_terms('question', stopwords)}) AS term FROM questions),
-{name}_r AS (SELECT query_id, k, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score
+{name}_r AS (SELECT query_id, k, sum(round(idf * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))) * 1e12::DOUBLE)::BIGINT) AS s
   FROM {name}_q q JOIN {name}_p p ON p.term = q.term {'AND p.doc_id = q.doc_id' if within else ''} JOIN {name}_d d ON d.term = p.term JOIN {name}_l USING (k), {name}_s GROUP BY ALL),
-{name} AS MATERIALIZED (SELECT query_id, k AS {key}, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, k)::INT AS rank FROM {name}_r {f'QUALIFY rank <= {limit}' if limit else ''})"""
+{name} AS MATERIALIZED (SELECT query_id, k AS {key}, round(s / 1e12::DOUBLE, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, k)::INT AS rank FROM {name}_r {f'QUALIFY rank <= {limit}' if limit else ''})"""
 
 
 def _hits(limit: int) -> str:
@@ -215,10 +265,15 @@ decided AS (SELECT q.query_id, q.gold, coalesce(n_evidence, 0) AS n_evidence, co
        WHEN t.retrieval_score < 12.0 OR t.rerank_score < 0.55 THEN 'evidence_below_threshold' ELSE 'answered' END AS reason
   FROM questions q LEFT JOIN top t USING (query_id) LEFT JOIN counted USING (query_id)),
 final AS (SELECT *, CASE reason WHEN 'answered' THEN 'answered' WHEN 'needs_vehicle_context' THEN 'needs_context' ELSE 'refused' END AS status FROM decided)"""
-_RANKS = """gold AS (SELECT query_id, doc_id, gold FROM questions WHERE len(gold) > 0),
-cats AS (SELECT g.query_id, min(c.language) AS category FROM gold g LEFT JOIN chunk c USING (doc_id) GROUP BY ALL),
-found AS (SELECT h.query_id, min(h.rank) AS first_rank FROM hits h JOIN chunk c USING (chunk_id) JOIN gold g USING (query_id) WHERE list_has_any(c.element_ids, g.gold) GROUP BY ALL),
-ranks AS (SELECT query_id, coalesce(category, 'none') AS category, first_rank FROM cats LEFT JOIN found USING (query_id))"""
+_PROOF = "SELECT chunk_id, unnest(list_distinct(list_concat([chunk_id], coalesce(element_ids, [])))) AS evidence FROM chunk"
+
+
+def _ranks(hits: str = "hits") -> str:
+    return f"""gold AS (SELECT query_id, template, gold FROM questions WHERE len(gold) > 0), proof AS ({_PROOF}),
+found AS (SELECT h.query_id, min(h.rank) AS first_rank FROM {hits} h JOIN proof p USING (chunk_id) JOIN gold g USING (query_id) WHERE list_contains(g.gold, p.evidence) GROUP BY ALL),
+ranks AS (SELECT query_id, 'template ' || template AS category, first_rank FROM gold LEFT JOIN found USING (query_id))"""
+
+
 _METRICS = "count(*) AS questions, round(avg(CASE WHEN first_rank <= 1 THEN 1 ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN first_rank <= 5 THEN 1 ELSE 0 END), 6) AS recall_5, round(avg(CASE WHEN first_rank <= 10 THEN 1 ELSE 0 END), 6) AS recall_10, round(avg(coalesce(CASE WHEN first_rank <= 10 THEN 1 / first_rank END, 0)), 6) AS mrr_10"
 _DENSE_KEPT = f"list_filter({O.tokens('question')}, lambda t: NOT list_contains({O.words(T.TEXT_STOPWORDS)}, t) AND (length(t) > 1 OR regexp_matches(t, '^[0-9]$')))"
 
@@ -238,7 +293,7 @@ SELECT query_id, array_to_string(list_transform({O.search_terms('question')}, la
     "bm25_unfiltered": f"WITH {_QUESTIONS}, {_CHUNKS}, {_search('hits', 'chunk', 'chunk_id', bm25.TEXT_WEIGHTS, 10, within=False)} SELECT * FROM hits",
     "bm25_tables": f"WITH {_QUESTIONS}, {_TABLES}, {_search('hits', 'tab', 'element_id', bm25.TABLE_WEIGHTS, 10, stopwords=T.TABLE_STOPWORDS)} SELECT * FROM hits",
     "bm25_entities": f"WITH {_QUESTIONS}, {_NODE}, {_search('hits', 'node', 'node_id', bm25.NODE_WEIGHTS, 8, stopwords=T.GRAPH_STOPWORDS)} SELECT * FROM hits",
-    "bm25_index_stats": _hits(10) + " SELECT count(DISTINCT k) AS n_rows, count(DISTINCT term) AS n_terms, count(*) AS n_postings, round(sum(tf), 3)::DOUBLE AS weight FROM hits_p",
+    "bm25_index_stats": _hits(10) + " SELECT count(DISTINCT k) AS n_rows, count(DISTINCT term) AS n_terms, count(*) AS n_postings, round(sum(tf), 3)::DOUBLE AS weight, count(DISTINCT doc_id) AS documents, (SELECT n FROM hits_s) AS records FROM hits_p",
     "rrf_hybrid": _hits(50)
     + f""", {_COVER}, fused AS (SELECT coalesce(h.query_id, r.query_id) AS query_id, coalesce(h.chunk_id, r.chunk_id) AS chunk_id, h.rank AS text_rank, r.rank AS cover_rank,
   round(coalesce(1.0 / (60 + h.rank), 0) + coalesce(1.0 / (60 + r.rank), 0), 9) AS rrf_score FROM hits h FULL JOIN ranked r ON r.query_id = h.query_id AND r.chunk_id = h.chunk_id)
@@ -257,10 +312,10 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, node
     + f""", {_PACK}, {_DECIDE}, body AS (SELECT query_id, string_agg('[' || citation_id || '] ' || content, chr(10) ORDER BY citation_id) AS lines, string_agg('[' || citation_id || '] ' || source, chr(10) ORDER BY citation_id) AS sources, bool_or(chunk_type IN ('warning', 'caution')) AS safety FROM pack GROUP BY query_id)
 SELECT query_id, status, CASE WHEN status = 'answered' THEN {O.lit(A.HEADER)} || chr(10) || lines || CASE WHEN safety THEN chr(10) || {O.lit(A.SAFETY_NOTE)} ELSE '' END || chr(10) || 'Sources:' || chr(10) || sources ELSE {O.lit(A.REFUSAL)} END AS answer FROM final LEFT JOIN body USING (query_id)""",
     "answer_metrics": _hits(10)
-    + f""", {_PACK}, {_DECIDE}, cited AS (SELECT query_id, flatten(list(element_ids)) AS cited FROM pack GROUP BY query_id), e AS (SELECT *, len(gold) > 0 AS known, coalesce(list_has_any(cited, gold), false) AS hit FROM final LEFT JOIN cited USING (query_id))
+    + f""", {_PACK}, {_DECIDE}, cited AS (SELECT query_id, list_concat(flatten(list(coalesce(element_ids, []))), list(chunk_id)) AS cited FROM pack GROUP BY query_id), e AS (SELECT *, len(gold) > 0 AS known, coalesce(list_has_any(cited, gold), false) AS hit FROM final LEFT JOIN cited USING (query_id))
 SELECT count(*) AS questions, round(avg(((status = 'answered') = known)::INT), 6) AS decision_accuracy, round(avg(CASE WHEN known THEN (status = 'answered')::INT END), 6) AS response_rate, round(avg(CASE WHEN known THEN (status = 'answered' AND hit)::INT END), 6) AS citation_recall, round(avg(CASE WHEN NOT known THEN (status = 'refused')::INT END), 6) AS no_answer_accuracy FROM e""",
-    "recall_mrr": _hits(10) + f", {_RANKS} SELECT {_METRICS} FROM ranks",
-    "recall_by_category": _hits(10) + f", {_RANKS} SELECT category, {_METRICS} FROM ranks GROUP BY category",
+    "recall_mrr": _hits(10) + f", {_ranks()} SELECT {_METRICS} FROM ranks",
+    "recall_by_category": _hits(10) + f", {_ranks()} SELECT category, {_METRICS} FROM ranks GROUP BY category",
     "route_plan": f"""WITH {_QUESTIONS}, q AS (SELECT query_id, question FROM questions UNION ALL SELECT doc_id::VARCHAR, text FROM documents WHERE text IS NOT NULL),
 r AS (SELECT query_id, regexp_matches(question, {O.lit(T.ROUTE_TABLE)}) AS t, regexp_matches(question, {O.lit(T.ROUTE_PROCEDURE)}) AS p, regexp_matches(question, {O.lit(T.ROUTE_GRAPH)}) OR regexp_matches(question, {O.lit(T.ROUTE_PROCEDURE)}) OR regexp_matches(question, {O.lit(T.ROUTE_CLAUSES)}) AS m FROM q)
 SELECT query_id, CASE WHEN t THEN 'exact_value' WHEN p THEN 'procedure' ELSE 'fact' END AS intent, m AS multi_hop, true AS use_text, t AS use_table, m AS use_graph, false AS use_visual FROM r""",
