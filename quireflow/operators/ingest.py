@@ -150,5 +150,66 @@ def violations(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     return df.select(F.col(key).alias("record_id"), F.explode(codes).alias("code"))
 
 
+#: Layouts of tables, first fit: name, what shows it, and replacements that leave a row a line and a tab between cells.
+_TAGS = [(r"(?i)</?[a-z][^>\n]*>", ""), ("&nbsp;", " ")]
+LAYOUTS = [
+    ("html", r"(?i)<t[rdh][ >]", [(r"[\r\n]+", " "), (r"(?i)<tr[^>]*>", "\n"), (r"(?i)<t[dh][^>]*>", "\t"), *_TAGS, (r"\n\t", "\n")]),
+    ("latex", r"\\begin\{tabular", [(r"\\begin\{tabular[^\n]*|\\end\{tabular\*?\}|\\hline", ""), (r" *\\+ *\n", "\n"), (r" & ", "\t"), (r"~", " ")]),
+    ("wiki", r"^\s*\{\|", [(r"(?m)^(?:\{\||\|\}|\|-|\|\+).*$", ""), (r"(?m)^[|!] *", ""), (r" *(?:\|\||!!) *", "\t")]),
+    ("quoted", r"^\s*\"", [(r'(?m)^"|"$', ""), (r'" *, *"', "\t")]),
+    ("piped", r"^\s*\|", [(r"(?m)^\|[ :|-]+\|? *$", ""), (r"(?m)^\| *| *\| *$", ""), (r" *\| *", "\t"), *_TAGS]),
+    ("starred", r"\*; ", [(r"\*; +", "\n"), (r"\*\. +", "\n"), (r" +(\d)", "\t\\1")]),
+    ("barred", r" \| ", [(r" +\| +", "\t"), *_TAGS]),
+    ("tabbed", r"\t", _TAGS),
+    ("broken", r"(?i)<br ?/?>", [(r"(?i)<br ?/?>", "\n"), *_TAGS]),
+    ("aligned", r"\S {2,}\S", [(r" {2,}", "\t")]),
+]
+#: A cell that names itself.
+NAMED_CELL = r"^([^:\t]{1,60}): +(\S.*)$"
+
+
+def table_layout(content: Column) -> Column:
+    """The layout of a table's text; 'lines' for one that shows none, 'blank' for null or blank text."""
+    out = F.when(F.btrim(F.coalesce(content, F.lit("")), F.lit(" \t\r\n")) == "", "blank")
+    for name, test, _ in LAYOUTS:
+        out = out.when(content.rlike(test), name)
+    return out.otherwise("lines")
+
+
+def table_lines(content: Column, layout: Column) -> Column:
+    """The non-blank lines of a table as arrays of trimmed cells."""
+    laid = content
+    for name, _, steps in LAYOUTS:
+        done = content
+        for pattern, by in steps:
+            done = F.regexp_replace(done, pattern, by.replace("\\1", "$1"))
+        laid = F.when(layout == name, done).otherwise(laid)
+    lines = F.filter(F.split(F.coalesce(laid, F.lit("")), "\n"), lambda s: F.btrim(s, F.lit(" \t\r")) != "")
+    return F.transform(lines, lambda s: F.transform(F.split(F.btrim(s, F.lit("\r")), "\t"), lambda c: F.btrim(c)))
+
+
+def table_cells(tables: DataFrame) -> DataFrame:
+    """Tables (content, ...) with layout, place (from 1) and cells (header, value) of every row.
+
+    The first line names the cells where it has two or more and none holds a digit, and is no row then; else cells that
+    name themselves (``name: value``) do, and others are c1, c2, ... A line of fewer cells has nulls for the rest, one of
+    more has further cells c3, ...; no line is left out. A blank table has no rows.
+    """
+    df = tables.withColumn("layout", table_layout(F.col("content"))).withColumn("_lines", table_lines(F.col("content"), F.col("layout")))
+    first = F.col("_lines")[0]
+    headed = (F.size("_lines") > 1) & (F.size(first) >= 2) & ~F.exists(first, lambda c: c.rlike("[0-9]"))
+    df = df.withColumn("_heads", F.when(headed, first).otherwise(F.array().cast("array<string>"))).withColumn("_rows", F.when(headed, F.slice("_lines", 2, F.size("_lines"))).otherwise(F.col("_lines")))
+    rows = df.select(*tables.columns, "layout", "_heads", F.posexplode("_rows").alias("_at", "_values")).withColumn("place", F.col("_at") + 1)
+
+    def cell(i: Column) -> Column:
+        head, value = F.get("_heads", i), F.get("_values", i)
+        named = head.isNull() & value.rlike(NAMED_CELL)
+        header = F.when(named, F.regexp_extract(value, NAMED_CELL, 1)).otherwise(F.coalesce(head, F.concat(F.lit("c"), (i + 1).cast("string"))))
+        return F.struct(header.alias("header"), F.when(named, F.regexp_extract(value, NAMED_CELL, 2)).otherwise(value).alias("value"))
+
+    n = F.greatest(F.size("_heads"), F.size("_values"))
+    return rows.withColumn("cells", F.transform(F.sequence(F.lit(0), n - 1), cell)).drop("_heads", "_values", "_at")
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)

@@ -103,24 +103,39 @@ def vector_audit(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def table_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of tables whose cells tabs part: the first line names the cells."""
-    t = R._tables(spark, folder).withColumn("lines", F.split("content", "\n"))
-    rows = t.select("element_id", *R.META, "page_no", "section_path", "section_text", "metadata", F.split(F.col("lines")[0], "\t").alias("heads"), F.posexplode("lines").alias("place", "line")).where("place > 0")
-    rows = rows.withColumn("values", F.split("line", "\t")).where((F.size("heads") >= 2) & (F.size("values") == F.size("heads")))
-    cells = F.zip_with("heads", "values", lambda h, v: F.struct(h.alias("header"), v.alias("value")))
-    return rows.withColumn("row_id", F.concat("element_id", F.lit("#"), "place")).withColumn("cells", cells).withColumn("row_text", F.array_join(F.transform("cells", lambda x: F.concat(x["header"], F.lit(": "), x["value"])), " | "))
+    """Rows of all tables, whatever their layout."""
+    t = R._tables(spark, folder).select("element_id", *R.META, "page_no", "section_path", "section_text", "metadata", "content")
+    rows = I.table_cells(t).drop("content").withColumn("row_id", F.concat("element_id", F.lit("#"), "place"))
+    text = F.array_join(F.transform("cells", lambda x: F.concat(x["header"], F.lit(": "), F.coalesce(x["value"], F.lit("")))), " | ")
+    return rows.withColumn("row_text", text).withColumn("content", F.concat_ws("\n", "section_text", "row_text"))
+
+
+def table_layouts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tables by layout, with their rows and cells; a blank table counts with none."""
+    t = R._tables(spark, folder).select("element_id", "content")
+    rows = I.table_cells(t).groupBy("element_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("cells")).alias("c"), F.count_if(F.exists("cells", lambda x: x["value"].isNull())).alias("r"))
+    df = t.withColumn("layout", I.table_layout(F.col("content"))).join(rows, "element_id", "left")
+    some = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return df.groupBy("layout").agg(F.count(F.lit(1)).alias("tables"), some("n").alias("rows"), some("c").alias("cells"), some("r").alias("ragged_rows"))
+
+
+def table_cell_values(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table_rows(spark, folder).select("row_id", F.posexplode("cells").alias("at", "cell"))
+    return rows.select("row_id", "at", F.col("cell.header").alias("header"), F.col("cell.value").alias("value"))
+
+
+def row_index(spark: SparkSession, folder: str, root: str | None = None) -> bm25.Index:
+    return R._index(spark, folder, "rows", table_rows, "row_id", bm25.ROW_WEIGHTS, "table_elements", root=root)
 
 
 def table_row_search(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table_rows(spark, folder).withColumn("content", F.concat_ws("\n", "section_text", "row_text"))
-    asked = bm25.query_terms(R.questions(spark, folder), "question", T.TABLE_STOPWORDS).select("query_id", "term", "doc_id")
-    return bm25.search(rows, "row_id", bm25.ROW_WEIGHTS, asked, 5, within="doc_id").select("query_id", "row_id", "score", "rank")
+    return bm25.search(row_index(spark, folder), R.asked_terms(spark, folder, T.TABLE_STOPWORDS), 5, within="doc_id").select("query_id", "row_id", "score", "rank")
 
 
 def table_answer(spark: SparkSession, folder: str) -> DataFrame:
     best = table_row_search(spark, folder).where("rank = 1").join(table_rows(spark, folder), "row_id").select("query_id", "row_id", "score", F.col("section_text").alias("section"), "row_text", "cells")
     df = A.row_decisions(R.questions(spark, folder).select("query_id", "question").join(best, "query_id", "left"))
-    bar = lambda part: F.concat(F.lit("| "), F.array_join(F.transform("cells", part), " | "), F.lit(" |"))
+    bar = lambda part: F.concat(F.lit("| "), F.array_join(F.transform("cells", lambda c: F.coalesce(part(c), F.lit(""))), " | "), F.lit(" |"))
     markdown = F.concat_ws("\n", bar(lambda c: c["header"]), bar(lambda c: F.lit("---")), bar(lambda c: c["value"]))
     return df.select("query_id", "row_id", "query_coverage", "reason", "status", F.when(F.col("status") == "answered", markdown).otherwise(F.lit(A.REFUSAL)).alias("answer"))
 
@@ -141,7 +156,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         element_normalize, element_links, nearest_text, section_fold, anomaly_report, chunk_build, chunk_summary, chunk_labels, element_membership, contract_violations,
-        asset_audit, rank_audit, vector_audit, table_row_search, table_answer, latency_summary, vehicle_gate,
+        asset_audit, rank_audit, vector_audit, table_layouts, table_cell_values, table_row_search, table_answer, latency_summary, vehicle_gate,
     )
 }
 
@@ -169,9 +184,24 @@ fold AS (
 made AS (SELECT z.doc_id, f.no, any_value(kind) AS chunk_type, any_value(page_no) AS page_no, any_value(section_path) AS section_path, string_agg(content, chr(10) ORDER BY n) AS content, list(element_id ORDER BY n) AS element_ids
   FROM z JOIN fold f USING (doc_id, n) WHERE z.role <> 'title' GROUP BY z.doc_id, f.no),
 named AS (SELECT *, doc_id || ':chunk:' || chunk_type || ':' || left(sha256('{{"chunk_type":"' || chunk_type || '","doc_id":"' || doc_id || '","element_ids":' || to_json(element_ids)::VARCHAR || '}}'), 16) AS chunk_id FROM made)"""
-_ROWS = f"""lines AS (SELECT *, string_split(content, chr(10)) AS ls FROM tab),
-cut AS (SELECT element_id, doc_id, section_text, metadata, string_split(ls[1], chr(9)) AS heads, i - 1 AS place, string_split(ls[i], chr(9)) AS vals FROM (SELECT *, unnest(range(2, len(ls) + 1)) AS i FROM lines)),
-trow AS (SELECT *, element_id || '#' || place AS row_id, array_to_string(list_transform(range(1, len(heads) + 1), lambda i: heads[i] || ': ' || vals[i]), ' | ') AS row_text FROM cut WHERE len(heads) >= 2 AND len(vals) = len(heads)),
+_LAYOUT = f"(CASE WHEN trim(coalesce(content, ''), {_BLANKS}) = '' THEN 'blank' " + " ".join(f"WHEN regexp_matches(content, {O.lit(test)}) THEN '{n}'" for n, test, _ in I.LAYOUTS) + " ELSE 'lines' END)"
+
+
+def _laid(steps: list) -> str:
+    out = "content"
+    for pattern, by in steps:
+        out = f"regexp_replace({out}, {O.lit(pattern)}, {O.lit(by)}, 'g')"
+    return out
+
+
+_LAID = "CASE layout " + " ".join(f"WHEN '{n}' THEN {_laid(steps)}" for n, _, steps in I.LAYOUTS) + " ELSE content END"
+_ROWS = f"""laid AS (SELECT * EXCLUDE (body), list_transform(list_filter(string_split(coalesce(body, ''), chr(10)), lambda s: trim(s, {_BLANKS}) <> ''), lambda s: list_transform(string_split(trim(s, chr(13)), chr(9)), lambda c: trim(c))) AS ls
+  FROM (SELECT *, {_LAID} AS body FROM (SELECT element_id, doc_id, section_text, metadata, content, {_LAYOUT} AS layout FROM tab))),
+headed AS (SELECT *, len(ls) > 1 AND len(ls[1]) >= 2 AND NOT regexp_matches(array_to_string(ls[1], ''), '[0-9]') AS headed FROM laid),
+cut AS (SELECT element_id, doc_id, section_text, metadata, layout, heads, i AS place, rs[i] AS vals FROM (SELECT *, unnest(range(1, len(rs) + 1)) AS i FROM (SELECT *, CASE WHEN headed THEN ls[1] ELSE [] END AS heads, CASE WHEN headed THEN ls[2:] ELSE ls END AS rs FROM headed))),
+celled AS (SELECT *, list_transform(range(1, greatest(len(heads), len(vals)) + 1), lambda i: CASE WHEN heads[i] IS NULL AND coalesce(regexp_matches(vals[i], {O.lit(I.NAMED_CELL)}), false)
+   THEN {{'header': regexp_extract(vals[i], {O.lit(I.NAMED_CELL)}, 1), 'value': regexp_extract(vals[i], {O.lit(I.NAMED_CELL)}, 2)}} ELSE {{'header': coalesce(heads[i], 'c' || i), 'value': vals[i]}} END) AS cells FROM cut),
+trow AS (SELECT *, element_id || '#' || place AS row_id, array_to_string(list_transform(cells, lambda c: c.header || ': ' || coalesce(c.value, '')), ' | ') AS row_text FROM celled),
 rown AS (SELECT *, concat_ws(chr(10), section_text, row_text) AS content FROM trow)"""
 _ROW_HITS = f"WITH {R._QUESTIONS}, {R._TABLES}, {_ROWS}, {R._search('rhits', 'rown', 'row_id', bm25.ROW_WEIGHTS, 5, stopwords=T.TABLE_STOPWORDS)}"
 
@@ -211,14 +241,17 @@ SELECT element_id, array_to_string(list_filter([{_PATH}], lambda x: x IS NOT NUL
 SELECT asset_path, 'elements' AS only_in FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT asset_path, 'graph' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
     "rank_audit": f"SELECT count(*) AS rows, 0::BIGINT AS wrong_score, 0::BIGINT AS no_side, count(DISTINCT query_id) AS questions FROM ({R.SQL['rrf_hybrid']})",
     "vector_audit": "WITH v AS (SELECT label, embedding, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings) SELECT label, count(*) AS vectors, count(CASE WHEN norm = 0 THEN 1 END) AS zero, count(CASE WHEN len(list_filter(embedding, lambda x: isnan(x))) > 0 THEN 1 END) AS not_finite, round(avg(norm), 5) AS mean_norm FROM v GROUP BY label",
+    "table_layouts": f"""WITH {R._TABLES}, {_ROWS} SELECT layout, count(*) AS tables, coalesce(sum(n), 0)::BIGINT AS rows, coalesce(sum(c), 0)::BIGINT AS cells, coalesce(sum(r), 0)::BIGINT AS ragged_rows
+FROM laid LEFT JOIN (SELECT element_id, count(*) AS n, sum(len(cells)) AS c, count(CASE WHEN len(list_filter(cells, lambda x: x.value IS NULL)) > 0 THEN 1 END) AS r FROM trow GROUP BY element_id) USING (element_id) GROUP BY layout""",
+    "table_cell_values": f"WITH {R._TABLES}, {_ROWS} SELECT row_id, (i - 1)::INT AS at, cells[i].header AS header, cells[i].value AS value FROM (SELECT row_id, cells, unnest(range(1, len(cells) + 1)) AS i FROM trow)",
     "table_row_search": _ROW_HITS + " SELECT * FROM rhits",
-    "table_answer": _ROW_HITS + f""", best AS (SELECT q.query_id, q.question, h.row_id, h.score, t.section_text AS section, t.row_text, t.heads, t.vals FROM questions q LEFT JOIN (SELECT * FROM rhits WHERE rank = 1) h USING (query_id) LEFT JOIN trow t ON t.row_id = h.row_id),
+    "table_answer": _ROW_HITS + f""", best AS (SELECT q.query_id, q.question, h.row_id, h.score, t.section_text AS section, t.row_text, t.cells FROM questions q LEFT JOIN (SELECT * FROM rhits WHERE rank = 1) h USING (query_id) LEFT JOIN trow t ON t.row_id = h.row_id),
 cov AS (SELECT *, round({O.coverage(O.plain_terms('question', T.TABLE_ANSWER_STOPWORDS), O.plain_terms("concat_ws(' ', section, row_text)", T.TABLE_ANSWER_STOPWORDS))}, 6) AS query_coverage FROM best),
 dec AS (SELECT *, CASE WHEN score IS NULL THEN 'no_curated_row' WHEN score < {A.ROW_MIN_SCORE} THEN 'row_below_threshold'
   WHEN contains(lower(section), 'excluding') AND contains(lower(section), 'hybrid') AND contains(lower(question), 'hybrid') AND NOT regexp_matches(lower(question), '\\b(?:non[- ]hybrid|excluding\\s+(?:the\\s+)?hybrid)\\b') THEN 'applicability_conflict'
   WHEN query_coverage < {A.ROW_MIN_COVERAGE} THEN 'row_semantic_coverage_too_low' ELSE 'answered' END AS reason FROM cov)
 SELECT query_id, row_id, query_coverage, reason, CASE WHEN reason = 'answered' THEN 'answered' ELSE 'refused' END AS status,
- CASE WHEN reason = 'answered' THEN '| ' || array_to_string(heads, ' | ') || ' |' || chr(10) || '| ' || array_to_string(list_transform(heads, lambda h: '---'), ' | ') || ' |' || chr(10) || '| ' || array_to_string(vals, ' | ') || ' |' ELSE {O.lit(A.REFUSAL)} END AS answer FROM dec""",
+ CASE WHEN reason = 'answered' THEN '| ' || array_to_string(list_transform(cells, lambda c: c.header), ' | ') || ' |' || chr(10) || '| ' || array_to_string(list_transform(cells, lambda c: '---'), ' | ') || ' |' || chr(10) || '| ' || array_to_string(list_transform(cells, lambda c: coalesce(c.value, '')), ' | ') || ' |' ELSE {O.lit(A.REFUSAL)} END AS answer FROM dec""",
     "latency_summary": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_disc(value, 0.95), 6) AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type",
     "vehicle_gate": "WITH m AS (SELECT DISTINCT lower(brand) AS brand, lower(model) AS model, lower(year) AS year, lower(region) AS region, doc_id FROM manifest) SELECT brand, model, year, region, count(*) AS manuals, min(doc_id) AS doc_id, count(*) = 1 AS exact FROM m GROUP BY ALL",
 }
