@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -81,6 +82,13 @@ def search_terms(query: Column, stopwords: Iterable[str] = TEXT_STOPWORDS) -> Co
     return F.array_distinct(F.when(F.size(kept) > 0, kept).otherwise(found))
 
 
+def query_words(query: str, stopwords: Iterable[str] = TEXT_STOPWORDS) -> list[str]:
+    """``search_terms`` of one query, outside a plan."""
+    found = [t.lower() for t in re.findall(PLAIN_TOKEN, query)]
+    kept = [t for t in found if t not in stopwords and (len(t) > 1 or t.isdigit())]
+    return list(dict.fromkeys(kept or found))
+
+
 def match_expression(query: Column, stopwords: Iterable[str] = TEXT_STOPWORDS) -> Column:
     """The terms as quoted alternatives; null if there is none."""
     terms = search_terms(query, stopwords)
@@ -179,6 +187,12 @@ def source_label(path: Column, pages: Column) -> Column:
     return F.concat(F.col("brand"), F.lit(" "), F.col("model"), F.lit(" Owner's Manual ("), F.col("year"), F.lit("), "), section_text(path), F.lit(", physical PDF p."), page_label(pages))
 
 
+def graph_source_label(path: Column, pages: Column) -> Column:
+    """As ``source_label``, with all pages parted by commas; without pages nothing is said of them."""
+    listed = F.when(F.size(pages) > 0, F.concat(F.lit(", physical PDF p."), F.array_join(F.transform(pages, lambda p: p.cast("string")), ","))).otherwise("")
+    return F.concat(F.col("brand"), F.lit(" "), F.col("model"), F.lit(" Owner's Manual ("), F.col("year"), F.lit("), "), section_text(path), listed)
+
+
 def is_procedural(query: Column) -> Column:
     return query.rlike(PROCEDURE_QUERY)
 

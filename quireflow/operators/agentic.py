@@ -18,6 +18,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quireflow.functions import text as T
+from quireflow.operators import generation
 from quireflow.operators.answering import REFUSAL
 
 # How many pieces of each source evidence takes, its cap, and the graph score that supports an answer.
@@ -128,10 +129,13 @@ class Workflow:
             if decision == "refuse":
                 break
             began = time.perf_counter()
-            answer = self.synthesize(query, evidence) if self.synthesize else "\n".join(f"[{e['citation_id']}] {e['content']}" for e in evidence)
-            cited = [int(n) for n in re.findall(r"\[(\d+)\]", answer)]
-            passed = answer.strip() == REFUSAL or bool(cited) and all(1 <= n <= len(evidence) for n in cited)
+            base = {"status": "answered", "answer": generation.extractive(evidence), "evidence": evidence}
+            result = generation.generate_or_fallback(base, query, self.synthesize)
+            answer = result["answer"]
+            self._event("synthesis", began, generation=result["generation"]["status"])
+            began = time.perf_counter()
+            passed = not generation.grounding_errors(answer, len(evidence))
             self._event("guard", began, "ok" if passed else "failed")
             if passed:
-                return {"status": "answered" if answer.strip() != REFUSAL else "refused", "answer": answer, "evidence": evidence, "route": route, "trace": self.trace}
+                return {"status": "answered" if answer.strip() != REFUSAL else "refused", "answer": answer, "evidence": evidence, "route": route, "generation": result["generation"], "retry_count": attempt - 1, "trace": self.trace}
         return {"status": "refused", "answer": REFUSAL, "evidence": evidence, "trace": self.trace}

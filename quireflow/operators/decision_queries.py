@@ -9,45 +9,169 @@ from quireflow.functions import oracle as O
 from quireflow.functions import porter
 from quireflow.operators import agentic as G
 from quireflow.operators import bm25, dense, fusion
+from quireflow.operators import evaluation as E
 from quireflow.operators import graph_queries as Q
 from quireflow.operators import ingest_queries as I
 from quireflow.operators import retrieval_queries as R
 from quireflow.operators import answering as A
 from quireflow.operators.answering import REFUSAL
+from quireflow.plans.workspace import written
 from quireflow.sources.tables import table
 
+META = R.META
 
-def _evidence(spark: SparkSession, folder: str) -> DataFrame:
-    """Hits of text, tables and graph of each question in one form."""
-    pages = lambda c: F.array_join(F.transform(F.array_sort(c), lambda p: p.cast("string")), ",")
-    text = R.text_hits(spark, folder).join(R.chunks(spark, folder), "chunk_id").select("query_id", F.lit("text").alias("source"), "rank", "doc_id", pages("page_nos").alias("pages"), F.col("chunk_id").alias("identity"), F.col("score"))
-    rows = I.table_row_search(spark, folder).join(I.table_rows(spark, folder), "row_id").select("query_id", F.lit("table").alias("source"), "rank", "doc_id", F.col("page_no").cast("string").alias("pages"), F.col("row_id").alias("identity"), "score")
-    graph = Q.graph_paths(spark, folder).join(R.questions(spark, folder).select("query_id", "doc_id"), "query_id").select("query_id", F.lit("graph").alias("source"), "rank", "doc_id", F.lit("").alias("pages"), F.col("path").alias("identity"), "score")
-    return text.unionByName(rows).unionByName(graph)
+
+#: Questions of this template come with an image, the figure they ask for.
+WITH_IMAGE = 3
+
+
+def manuals(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id and m, the manual's fields as the manifest has them."""
+    m = table(spark, folder, "manifest").groupBy("doc_id").agg(F.min(F.struct(*META)).alias("m"))
+    return m.where(F.col("doc_id").isNotNull())
+
+
+def planned(spark: SparkSession, folder: str, broaden: bool = False) -> DataFrame:
+    q = R.questions(spark, folder)
+    image = F.when(F.col("template") == WITH_IMAGE, F.lit("image"))
+    return A.routes(q, "question", image=image, broaden=broaden)
+
+
+def image_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """Images of questions that come with one, by page fusion."""
+    asked = R.questions(spark, folder).where(F.col("template") == WITH_IMAGE).select("query_id")
+    return R.page_fusion(spark, folder).join(asked, "query_id", "left_semi").select("query_id", "node_id", "rank", F.col("rrf_score").alias("score"))
+
+
+def common_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of text, tables, images and graph of each question in one form: query_id, source, rank, score, doc_id, pages,
+    identity, element_ids, page_nos, content, is_foreign (another manual than the question's, in any of its fields)."""
+    none = F.array().cast("array<string>")
+    ints = lambda c: F.coalesce(c, F.array().cast("array<int>"))
+    text = R._packs(spark, folder).select("query_id", "chunk_id", F.col("citation_id").alias("rank"), F.col("rerank_score").alias("score")).join(R.chunks(spark, folder), "chunk_id")
+    text = text.select("query_id", F.lit("text").alias("source"), "rank", "score", F.struct(*META).alias("e"), ints(F.col("page_nos")).alias("page_nos"), F.col("chunk_id").alias("identity"), F.array_union(F.coalesce("element_ids", none), F.array("chunk_id")).alias("element_ids"), "content")
+    rows = I.table_row_search(spark, folder).join(I.table_rows(spark, folder), "row_id")
+    rows = rows.select("query_id", F.lit("table").alias("source"), "rank", "score", F.struct(*META).alias("e"), F.array_compact(F.array("page_no")).alias("page_nos"), F.col("row_id").alias("identity"), F.array("element_id").alias("element_ids"), F.col("row_text").alias("content"))
+    paths = Q.records(spark, folder)
+    paths = paths.select("query_id", F.lit("graph").alias("source"), "rank", "score", F.struct(*META).alias("e"), "page_nos", F.array_join(F.array_sort("evidence_ids"), ",").alias("identity"), F.col("evidence_ids").alias("element_ids"), "content")
+    images = image_hits(spark, folder).join(R.graph_nodes(spark, folder), "node_id")
+    images = images.select("query_id", F.lit("visual").alias("source"), "rank", "score", F.struct(*META).alias("e"), F.array_compact(F.array("page_no")).alias("page_nos"), F.col("node_id").alias("identity"), F.coalesce("evidence_ids", none).alias("element_ids"), F.coalesce("text", F.lit("")).alias("content"))
+    every = text.unionByName(rows).unionByName(paths).unionByName(images)
+    wanted = R.questions(spark, folder).select("query_id", "doc_id").join(manuals(spark, folder), "doc_id", "left").select("query_id", "m")
+    every = every.join(wanted, "query_id")
+    pages = F.array_join(F.transform(F.array_sort("page_nos"), lambda p: p.cast("string")), ",")
+    return every.select("query_id", "source", "rank", "score", F.col("e.doc_id").alias("doc_id"), pages.alias("pages"), "identity", "element_ids", "page_nos", "content", E.violates("e", "m").alias("is_foreign"))
 
 
 def evidence_merge(spark: SparkSession, folder: str) -> DataFrame:
-    return G.merge_evidence(_evidence(spark, folder)).select("query_id", "citation_id", "source", "identity", "doc_id")
+    merged = G.merge_evidence(common_evidence(spark, folder))
+    return merged.select("query_id", "citation_id", "source", "identity", "doc_id", "is_foreign")
+
+
+def metadata_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of evidence whose manual's fields differ from what was asked for, by source."""
+    return E.violations(common_evidence(spark, folder), "source")
+
+
+def _support(spark: SparkSession, folder: str, evidence: DataFrame) -> DataFrame:
+    e = evidence.groupBy("query_id").agg(F.max(F.when((F.col("source") == "graph") & (F.col("rank") == 1), F.col("score"))).alias("graph_score"), (F.count_if(F.col("source") == "visual") > 0).alias("visual_ok"), F.count_if("is_foreign").cast("int").alias("violations"))
+    text = R.answer_decision(spark, folder).select("query_id", (F.col("status") == "answered").alias("text_ok"))
+    rows = I.table_answer(spark, folder).select("query_id", (F.col("status") == "answered").alias("table_ok"))
+    df = text.join(rows, "query_id", "left").join(e, "query_id", "left")
+    return df.withColumn("visual_ok", F.coalesce("visual_ok", F.lit(False))).withColumn("violations", F.coalesce("violations", F.lit(0)))
+
+
+def critic_decisions(spark: SparkSession, folder: str, evidence: DataFrame | None = None) -> DataFrame:
+    """The critic's decision on the first plan, and on the broadened one for questions that were to be planned anew."""
+    support = written(_support(spark, folder, common_evidence(spark, folder) if evidence is None else evidence), "support")
+    plan = lambda broaden: planned(spark, folder, broaden).select("query_id", "use_graph", "use_visual")
+    first = G.critic(support.join(plan(False), "query_id").withColumn("attempt", F.lit(1)))
+    second = G.critic(support.join(plan(True), "query_id").withColumn("attempt", F.lit(2))).select("query_id", F.col("decision").alias("again"))
+    return first.join(second, "query_id").withColumn("final", F.when(F.col("decision") == "replan", F.col("again")).otherwise(F.col("decision"))).drop("again", "attempt")
 
 
 def critic_decision(spark: SparkSession, folder: str) -> DataFrame:
-    e = _evidence(spark, folder).groupBy("query_id").agg(F.max(F.when(F.col("source") == "graph", F.col("score"))).alias("graph_score"), (F.count_if(F.col("source") == "text") > 0).alias("text_ok"))
-    plans = R.questions(spark, folder).select("query_id", "question").join(e, "query_id", "left")
-    plans = plans.withColumn("text_ok", F.coalesce("text_ok", F.lit(False))).withColumn("use_graph", F.lit(True)).withColumn("use_visual", F.lit(False)).withColumn("visual_ok", F.lit(False)).withColumn("violations", F.lit(0)).withColumn("attempt", F.lit(1))
-    return G.critic(plans).select("query_id", "graph_score", "text_ok", "decision")
+    return critic_decisions(spark, folder).select("query_id", "text_ok", "table_ok", "visual_ok", "graph_score", "violations", "decision", "final")
 
 
 def guard_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Citations valid, and no cited piece of another manual."""
     done = A.answers(R.questions(spark, folder), R._packs(spark, folder))
-    return G.guard(done.withColumn("foreign", F.lit(0))).select("query_id", "status", "passed")
+    foreign = common_evidence(spark, folder).where("source = 'text'").groupBy("query_id").agg(F.count_if("is_foreign").alias("foreign"))
+    return G.guard(done.join(foreign, "query_id", "left").withColumn("foreign", F.coalesce("foreign", F.lit(0)))).select("query_id", "status", F.col("foreign").alias("n_foreign"), "passed")
 
 
 def path_accuracy(spark: SparkSession, folder: str) -> DataFrame:
-    """Questions one of whose paths goes through a procedure and a step."""
-    types = table(spark, folder, "graph_nodes").select("node_id", "node_type").distinct()
-    nodes = Q.graph_paths(spark, folder).select("query_id", "rank", F.explode(F.split("path", ">")).alias("node_id")).join(types, "node_id")
-    ok = nodes.groupBy("query_id", "rank").agg(F.collect_set("node_type").alias("t")).select("query_id", (F.size(F.array_except(F.array(F.lit("Procedure"), F.lit("Step")), "t")) == 0).alias("ok"))
-    return ok.groupBy("query_id").agg(F.bool_or("ok").alias("ok")).agg(F.count(F.lit(1)).alias("questions"), F.round(F.avg(F.col("ok").cast("int")), 6).alias("path_accuracy"))
+    """Questions one of whose paths alone has the node types, relations and pages their template asks of it."""
+    return path_checks(spark, folder).agg(F.count(F.lit(1)).alias("questions"), E.mean_of(F.col("path_ok")).alias("path_accuracy"), F.count("path_ok").alias("scored"))
+
+
+#: What a path must have, by template: node types, relations, and whether the component's own page.
+GOLD_PATHS = {0: (["Procedure"], ["EXPLAINED_BY"], True), 2: (["Warning"], ["HAS_WARNING"], False), 3: (["Section", "Image"], ["ILLUSTRATED_BY"], False), 5: (["Symbol"], ["SYMBOL_MEANS"], False)}
+
+
+def path_checks(spark: SparkSession, folder: str) -> DataFrame:
+    held = Q.records(spark, folder).groupBy("query_id").agg(F.collect_list(F.struct("node_types", "relations", "page_nos")).alias("paths"))
+    q = R.questions(spark, folder).select("query_id", "template", "page_no").join(held, "query_id", "left")
+    none = F.array().cast("array<string>")
+    types, relations, paged = none, none, F.lit(False)
+    for t, (kinds, links, page) in GOLD_PATHS.items():
+        here = F.col("template") == t
+        types, relations = F.when(here, F.array(*map(F.lit, kinds))).otherwise(types), F.when(here, F.array(*map(F.lit, links))).otherwise(relations)
+        paged = F.when(here, F.lit(page)).otherwise(paged)
+    pages = F.when(paged & F.col("page_no").isNotNull(), F.array("page_no")).otherwise(F.array().cast("array<int>"))
+    return q.withColumn("path_ok", E.path_correct(F.col("paths"), types, relations, pages)).select("query_id", "template", "path_ok")
+
+
+#: Searches a question of a template is expected to go to: table, graph.
+EXPECTED_ROUTES = {0: (False, True), 1: (False, False), 2: (False, True), 3: (False, True), 4: (True, False), 5: (False, True), 6: (False, False), 7: (False, True)}
+
+
+def route_checks(spark: SparkSession, folder: str) -> DataFrame:
+    wants = F.create_map(*[x for t, (a, b) in EXPECTED_ROUTES.items() for x in (F.lit(t), F.struct(F.lit(a).alias("table"), F.lit(b).alias("graph")))])
+    df = planned(spark, folder).withColumn("route", F.struct(F.col("use_table").alias("table"), F.col("use_graph").alias("graph"))).withColumn("expected", F.element_at(wants, F.col("template")))
+    return df.select("query_id", "template", E.route_correct("route", "expected", ("table", "graph")).alias("route_ok"), F.col("expected.graph").alias("graph_expected"))
+
+
+def route_accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    return route_checks(spark, folder).groupBy("template").agg(F.count(F.lit(1)).alias("questions"), E.mean_of(F.col("route_ok")).alias("route_accuracy"))
+
+
+def system_records(spark: SparkSession, folder: str) -> DataFrame:
+    """One record a question and system: text answers alone, the graph alone, and both under planner, critic and merge."""
+    evidence = written(common_evidence(spark, folder), "evidence")
+    merged = G.merge_evidence(evidence)
+    decided = critic_decisions(spark, folder, evidence).select("query_id", (F.col("final") == "accept").alias("accepted"), (F.col("decision") == "replan").cast("int").alias("retries"))
+    q = R.questions(spark, folder).select("query_id", "gold", "page_no", (F.size("gold") > 0).alias("answerable"))
+    checks = path_checks(spark, folder).select("query_id", "path_ok").join(route_checks(spark, folder).select("query_id", "route_ok", "graph_expected"), "query_id")
+    parts = []
+    for name, pieces in (("text", evidence.where("source = 'text'")), ("graph", evidence.where("source = 'graph'")), ("agentic", merged)):
+        held = pieces.groupBy("query_id").agg(F.flatten(F.collect_list("element_ids")).alias("ids"), F.flatten(F.collect_list("page_nos")).alias("pages"), F.count_if("is_foreign").alias("violations"), F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("content") == "", 1).otherwise(0)).alias("empty"))
+        status = {
+            "text": R.answer_decision(spark, folder).select("query_id", "status"),
+            "graph": Q.graph_answer(spark, folder).select("query_id", "status"),
+            "agentic": decided.select("query_id", F.when(F.col("accepted"), "answered").otherwise("refused").alias("status"), "retries"),
+        }[name]
+        df = q.join(status, "query_id").join(held, "query_id", "left").join(checks, "query_id")
+        pages = F.transform("gold", lambda _: F.col("page_no"))
+        parts.append(
+            df.select(
+                F.lit(name).alias("system"), "query_id", "answerable", "status", E.evidence_hits(F.col("gold"), pages, F.coalesce("ids", F.array().cast("array<string>")), F.coalesce("pages", F.array().cast("array<int>"))).alias("evidence_hits"),
+                F.size("gold").alias("evidence_total"), (F.lit(None).cast("boolean") if name == "text" else F.when(F.col("graph_expected") | F.lit(name == "graph"), F.col("path_ok"))).alias("path_ok"),
+                (F.coalesce("n", F.lit(0)) > F.coalesce("empty", F.lit(0))).alias("cited_well"), (F.col("route_ok") if name == "agentic" else F.lit(None).cast("boolean")).alias("route_ok"),
+                F.coalesce("violations", F.lit(0)).alias("violations"), (F.col("retries") if name == "agentic" else F.lit(0)).alias("retries"),
+            )
+        )
+    return E.records(I.I.union_all(parts))
+
+
+def system_comparison(spark: SparkSession, folder: str) -> DataFrame:
+    return E.summary(written(system_records(spark, folder), "records"), "system")
+
+
+def failure_records(spark: SparkSession, folder: str) -> DataFrame:
+    f = system_records(spark, folder).where("failure IS NOT NULL")
+    return f.select("system", "query_id", F.col("failure.decision").alias("decision"), F.col("failure.path").alias("path"), F.col("failure.route").alias("route"))
 
 
 def porter_search(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,28 +195,73 @@ def lsa_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lsa_search(spark: SparkSession, folder: str) -> DataFrame:
-    """The nearest other chunks of each chunk that steps make up."""
+    """The nearest other chunks of each chunk."""
     v = dense.lsa(dense.weights(_texts(spark, folder), "chunk_id", "t"), "chunk_id")
-    asked = v.join(R.chunks(spark, folder).where("chunk_type = 'steps'").select("chunk_id"), "chunk_id", "left_semi")
-    return fusion.vector_search(v, asked, "chunk_id", "vector", limit=5)
+    return fusion.vector_search(v, v, "chunk_id", "vector", limit=5)
+
+
+QUERIES = {f.__name__: f for f in (evidence_merge, metadata_violations, critic_decision, guard_check, path_accuracy, route_accuracy, system_comparison, failure_records, porter_search, hashed_tfidf, lsa_vectors, lsa_search)}
+
+_FIELDS = ", ".join(META)
+_WANTED = f"""{R._QUESTIONS}, manual AS (SELECT doc_id, unnest(min({{{", ".join(f"'w_{c}': {c}" for c in META if c != "doc_id")}}})) FROM manifest GROUP BY doc_id), wanted AS (SELECT q.query_id, q.doc_id AS w_doc_id, m.* EXCLUDE (doc_id) FROM questions q LEFT JOIN manual m USING (doc_id))"""
+_FOREIGN = " OR ".join(f"(trim(coalesce(w_{c}, '')) <> '' AND lower(coalesce({c}, '')) <> lower(trim(w_{c})))" for c in META)
+_PIECES = f"""text_e AS (SELECT h.query_id, 'text' AS source, h.citation_id AS rank, h.rerank_score AS score, {_FIELDS}, coalesce(page_nos, []) AS page_nos, h.chunk_id AS identity, list_concat(coalesce(element_ids, []), [h.chunk_id]) AS element_ids, c.content
+  FROM ({R.SQL['evidence_pack']}) h JOIN {O.first('chunks', 'chunk_id', '*')} c USING (chunk_id)),
+table_e AS (SELECT h.query_id, 'table' AS source, h.rank, h.score, {_FIELDS}, CASE WHEN page_no IS NULL THEN [] ELSE [page_no] END AS page_nos, h.row_id AS identity, [t.element_id] AS element_ids, r.row_text AS content
+  FROM ({I.SQL['table_row_search']}) h JOIN (WITH {R._TABLES}, {I._ROWS} SELECT row_id, element_id AS e, row_text FROM trow) r USING (row_id) JOIN {O.first('table_elements', 'element_id', '*')} t ON t.element_id = r.e),
+graph_e AS (SELECT query_id, 'graph' AS source, rank, score, f.doc_id, f.brand, f.model, f.year, f.region, f.language, f.manual_type, pages AS page_nos, ids, content FROM ({Q._PLACES} SELECT fr.query_id, fr.rank, fr.score, fr.pages, fr.content, fr.evidence_ids AS ids, n.{", n.".join(META)} FROM full_rec fr JOIN ways w USING (query_id, path_id) JOIN node n ON n.node_id = w.nodes[1]) f),
+graph_f AS (SELECT * EXCLUDE (ids, content), array_to_string(list_sort(ev), ',') AS identity, ev AS element_ids, content FROM (SELECT *, CASE WHEN ids = '' THEN [] ELSE string_split(ids, ',') END AS ev FROM graph_e)),
+visual_e AS (SELECT h.query_id, 'visual' AS source, h.rank, h.rrf_score AS score, {_FIELDS}, CASE WHEN n.page_no IS NULL THEN [] ELSE [n.page_no] END AS page_nos, h.node_id AS identity, coalesce(n.evidence_ids, []) AS element_ids, coalesce(n.text, '') AS content
+  FROM ({R.SQL['page_fusion']}) h JOIN (WITH {R._QUESTIONS} SELECT query_id FROM questions WHERE template = {WITH_IMAGE}) q USING (query_id) JOIN {O.first('graph_nodes', 'node_id', '*')} n USING (node_id))"""
+_EVIDENCE = f"""{_WANTED}, {_PIECES},
+ev AS MATERIALIZED (SELECT query_id, source, rank, score, doc_id, array_to_string(list_sort(page_nos), ',') AS pages, page_nos, identity, element_ids, content, ({_FOREIGN}) AS is_foreign
+  FROM (SELECT * FROM text_e UNION ALL BY NAME SELECT * FROM table_e UNION ALL BY NAME SELECT * FROM graph_f UNION ALL BY NAME SELECT * FROM visual_e) JOIN wanted USING (query_id))"""
+_MERGED = f"""ordered AS (SELECT *, CASE source WHEN 'graph' THEN 0 WHEN 'text' THEN 1 WHEN 'table' THEN 2 ELSE 3 END AS o FROM ev WHERE rank <= CASE source WHEN 'graph' THEN 3 WHEN 'text' THEN 3 ELSE 2 END),
+once AS (SELECT * FROM ordered QUALIFY row_number() OVER (PARTITION BY query_id, doc_id, pages, identity ORDER BY o, rank) = 1),
+merged AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o, rank, identity)::INT AS citation_id FROM once QUALIFY citation_id <= {G.EVIDENCE_CAP})"""
+_CRITIC = f"""agg AS (SELECT query_id, max(CASE WHEN source = 'graph' AND rank = 1 THEN score END) AS graph_score, count(CASE WHEN source = 'visual' THEN 1 END) > 0 AS visual_ok, count(CASE WHEN is_foreign THEN 1 END)::INT AS violations FROM ev GROUP BY query_id),
+support AS (SELECT t.query_id, t.status = 'answered' AS text_ok, r.status = 'answered' AS table_ok, graph_score, coalesce(visual_ok, false) AS visual_ok, coalesce(violations, 0) AS violations
+  FROM ({R.SQL['answer_decision']}) t LEFT JOIN ({I.SQL['table_answer']}) r USING (query_id) LEFT JOIN agg USING (query_id)),
+judged AS (SELECT s.*, p.multi_hop, text_ok AND (visual_ok OR q.template <> {WITH_IMAGE}) AND (NOT p.multi_hop OR coalesce(graph_score >= {G.GRAPH_SUPPORT}, false)) AS met1,
+  text_ok AND (visual_ok OR q.template <> {WITH_IMAGE}) AND coalesce(graph_score >= {G.GRAPH_SUPPORT}, false) AS met2 FROM support s JOIN questions q USING (query_id) JOIN ({R.SQL['route_plan']}) p USING (query_id)),
+critic AS (SELECT *, CASE WHEN violations > 0 THEN 'refuse' WHEN met1 THEN 'accept' ELSE 'replan' END AS decision, CASE WHEN violations > 0 THEN 'refuse' WHEN met1 OR met2 THEN 'accept' ELSE 'refuse' END AS final FROM judged)"""
+
+
+def _wants(at: int) -> str:
+    parts = " ".join(f"WHEN {t} THEN {O.words(v[at])}" for t, v in GOLD_PATHS.items())
+    return f"(CASE template {parts} ELSE []::VARCHAR[] END)"
+
+
+_PAGED = ", ".join(str(t) for t, v in GOLD_PATHS.items() if v[2])
+_CHECKS = f"""rec_path AS (SELECT query_id, node_types, relations, page_nos FROM ({Q.SQL['path_records']})),
+asked_path AS (SELECT query_id, template, {_wants(0)} AS t, {_wants(1)} AS r, CASE WHEN template IN ({_PAGED}) AND page_no IS NOT NULL THEN [page_no::VARCHAR] ELSE [] END AS g FROM questions),
+checked AS (SELECT a.query_id, a.template, CASE WHEN len(any_value(t)) = 0 AND len(any_value(r)) = 0 AND len(any_value(g)) = 0 THEN NULL ELSE coalesce(bool_or(list_has_all(string_split(node_types, ','), t) AND list_has_all(string_split(relations, ','), r) AND list_has_all(string_split(page_nos, ','), g)), false) END AS path_ok
+  FROM asked_path a LEFT JOIN rec_path p USING (query_id) GROUP BY a.query_id, a.template)"""
+_EXPECT = " ".join(f"WHEN {t} THEN {{'t': {str(a).lower()}, 'g': {str(b).lower()}}}" for t, (a, b) in EXPECTED_ROUTES.items())
+_ROUTES = f"routed AS (SELECT q.query_id, q.template, e.g AS graph_expected, p.use_table = e.t AND p.use_graph = e.g AS route_ok FROM (SELECT *, CASE template {_EXPECT} END AS e FROM questions) q JOIN ({R.SQL['route_plan']}) p USING (query_id))"
 
 
-QUERIES = {f.__name__: f for f in (evidence_merge, critic_decision, guard_check, path_accuracy, porter_search, hashed_tfidf, lsa_vectors, lsa_search)}
+def _record(name: str, pieces: str, status: str, path: str, route: str = "NULL::BOOLEAN", retries: str = "0") -> str:
+    return f"""SELECT '{name}' AS system, q.query_id, len(q.gold) > 0 AS answerable, s.status, len(list_filter(q.gold, lambda g: list_contains(coalesce(h.ids, []), g) OR coalesce(list_contains(coalesce(h.pages, []), q.page_no), false))) AS evidence_hits, len(q.gold) AS evidence_total,
+ {path} AS path_ok, coalesce(h.n, 0) > coalesce(h.empty, 0) AS cited_well, {route} AS route_ok, coalesce(h.violations, 0) AS violations, {retries} AS retries
+FROM questions q JOIN ({status}) s USING (query_id) LEFT JOIN (SELECT query_id, flatten(list(element_ids)) AS ids, flatten(list(page_nos)) AS pages, count(CASE WHEN is_foreign THEN 1 END) AS violations, count(*) AS n, count(CASE WHEN content = '' THEN 1 END) AS empty FROM {pieces} GROUP BY query_id) h USING (query_id) JOIN checked c USING (query_id) JOIN routed r USING (query_id)"""
 
-_TEXT = f"SELECT h.query_id, 'text' AS source, h.rank, c.doc_id, array_to_string(list_sort(c.page_nos), ',') AS pages, h.chunk_id AS identity, h.score FROM ({R.SQL['bm25_search']}) h JOIN (WITH {R._CHUNKS} SELECT chunk_id, doc_id, page_nos FROM chunk) c USING (chunk_id)"
-_TABLE = f"SELECT h.query_id, 'table' AS source, h.rank, c.doc_id, c.page_no::VARCHAR AS pages, h.row_id AS identity, h.score FROM ({I.SQL['table_row_search']}) h JOIN (SELECT element_id, doc_id, page_no FROM {O.first('table_elements', 'element_id', '*')}) c ON c.element_id = split_part(h.row_id, '#', 1)"
-_GRAPH = f"SELECT h.query_id, 'graph' AS source, h.rank, q.doc_id, '' AS pages, h.path AS identity, h.score FROM ({Q.SQL['graph_paths']}) h JOIN (WITH {R._QUESTIONS} SELECT query_id, doc_id FROM questions) q USING (query_id)"
-_EVIDENCE = f"ev AS MATERIALIZED (SELECT * FROM ({_TEXT}) UNION ALL SELECT * FROM ({_TABLE}) UNION ALL SELECT * FROM ({_GRAPH}))"
 
+_RECORDS = f"""WITH {_EVIDENCE}, {_MERGED}, {_CRITIC}, {_CHECKS}, {_ROUTES}, recs AS (
+{_record('text', "(SELECT * FROM ev WHERE source = 'text')", R.SQL['answer_decision'], 'NULL::BOOLEAN')} UNION ALL
+{_record('graph', "(SELECT * FROM ev WHERE source = 'graph')", Q.SQL['graph_answer'], 'c.path_ok')} UNION ALL
+{_record('agentic', 'merged', "SELECT query_id, CASE WHEN final = 'accept' THEN 'answered' ELSE 'refused' END AS status, CASE WHEN decision = 'replan' THEN 1 ELSE 0 END AS retries FROM critic", 'CASE WHEN r.graph_expected THEN c.path_ok END', 'r.route_ok', 's.retries')}),
+final_recs AS (SELECT *, status = 'answered' AS answered, (status = 'answered') = answerable AS decision_ok FROM recs)"""
 SQL = {
-    "evidence_merge": f"""WITH {_EVIDENCE}, o AS (SELECT *, CASE source WHEN 'graph' THEN 0 WHEN 'text' THEN 1 WHEN 'table' THEN 2 ELSE 3 END AS o FROM ev WHERE rank <= CASE source WHEN 'graph' THEN 3 WHEN 'text' THEN 3 ELSE 2 END),
-d AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY query_id, doc_id, pages, identity ORDER BY o, rank) = 1)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY o, rank, identity)::INT AS citation_id, source, identity, doc_id FROM d QUALIFY citation_id <= {G.EVIDENCE_CAP}""",
-    "critic_decision": f"""WITH {_EVIDENCE}, {R._QUESTIONS}, a AS (SELECT query_id, max(CASE WHEN source = 'graph' THEN score END) AS graph_score, count(CASE WHEN source = 'text' THEN 1 END) > 0 AS text_ok FROM ev GROUP BY query_id)
-SELECT q.query_id, graph_score, coalesce(text_ok, false) AS text_ok, CASE WHEN coalesce(text_ok, false) AND coalesce(graph_score >= {G.GRAPH_SUPPORT}, false) THEN 'accept' ELSE 'replan' END AS decision FROM questions q LEFT JOIN a USING (query_id)""",
-    "guard_check": f"""SELECT query_id, a.status, (trim(answer) = {O.lit(REFUSAL)}) OR (len(cited) > 0 AND len(list_filter(cited, lambda c: c::INT < 1 OR c::INT > n_evidence)) = 0) AS passed
-FROM (SELECT *, regexp_extract_all(answer, '\\[(\\d+)\\]', 1) AS cited FROM ({R.SQL['answer_text']})) a JOIN ({R.SQL['answer_decision']}) d USING (query_id)""",
-    "path_accuracy": f"""WITH n AS (SELECT query_id, rank, unnest(string_split(path, '>')) AS node_id FROM ({Q.SQL['graph_paths']})), t AS (SELECT DISTINCT node_id, node_type FROM graph_nodes),
-p AS (SELECT query_id, rank, bool_or(node_type = 'Procedure') AND bool_or(node_type = 'Step') AS ok FROM n JOIN t USING (node_id) GROUP BY ALL), q AS (SELECT query_id, bool_or(ok) AS ok FROM p GROUP BY ALL)
-SELECT count(*) AS questions, round(avg(ok::INT), 6) AS path_accuracy FROM q""",
+    "evidence_merge": f"WITH {_EVIDENCE}, {_MERGED} SELECT query_id, citation_id, source, identity, doc_id, is_foreign FROM merged",
+    "metadata_violations": f"WITH {_EVIDENCE} SELECT source, count(*) AS results, count(CASE WHEN is_foreign THEN 1 END) AS violations, round(avg(is_foreign::INT), 6) AS violation_rate FROM ev GROUP BY source",
+    "critic_decision": f"WITH {_EVIDENCE}, {_CRITIC} SELECT query_id, text_ok, table_ok, visual_ok, graph_score, violations, decision, final FROM critic",
+    "guard_check": f"""WITH {_EVIDENCE} SELECT a.query_id, a.status, coalesce(f.foreign_n, 0) AS n_foreign, ((trim(answer) = {O.lit(REFUSAL)}) OR (len(cited) > 0 AND len(list_filter(cited, lambda c: c::INT < 1 OR c::INT > n_evidence)) = 0)) AND coalesce(f.foreign_n, 0) = 0 AS passed
+FROM (SELECT *, regexp_extract_all(answer, '\\[(\\d+)\\]', 1) AS cited FROM ({R.SQL['answer_text']})) a JOIN ({R.SQL['answer_decision']}) d USING (query_id) LEFT JOIN (SELECT query_id, count(CASE WHEN is_foreign THEN 1 END) AS foreign_n FROM ev WHERE source = 'text' GROUP BY query_id) f USING (query_id)""",
+    "path_accuracy": f"WITH {R._QUESTIONS}, {_CHECKS} SELECT count(*) AS questions, round(avg(path_ok::INT), 6) AS path_accuracy, count(path_ok) AS scored FROM checked",
+    "route_accuracy": f"WITH {R._QUESTIONS}, {_ROUTES} SELECT template, count(*) AS questions, round(avg(route_ok::INT), 6) AS route_accuracy FROM routed GROUP BY template",
+    "system_comparison": f"""{_RECORDS} SELECT system, count(*) AS questions, round(sum(evidence_hits) / sum(evidence_total), 6) AS evidence_recall, round(avg(path_ok::INT), 6) AS path_accuracy, round(avg(CASE WHEN answered THEN cited_well::INT END), 6) AS citation_faithfulness,
+ round(avg(route_ok::INT), 6) AS route_accuracy, round(avg(decision_ok::INT), 6) AS decision_accuracy, round(avg(CASE WHEN NOT answerable THEN (NOT answered)::INT END), 6) AS refusal_accuracy, sum(violations)::BIGINT AS metadata_violations, round(avg((retries > 0)::INT), 6) AS retry_rate,
+ count(CASE WHEN NOT (decision_ok AND coalesce(path_ok, true) AND coalesce(route_ok, true)) THEN 1 END) AS failures FROM final_recs GROUP BY system""",
+    "failure_records": f"{_RECORDS} SELECT system, query_id, decision_ok AS decision, path_ok AS path, route_ok AS route FROM final_recs WHERE NOT (decision_ok AND coalesce(path_ok, true) AND coalesce(route_ok, true))",
 }

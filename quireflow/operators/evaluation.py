@@ -97,8 +97,8 @@ def violates(evidence: str, wanted: str, fields: Iterable[str] = META) -> Column
 
 
 def violations(hits: DataFrame, *by: str) -> DataFrame:
-    """results, violations, violation_rate (0 without results) of rows with a boolean ``foreign``."""
-    n, bad = F.count(F.lit(1)), F.count_if(F.coalesce("foreign", F.lit(False)))
+    """results, violations, violation_rate (0 without results) of rows with a boolean ``is_foreign``."""
+    n, bad = F.count(F.lit(1)), F.count_if(F.coalesce("is_foreign", F.lit(False)))
     return hits.groupBy(*by).agg(n.alias("results"), bad.alias("violations"), F.round(F.coalesce(F.try_divide(bad, n), F.lit(0.0)), 6).alias("violation_rate"))
 
 

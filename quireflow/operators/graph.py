@@ -6,12 +6,13 @@ ids, so nodes and edges come out of projections; only what depends on first sigh
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quireflow.functions import text as T
 from quireflow.plans.workspace import written
+from quireflow.sources.files import open_index, write_index
 
 META = ["doc_id", "brand", "model", "year", "region", "language", "manual_type"]
 
@@ -118,7 +119,7 @@ def _edge(relation: str, source: str, target: str, evidence: Column | None = Non
 
 def _first_sightings(chunks: DataFrame, elements: DataFrame) -> DataFrame:
     """Chunks, then elements, in order of arrival: seen, doc ids, path, page and the first evidence of each."""
-    cols = ["doc_id", "page_no", "section_path", "stripped", "vehicle", "page", "section", "component"]
+    cols = [*META, "page_no", "section_path", "stripped", "vehicle", "page", "section", "component"]
     first = F.slice("evidence", 1, 1).alias("evidence")
     a = chunks.select(F.struct(F.lit(0).alias("src"), F.col("ingested_at").alias("at"), F.col("chunk_id").alias("id")).alias("seen"), *cols, first)
     b = elements.select(F.struct(F.lit(1).alias("src"), F.col("ingested_at").alias("at"), F.col("element_id").alias("id")).alias("seen"), *cols, first)
@@ -140,28 +141,49 @@ def _prefixes(seen: DataFrame) -> DataFrame:
     return df.withColumn("own", own).withColumn("parent", parent)
 
 
+#: Most characters of a node's label and text.
+LABEL_LIMIT, NODE_TEXT_LIMIT = 240, 1200
+
+
+def node_row(kind: Column, ident: Column, label: Column, text: Column, page: Column, path: Column, evidence: Column, asset: Column | None = None, properties: Column | None = None, cut: bool = False) -> list[Column]:
+    """Columns of a node record from a row that has the manual's fields: label and text compacted (unless the text is ``cut``
+    already), blank evidence dropped."""
+    return [
+        ident.alias("node_id"), kind.alias("node_type"), T.compact(label, LABEL_LIMIT).alias("label"), (F.coalesce(text, F.lit("")) if cut else T.compact(F.coalesce(text, F.lit("")), NODE_TEXT_LIMIT)).alias("text"), *[F.col(c) for c in META],
+        page.cast("int").alias("page_no"), path.alias("section_path"), F.filter(evidence, lambda e: e.isNotNull() & (e != "")).alias("evidence"),
+        (F.lit(None).cast("string") if asset is None else asset).alias("asset_path"), F.coalesce(F.to_json(properties) if properties is not None else F.lit("{}"), F.lit("{}")).alias("properties"),
+    ]
+
+
 def build_nodes(manifest: DataFrame, chunks: DataFrame, elements: DataFrame) -> DataFrame:
-    """node_id, node_type, label, doc_id, page_no, evidence: one row per node, as first seen.
+    """node_id, node_type, label, text, the manual's fields, page_no, section_path, evidence, asset_path, properties (JSON):
+    one row per node, as first seen.
 
-    A chunk without a page has no page node; an empty section path is the section "Unsectioned evidence".
+    A chunk without a page has no page node; an empty section path is the section "Unsectioned evidence". Elements may
+    lack asset_path.
     """
-    c, e = written(chunk_records(chunks).drop("content"), "graph_chunks"), element_records(elements)
+    if "asset_path" not in elements.columns:
+        elements = elements.withColumn("asset_path", F.lit(None).cast("string"))
+    c, e = written(chunk_records(chunks).withColumn("content", T.compact(F.col("content"), NODE_TEXT_LIMIT)), "graph_chunks"), element_records(elements)
     seen = _first_sightings(c, e)
-    none = F.array().cast("array<string>")
-    vehicle = manifest.groupBy("doc_id").agg(F.min(F.concat_ws(" ", "brand", "model", "year")).alias("label")).select(_node_id("Vehicle").alias("node_id"), F.lit("Vehicle").alias("node_type"), "label", "doc_id", F.lit(None).cast("int").alias("page_no"), none.alias("evidence"))
-    page = _first_by(seen.where("page IS NOT NULL"), "page").select(F.col("page").alias("node_id"), F.lit("EvidencePage").alias("node_type"), F.concat(F.lit("Physical PDF page "), "page_no").alias("label"), "doc_id", "page_no", "evidence")
-    section = _first_by(_prefixes(seen), "own").select(F.col("own").alias("node_id"), F.lit("Section").alias("node_type"), T.section_label(F.col("prefix")).alias("label"), "doc_id", "page_no", "evidence")
-    component = _first_by(seen, "component").select(F.col("component").alias("node_id"), F.lit("Component").alias("node_type"), T.component_label(F.col("section_path")).alias("label"), "doc_id", "page_no", "evidence")
-    own = lambda flag, node, kind, label: c.where(flag).select(F.col(node).alias("node_id"), kind.alias("node_type"), label.alias("label"), "doc_id", "page_no", "evidence")
+    none, col = F.array().cast("array<string>"), F.col
+    vehicles = manifest.groupBy("doc_id").agg(F.min(F.struct(*META[1:])).alias("m")).select("doc_id", "m.*")
+    name = F.concat_ws(" ", "brand", "model", "year")
+    section_of = lambda path: T.section_text(path)
     kind = F.initcap("chunk_type")
+    own = lambda flag, node, kind, label: c.where(flag).select(*node_row(kind, col(node), label, col("content"), col("page_no"), col("section_path"), col("evidence"), cut=True))
+    visual = F.initcap("element_type")
     parts = [
-        vehicle, page, section, component,
+        vehicles.select(*node_row(F.lit("Vehicle"), _node_id("Vehicle"), name, name, F.lit(None), none, none)),
+        _first_by(seen.where("page IS NOT NULL"), "page").select(*node_row(F.lit("EvidencePage"), col("page"), F.concat(F.lit("Physical PDF page "), "page_no"), section_of(col("section_path")), col("page_no"), col("section_path"), col("evidence"))),
+        _first_by(_prefixes(seen), "own").select(*node_row(F.lit("Section"), col("own"), T.section_label(col("prefix")), section_of(col("prefix")), col("page_no"), col("prefix"), col("evidence"))),
+        _first_by(seen, "component").select(*node_row(F.lit("Component"), col("component"), T.component_label(col("section_path")), section_of(col("section_path")), col("page_no"), col("section_path"), col("evidence"))),
         own("is_safety", "safety", kind, F.concat(kind, F.lit(": "), "label")),
-        own("is_procedure", "procedure", F.lit("Procedure"), F.col("label")),
-        own("is_specification", "specification", F.lit("Specification"), F.col("label")),
-        own("is_symbol", "symbol", F.lit("Symbol"), F.col("label")),
-        _steps(c).select(F.col("step").alias("node_id"), F.lit("Step").alias("node_type"), F.concat(F.lit("Step "), "position").alias("label"), "doc_id", "page_no", "evidence"),
-        e.select(F.col("visual").alias("node_id"), F.initcap("element_type").alias("node_type"), F.concat(F.initcap("element_type"), F.lit(": "), T.section_label(F.col("section_path"))).alias("label"), "doc_id", "page_no", "evidence"),
+        own("is_procedure", "procedure", F.lit("Procedure"), col("label")),
+        own("is_specification", "specification", F.lit("Specification"), col("label")),
+        own("is_symbol", "symbol", F.lit("Symbol"), col("label")),
+        _steps(c).select(*node_row(F.lit("Step"), col("step"), F.concat(F.lit("Step "), "position"), col("text"), col("page_no"), col("section_path"), col("evidence"), properties=F.struct("position"))),
+        e.select(*node_row(visual, col("visual"), F.concat(visual, F.lit(": "), T.section_label(col("section_path"))), col("content"), col("page_no"), col("section_path"), col("evidence"), col("asset_path"))),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -171,7 +193,7 @@ def build_nodes(manifest: DataFrame, chunks: DataFrame, elements: DataFrame) ->
 
 def _steps(c: DataFrame) -> DataFrame:
     """One row per step, with its id and the one before's; a chunk's own list gives both, without a join."""
-    df = c.where("is_procedure").select("doc_id", "chunk_id", "page_no", "evidence", "vehicle", "page", "procedure", F.posexplode("steps").alias("place", "text"))
+    df = c.where("is_procedure").select(*META, "chunk_id", "page_no", "section_path", "evidence", "vehicle", "page", "procedure", F.posexplode("steps").alias("place", "text"))
     at = lambda place: _node_id("Step", F.col("chunk_id"), (place.cast("string"), "raw"))
     return df.withColumn("position", F.col("place") + 1).withColumn("step", at(F.col("place") + 1)).withColumn("before", F.when(F.col("place") > 0, at(F.col("place"))))
 
@@ -232,35 +254,88 @@ def node_terms(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("terms", T.plain_terms(F.concat_ws(" ", "label", "text"), T.GRAPH_STOPWORDS, T.JOINED_TOKEN))
 
 
+KIND = "graph"
+
+
+def write(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Writes a graph index: nodes with their terms, and steps, the adjacency with type and terms of where each leads.
+    Repeated node ids are an error. Both are parted by ranges of manual and node, so a large manual takes several files."""
+    twice = nodes.groupBy("node_id").count().where("count > 1").first()
+    if twice:
+        raise ValueError(f"node {twice['node_id']} is indexed {twice['count']} times")
+    termed = node_terms(nodes)
+    ends = termed.select(F.col("node_id").alias("other"), "doc_id", "node_type", "terms")
+    steps = adjacency(edges).join(ends, ["doc_id", "other"])
+    lay = lambda df, *by: df.repartitionByRange(*by).sortWithinPartitions(*by)
+    write_index({"nodes": lay(termed, "doc_id", "node_id"), "steps": lay(steps, "doc_id", "node")}, path, KIND)
+
+
+def opened(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and steps of a written graph index."""
+    t = open_index(spark, path, KIND)
+    return t["nodes"], t["steps"]
+
+
 def entity_scores(hits: DataFrame, nodes: DataFrame, questions: DataFrame) -> DataFrame:
-    """query_id, node_id, doc_id, wanted, score of each entity hit (query_id, node_id, score)."""
+    """query_id, node_id, doc_id, wanted, score of each entity hit (query_id, node_id, score); nodes with their terms."""
     wanted = questions.select("query_id", T.plain_terms(F.col("question"), T.GRAPH_STOPWORDS, T.JOINED_TOKEN).alias("wanted"))
-    df = hits.select("query_id", "node_id", F.col("score").alias("raw")).join(node_terms(nodes).select("node_id", "doc_id", "node_type", "terms"), "node_id").join(wanted, "query_id")
+    df = hits.select("query_id", "node_id", F.col("score").alias("raw")).join(nodes.select("node_id", "doc_id", "node_type", "terms"), "node_id").join(wanted, "query_id")
     score = 0.48 * F.least(F.col("raw") / SCORE_SCALE, F.lit(1.0)) + 0.37 * T.coverage(F.col("wanted"), F.col("terms")) + 0.15 * _weight(NODE_WEIGHTS, "node_type")
     return df.select("query_id", "node_id", "doc_id", "wanted", F.round(score, 9).alias("score"))
 
 
-def paths(entities: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = PATHS, beam: int = BEAM) -> DataFrame:
-    """query_id, path, edges, hops, score, rank: the best paths of one or two hops from the entities of each question.
+def paths(entities: DataFrame, steps: DataFrame, limit: int = PATHS, beam: int = BEAM, hops: int = 2) -> DataFrame:
+    """query_id, doc_id, path_id, path, edges, hops, score, rank: the best paths of up to ``hops`` hops from the entities of
+    each question, over the steps of a graph index. path and edges are lists of ids.
 
     Each hop adds relation weight times confidence over hop + 0.5, a fifth of the new node's share of the question's
     terms, and 0.08 of its type's weight. All of a hop's paths count; only the ``beam`` best of an anchor go on. A path
-    repeats no node; found from several anchors, it keeps its best score.
+    repeats no node; found from several anchors, it keeps its best score. Ranks go by the score of 6 digits, then the path's id.
     """
-    ends = written(node_terms(nodes), "node_terms").select(F.col("node_id").alias("other"), F.col("doc_id"), "node_type", "terms")
-    step = adjacency(edges).join(ends, ["doc_id", "other"])
+    if hops not in (1, 2):
+        raise ValueError("hops must be 1 or 2")
     front = entities.select("query_id", "doc_id", "wanted", F.col("node_id").alias("anchor"), F.col("node_id").alias("node"), F.array("node_id").alias("path"), F.array().cast("array<string>").alias("edges"), "score")
     found = None
-    for hop in (1, 2):
+    for hop in range(1, hops + 1):
         gain = _weight(RELATION_WEIGHTS, "edge_type") * F.col("confidence") / (hop + 0.5) + 0.20 * T.coverage(F.col("wanted"), F.col("terms")) + 0.08 * _weight(NODE_WEIGHTS, "node_type")
-        grown = front.join(step, ["doc_id", "node"]).where(~F.array_contains("path", F.col("other")))
+        grown = front.join(steps, ["doc_id", "node"]).where(~F.array_contains("path", F.col("other")))
         grown = grown.select(
             "query_id", "doc_id", "wanted", "anchor", F.col("other").alias("node"), F.concat("path", F.array("other")).alias("path"), F.concat("edges", F.array("edge_id")).alias("edges"), F.round(F.col("score") + gain, 9).alias("score")
         )
-        made = grown.select("query_id", F.array_join("path", ">").alias("path"), F.array_join("edges", ">").alias("edges"), F.lit(hop).alias("hops"), "score")
+        made = grown.select("query_id", "doc_id", "path", "edges", F.lit(hop).alias("hops"), "score")
         found = made if found is None else found.unionByName(made)
         order = Window.partitionBy("query_id", "anchor").orderBy(F.desc("score"), "node", F.array_join("edges", ">"))
         front = grown.withColumn("n", F.row_number().over(order)).where(F.col("n") <= beam).drop("n")
-    best = found.groupBy("query_id", "path", "edges", "hops").agg(F.round(F.max("score"), 6).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "path", "edges")
+    best = found.groupBy("query_id", "doc_id", "path", "edges", "hops").agg(F.round(F.max("score"), 6).alias("score"))
+    best = best.withColumn("path_id", graph_id("path", F.col("doc_id"), _raw(F.col("path")), _raw(F.col("edges"))))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "path_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+
+#: Node types a path's content leaves out, and the most characters of it.
+NOT_QUOTED, PATH_CONTENT = ("Vehicle", "EvidencePage"), 1800
+
+
+def path_records(found: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``paths`` with what a citation needs: the anchor's manual, page_nos (distinct, ascending), section_path (the longest,
+    the first of equals), node_types, node_labels, relations (in order), evidence_ids (first seen first), content, source.
+
+    Nodes are joined once for all places of all paths, which ``paths`` has cut to a few a question.
+    """
+    keys = ["query_id", "path_id"]
+    at = found.select(*keys, F.posexplode("path").alias("at", "node_id"))
+    held = at.join(nodes.select("node_id", *META[1:], "node_type", "label", "text", "page_no", "section_path", "evidence_ids"), "node_id")
+    rows = F.array_sort(F.collect_list(F.struct("at", *META[1:], "node_type", "label", "text", "page_no", "section_path", "evidence_ids")))
+    gathered = held.groupBy(*keys).agg(rows.alias("ns"))
+    quoted = F.transform(F.filter("ns", lambda n: ~n["node_type"].isin(*NOT_QUOTED)), lambda n: F.concat(n["node_type"], F.lit(" "), n["label"], F.lit(": "), F.coalesce(n["text"], F.lit(""))))
+    longest = F.array_max(F.transform("ns", lambda n: F.struct(F.size(n["section_path"]).alias("n"), (-n["at"]).alias("at"), n["section_path"].alias("p"))))
+    of = lambda field: F.transform("ns", lambda n: n[field])
+    made = gathered.select(
+        *keys, *[F.col("ns")[0][c].alias(c) for c in META[1:]], F.array_sort(F.array_distinct(F.array_compact(of("page_no")))).alias("page_nos"), longest["p"].alias("section_path"),
+        of("node_type").alias("node_types"), of("label").alias("node_labels"), F.array_distinct(F.filter(F.flatten(F.filter(of("evidence_ids"), lambda e: e.isNotNull())), lambda e: e != "")).alias("evidence_ids"),
+        T.compact(F.array_join(quoted, " | "), PATH_CONTENT).alias("content"),
+    )
+    steps = found.select(*keys, F.posexplode("edges").alias("at", "edge_id")).join(edges.select("edge_id", "edge_type"), "edge_id")
+    relations = steps.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "edge_type"))), lambda x: x["edge_type"]).alias("relations"))
+    out = found.join(made, keys).join(relations, keys)
+    return out.withColumn("source", T.graph_source_label(F.col("section_path"), F.col("page_nos")))

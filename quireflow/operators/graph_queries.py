@@ -9,6 +9,7 @@ from quireflow.functions import oracle as O
 from quireflow.functions import text as T
 from quireflow.operators import graph as G
 from quireflow.operators import retrieval_queries as R
+from quireflow.plans.workspace import checkpoint_root, fingerprint, kept
 from quireflow.sources.tables import first_arrivals, table
 
 
@@ -19,14 +20,18 @@ def _chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _elements(spark: SparkSession, folder: str) -> DataFrame:
-    cols = [*G.META, "page_no", "section_path", "element_type", "content"]
+    cols = [*G.META, "page_no", "section_path", "element_type", "content", "asset_path"]
     one = first_arrivals(table(spark, folder, "elements").withColumn("seen_at", F.col("ingested_at")), "element_id", [*cols, "seen_at"])
     return one.withColumnRenamed("seen_at", "ingested_at")
 
 
+def built_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    return G.build_nodes(table(spark, folder, "manifest"), _chunks(spark, folder), _elements(spark, folder))
+
+
 def graph_build_nodes(spark: SparkSession, folder: str) -> DataFrame:
-    nodes = G.build_nodes(table(spark, folder, "manifest"), _chunks(spark, folder), _elements(spark, folder))
-    return nodes.select("node_id", "node_type", "label", "doc_id", "page_no", F.array_join("evidence", ",").alias("evidence"))
+    nodes = built_nodes(spark, folder)
+    return nodes.select("node_id", "node_type", "label", "text", "doc_id", "brand", "page_no", F.array_join("section_path", " > ").alias("section"), F.array_join("evidence", ",").alias("evidence"), "asset_path", "properties")
 
 
 def graph_build_edges(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,15 +61,38 @@ def graph_endpoints(spark: SparkSession, folder: str) -> DataFrame:
     return ends.where("end IS NOT NULL AND end <> ''").join(nodes, "end", "left_anti").select("edge_id", "side", "end")
 
 
+def graph_index(spark: SparkSession, folder: str, root: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and steps of the kept index of the given graph."""
+    mark = fingerprint(spark, [f"{folder}/graph_nodes.parquet", f"{folder}/graph_edges.parquet"], G.FAN_OUT)
+    path = kept(spark, f"graph-{mark}", lambda p: G.write(R.graph_nodes(spark, folder), _edges(spark, folder), p), root or f"{checkpoint_root(spark)}/indexes")
+    return G.opened(spark, path)
+
+
+def _entities(spark: SparkSession, folder: str) -> DataFrame:
+    return G.entity_scores(R.bm25_entities(spark, folder), graph_index(spark, folder)[0], R.questions(spark, folder))
+
+
 def entity_scores(spark: SparkSession, folder: str) -> DataFrame:
-    e = G.entity_scores(R.bm25_entities(spark, folder), R.graph_nodes(spark, folder), R.questions(spark, folder))
-    return e.select("query_id", "node_id", F.round("score", 6).alias("score"))
+    return _entities(spark, folder).select("query_id", "node_id", F.round("score", 6).alias("score"))
+
+
+def found_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return G.paths(_entities(spark, folder), graph_index(spark, folder)[1])
 
 
 def graph_paths(spark: SparkSession, folder: str) -> DataFrame:
-    nodes = R.graph_nodes(spark, folder)
-    e = G.entity_scores(R.bm25_entities(spark, folder), nodes, R.questions(spark, folder))
-    return G.paths(e, nodes, _edges(spark, folder))
+    return found_paths(spark, folder).select("query_id", "path_id", F.array_join("path", ">").alias("path"), F.array_join("edges", ">").alias("edges"), "hops", "score", "rank")
+
+
+def records(spark: SparkSession, folder: str) -> DataFrame:
+    return G.path_records(found_paths(spark, folder), graph_index(spark, folder)[0], _edges(spark, folder))
+
+
+def path_records(spark: SparkSession, folder: str) -> DataFrame:
+    """What a citation of each best path says."""
+    r = records(spark, folder)
+    joined = lambda c, by=",": F.array_join(F.transform(c, lambda x: x.cast("string")), by).alias(c)
+    return r.select("query_id", "rank", "path_id", "doc_id", joined("page_nos"), joined("section_path", " > "), joined("node_types"), joined("node_labels", "|"), joined("relations"), joined("evidence_ids"), "content", "source")
 
 
 def graph_answer(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,7 +109,7 @@ def procedure_steps(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("chunk_id", (F.col("place") + 1).alias("position"), "step", F.get("steps", F.col("place") + 1).alias("next_step"))
 
 
-QUERIES = {f.__name__: f for f in (graph_build_nodes, graph_build_edges, graph_build_counts, graph_adjacency, graph_endpoints, entity_scores, graph_paths, graph_answer, procedure_steps)}
+QUERIES = {f.__name__: f for f in (graph_build_nodes, graph_build_edges, graph_build_counts, graph_adjacency, graph_endpoints, entity_scores, graph_paths, path_records, graph_answer, procedure_steps)}
 
 # --- SQL -----------------------------------------------------------------------------------------------------------
 
@@ -119,8 +147,8 @@ c AS MATERIALIZED (SELECT *, chunk_type IN ('warning', 'caution') AS is_safety,
   {_node('Procedure', _s('chunk_id'))} AS procedure, {_node('Specification', _s('chunk_id'))} AS specification, {_node('Symbol', _s('chunk_id'))} AS symbol FROM c1),
 e0 AS (SELECT *, {_IDS} FROM {O.first('elements', 'element_id', '*')} WHERE element_type IN ('image', 'table')),
 e AS MATERIALIZED (SELECT *, {_MORE}, CASE element_type WHEN 'image' THEN {_node('Image', _s('element_id'))} ELSE {_node('Table', _s('element_id'))} END AS visual, [element_id] AS evidence FROM e0),
-seen AS (SELECT 0 AS src, ingested_at AS t, chunk_id AS id, doc_id, page_no, section_path, stripped, vehicle, page, section, component, evidence[1:1] AS evidence FROM c
-  UNION ALL SELECT 1, ingested_at, element_id, doc_id, page_no, section_path, stripped, vehicle, page, section, component, evidence FROM e),
+seen AS (SELECT 0 AS src, ingested_at AS t, chunk_id AS id, doc_id, brand, page_no, section_path, stripped, vehicle, page, section, component, evidence[1:1] AS evidence FROM c
+  UNION ALL SELECT 1, ingested_at, element_id, doc_id, brand, page_no, section_path, stripped, vehicle, page, section, component, evidence FROM e),
 prefixes AS (SELECT *, {_node('Section', _s('prefix'))} AS own, CASE WHEN depth > 1 THEN {_node('Section', _s('prefix[1:depth - 1]'))} END AS parent
   FROM (SELECT *, stripped[1:depth] AS prefix FROM (SELECT *, unnest(range(1, greatest(len(stripped), 1) + 1)) AS depth FROM seen))),
 f_page AS (SELECT * FROM seen WHERE page IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page ORDER BY src, t, id) = 1),
@@ -134,20 +162,31 @@ def _title(x: str) -> str:
     return f"upper(left({x}, 1)) || substr({x}, 2)"
 
 
+def _text(x: str) -> str:
+    return O.compact(f"coalesce({x}, '')", G.NODE_TEXT_LIMIT)
+
+
+def _row(ident: str, kind: str, label: str, text: str, source: str, path: str = "section_path", page: str = "page_no", asset: str = "NULL::VARCHAR", properties: str = "'{}'", proof: str = "evidence", where: str = "") -> str:
+    return f"SELECT {ident} AS node_id, {kind} AS node_type, {O.compact(label, G.LABEL_LIMIT)} AS label, {_text(text)} AS text, doc_id, brand, {page} AS page_no, array_to_string({path}, ' > ') AS section, array_to_string({proof}, ',') AS evidence, {asset} AS asset_path, {properties} AS properties FROM {source} {where}"
+
+
 def _own(flag: str, node: str, kind: str, label: str = "label") -> str:
-    return f"SELECT {node}, {kind}, {label}, doc_id, page_no, evidence FROM c WHERE is_{flag}"
+    return _row(node, kind, label, "content", "c", where=f"WHERE is_{flag}")
 
 
+_NAME = "concat_ws(' ', brand, model, year)"
+_VEHICLES = "(SELECT doc_id, unnest(min({'brand': brand, 'model': model, 'year': year, 'region': region, 'language': language, 'manual_type': manual_type})) FROM manifest GROUP BY doc_id)"
+_PATH_TEXT = "array_to_string(section_path, ' > ')"
 _NODES = f"""{_BASE}, made AS (
-SELECT {_node('Vehicle')} AS node_id, 'Vehicle' AS node_type, min(concat_ws(' ', brand, model, year)) AS label, doc_id, NULL::INT AS page_no, []::VARCHAR[] AS evidence FROM manifest GROUP BY doc_id
-UNION ALL SELECT page, 'EvidencePage', 'Physical PDF page ' || page_no, doc_id, page_no, evidence FROM f_page
-UNION ALL SELECT own, 'Section', {O.section_label('prefix')}, doc_id, page_no, evidence FROM f_section
-UNION ALL SELECT component, 'Component', {O.component_label('section_path')}, doc_id, page_no, evidence FROM f_component
+{_row(_node('Vehicle'), "'Vehicle'", _NAME, _NAME, _VEHICLES, "[]::VARCHAR[]", "NULL::INT", proof="[]::VARCHAR[]")}
+UNION ALL {_row("page", "'EvidencePage'", "'Physical PDF page ' || page_no", _PATH_TEXT, "f_page")}
+UNION ALL {_row("own", "'Section'", O.section_label('prefix'), "array_to_string(prefix, ' > ')", "f_section", "prefix")}
+UNION ALL {_row("component", "'Component'", O.component_label('section_path'), _PATH_TEXT, "f_component")}
 UNION ALL {_own('safety', 'safety', _title('chunk_type'), _title('chunk_type') + " || ': ' || label")}
 UNION ALL {_own('procedure', 'procedure', "'Procedure'")} UNION ALL {_own('specification', 'specification', "'Specification'")} UNION ALL {_own('symbol', 'symbol', "'Symbol'")}
-UNION ALL SELECT step, 'Step', 'Step ' || position, doc_id, page_no, evidence FROM steps
-UNION ALL SELECT visual, {_title('element_type')}, {_title('element_type')} || ': ' || {O.section_label('section_path')}, doc_id, page_no, evidence FROM e)
-SELECT node_id, node_type, label, doc_id, page_no, array_to_string(evidence, ',') AS evidence FROM made"""
+UNION ALL {_row("step", "'Step'", "'Step ' || position", "steps[position]", "steps", properties="'{' || chr(34) || 'position' || chr(34) || ':' || position || '}'")}
+UNION ALL {_row("visual", _title('element_type'), _title('element_type') + " || ': ' || " + O.section_label('section_path'), "content", "e", asset="asset_path")})
+SELECT * FROM made"""
 
 
 def _e(source: str, relation: str, s: str, t: str, where: str = "true", confidence: float = 1.0, page: str = "page_no", proof: str = "evidence") -> str:
@@ -195,9 +234,19 @@ def _hop(n: int, front: str) -> str:
 
 _PATHS = f"""{_SCORED}, {_ADJ}, f0 AS (SELECT query_id, doc_id, wanted, node_id AS anchor, node_id AS node, [node_id] AS path, []::VARCHAR[] AS edges, score FROM ent), {_hop(1, 'f0')},
 f1 AS (SELECT * FROM g1 QUALIFY row_number() OVER (PARTITION BY query_id, anchor ORDER BY score DESC, node, array_to_string(edges, '>')) <= {G.BEAM}), {_hop(2, 'f1')},
-every AS (SELECT query_id, array_to_string(path, '>') AS path, array_to_string(edges, '>') AS edges, 1 AS hops, score FROM g1 UNION ALL SELECT query_id, array_to_string(path, '>'), array_to_string(edges, '>'), 2, score FROM g2),
-best AS (SELECT query_id, path, edges, hops, round(max(score), 6) AS score FROM every GROUP BY ALL),
-ways AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, edges)::INT AS rank FROM best QUALIFY rank <= {G.PATHS})"""
+every AS (SELECT query_id, doc_id, path AS nodes, edges AS steps, 1 AS hops, score FROM g1 UNION ALL SELECT query_id, doc_id, path, edges, 2, score FROM g2),
+best AS (SELECT *, {_id("path", _s("doc_id"), _s("nodes"), _s("steps"))} AS path_id FROM (SELECT query_id, doc_id, nodes, steps, hops, round(max(score), 6) AS score FROM every GROUP BY ALL)),
+ways AS (SELECT * EXCLUDE (nodes, steps), nodes, steps, array_to_string(nodes, '>') AS path, array_to_string(steps, '>') AS edges, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path_id)::INT AS rank FROM best QUALIFY rank <= {G.PATHS})"""
+_PLACES = f"""{_PATHS}, place AS (SELECT query_id, path_id, unnest(range(1, len(nodes) + 1)) AS pos, nodes FROM ways),
+walked AS (SELECT p.query_id, p.path_id, p.pos, n.* FROM place p JOIN node n ON n.node_id = p.nodes[p.pos]),
+step AS (SELECT query_id, path_id, string_agg(e.edge_type, ',' ORDER BY pos) AS relations FROM (SELECT query_id, path_id, steps, unnest(range(1, len(steps) + 1)) AS pos FROM ways) s JOIN {_EDGE_ROWS} e ON e.edge_id = s.steps[s.pos] GROUP BY ALL),
+rec AS (SELECT query_id, path_id, min_by(brand, pos) AS brand, min_by(model, pos) AS model, min_by(year, pos) AS year, list_sort(list_distinct(list_filter(list(page_no), lambda p: p IS NOT NULL))) AS pages, max_by(section_path, len(section_path) * 100 - pos) AS section_path,
+  string_agg(node_type, ',' ORDER BY pos) AS node_types, string_agg(label, '|' ORDER BY pos) AS node_labels, flatten(list(coalesce(evidence_ids, []) ORDER BY pos)) AS ev,
+  string_agg(CASE WHEN node_type NOT IN {G.NOT_QUOTED} THEN node_type || ' ' || label || ': ' || coalesce(text, '') END, ' | ' ORDER BY pos) AS body FROM walked GROUP BY ALL),
+full_rec AS (SELECT w.query_id, w.rank, w.path_id, w.doc_id, array_to_string(pages, ',') AS page_nos, array_to_string(section_path, ' > ') AS section_path, node_types, node_labels, relations, pages, w.score, w.hops,
+  array_to_string({O.distinct("list_filter(ev, lambda e: e <> '')")}, ',') AS evidence_ids, {O.compact("coalesce(body, '')", G.PATH_CONTENT)} AS content,
+  brand || ' ' || model || ' Owner''s Manual (' || year || '), ' || array_to_string(section_path, ' > ') || CASE WHEN len(pages) > 0 THEN ', physical PDF p.' || array_to_string(pages, ',') ELSE '' END AS source
+  FROM ways w JOIN rec USING (query_id, path_id) JOIN step USING (query_id, path_id))"""
 
 SQL = {
     "graph_build_nodes": _NODES,
@@ -208,7 +257,8 @@ LEFT JOIN (SELECT node_type AS kind FROM ({_NODES}) UNION ALL SELECT edge_type F
     "graph_endpoints": f"""WITH e AS (SELECT * FROM {_EDGE_ROWS}), ends AS (SELECT edge_id, 'source' AS side, source_id AS "end" FROM e UNION ALL SELECT edge_id, 'target', target_id FROM e)
 SELECT * FROM ends WHERE "end" <> '' AND "end" NOT IN (SELECT node_id FROM graph_nodes)""",
     "entity_scores": f"{_SCORED} SELECT query_id, node_id, round(score, 6) AS score FROM ent",
-    "graph_paths": f"{_PATHS} SELECT query_id, path, edges, hops, score, rank FROM ways",
+    "graph_paths": f"{_PATHS} SELECT query_id, path_id, path, edges, hops, score, rank FROM ways",
+    "path_records": f"{_PLACES} SELECT query_id, rank, path_id, doc_id, page_nos, section_path, node_types, node_labels, relations, evidence_ids, content, source FROM full_rec",
     "graph_answer": f"""{_PATHS}, best_e AS (SELECT query_id, max(round(score, 6)) AS entity_score FROM ent GROUP BY ALL)
 SELECT q.query_id, w.score AS path_score, entity_score, CASE WHEN w.score >= 1.2 AND entity_score >= 0.45 THEN 'answered' ELSE 'refused' END AS status
 FROM questions q LEFT JOIN ways w ON w.query_id = q.query_id AND w.rank = 1 LEFT JOIN best_e b ON b.query_id = q.query_id""",

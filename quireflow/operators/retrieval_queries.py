@@ -107,7 +107,7 @@ def bm25_tables(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def graph_nodes(spark: SparkSession, folder: str) -> DataFrame:
-    one = first_arrivals(table(spark, folder, "graph_nodes"), "node_id", ["doc_id", "node_type", "label", "text", "section_path", "evidence_ids", "page_no"])
+    one = first_arrivals(table(spark, folder, "graph_nodes"), "node_id", [*META, "node_type", "label", "text", "section_path", "evidence_ids", "page_no", "asset_path"])
     return one.withColumn("section_json", F.concat(F.lit("["), F.array_join("section_path", ", "), F.lit("]")))
 
 
