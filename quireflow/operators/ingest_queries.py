@@ -18,7 +18,7 @@ _COLUMNS = ["doc_id", "page_no", "section_path", "element_type", "content", "ass
 
 def elements(spark: SparkSession, folder: str) -> DataFrame:
     one = first_arrivals(table(spark, folder, "elements"), "element_id", _COLUMNS)
-    return one.withColumn("source_index", F.col("source_locator.source_index")).withColumn("title_level", F.col("source_locator.title_level"))
+    return one.withColumn("source_index", F.col("source_locator.source_index")).withColumn("title_level", F.col("source_locator.title_level")).withColumn("source_type", F.col("source_locator.source_type")).withColumn("page_idx", F.col("source_locator.source_page_idx"))
 
 
 def element_normalize(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,6 +44,23 @@ def anomaly_report(spark: SparkSession, folder: str) -> DataFrame:
     return I.anomalies(elements(spark, folder))
 
 
+def source_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    return I.source_histogram(elements(spark, folder))
+
+
+def page_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    return I.page_coverage(elements(spark, folder))
+
+
+def visual_context(spark: SparkSession, folder: str) -> DataFrame:
+    """What is said of each image and table: section, recognized text, nearest texts."""
+    e = elements(spark, folder)
+    none = F.array().cast("array<string>")
+    said = F.when(F.btrim(F.coalesce("content", F.lit(""))) != "", F.array("content")).otherwise(none)
+    df = e.where("element_type <> 'text'").join(I.nearest_text(e), "element_id")
+    return df.select("element_id", I.visual_context(F.col("section_path"), none, none, said, F.col("before"), F.col("after"), F.col("page_no")).alias("context"))
+
+
 def _made(spark: SparkSession, folder: str) -> DataFrame:
     return I.chunk_links(I.chunks(elements(spark, folder)))
 
@@ -155,7 +172,7 @@ def vehicle_gate(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        element_normalize, element_links, nearest_text, section_fold, anomaly_report, chunk_build, chunk_summary, chunk_labels, element_membership, contract_violations,
+        element_normalize, element_links, nearest_text, section_fold, anomaly_report, source_histogram, page_coverage, visual_context, chunk_build, chunk_summary, chunk_labels, element_membership, contract_violations,
         asset_audit, rank_audit, vector_audit, table_layouts, table_cell_values, table_row_search, table_answer, latency_summary, vehicle_gate,
     )
 }
@@ -167,8 +184,10 @@ _OK_BOX = "(len(bbox) = 4 AND len(list_filter(bbox, lambda x: x IS NULL OR isnan
 _KIND = "(CASE WHEN source_locator.source_type IN ('text', 'page_footnote') THEN 'text' WHEN source_locator.source_type = 'table' THEN 'table' WHEN source_locator.source_type IN ('image', 'chart', 'equation') THEN 'image' WHEN source_locator.source_type IN ('header', 'footer', 'page_header', 'page_footer', 'page_number') THEN 'skipped' ELSE 'unsupported' END)"
 _PAGE = "(CASE WHEN source_locator.source_page_idx >= 0 THEN source_locator.source_page_idx + 1 END)"
 _BLANKS = "' ' || chr(9) || chr(13) || chr(10)"
-_LEVELS = ", ".join(f"last(CASE WHEN element_type = 'text' AND trim(content) <> '' AND title_level = {k} THEN {{'at': at_, 'title': trim(content)}} END IGNORE NULLS) OVER w AS t{k}" for k in range(1, I.MAX_LEVEL + 1))
-_PATH = ", ".join(f"CASE WHEN coalesce(t{k}.at, 0) > greatest({', '.join(['0'] + [f'coalesce(t{j}.at, 0)' for j in range(1, k)])}) THEN t{k}.title END" for k in range(1, I.MAX_LEVEL + 1))
+#: Levels the SQL spells out; the test tables have fewer.
+_DEEPEST = 6
+_LEVELS = ", ".join(f"last(CASE WHEN element_type = 'text' AND trim(content) <> '' AND title_level = {k} THEN {{'at': at_, 'title': trim(content)}} END IGNORE NULLS) OVER w AS t{k}" for k in range(1, _DEEPEST + 1))
+_PATH = ", ".join(f"CASE WHEN coalesce(t{k}.at, 0) > greatest({', '.join(['0'] + [f'coalesce(t{j}.at, 0)' for j in range(1, k)])}) THEN t{k}.title END" for k in range(1, _DEEPEST + 1))
 _CHUNKED = f"""
 WITH RECURSIVE {_E}, x AS (SELECT * REPLACE (coalesce(content, '') AS content) FROM e WHERE element_type = 'text'),
 y AS (SELECT *, {O.chunk_kind('content')} AS kind FROM x),
@@ -215,6 +234,7 @@ def _text(c: str) -> str:
 
 
 SQL = {
+    "visual_context": "",
     "element_normalize": f"""WITH {_E} SELECT element_id, {_KIND} AS kind, {_PAGE}::INT AS page, CASE WHEN {_OK_BOX} THEN bbox[1] END AS "left",
  doc_id || ':p' || CASE WHEN {_PAGE} IS NULL THEN 'unknown' ELSE lpad({_PAGE}::VARCHAR, 4, '0') END || ':' || {_KIND} || ':' || lpad(source_index::VARCHAR, 6, '0') || ':' || left(sha256('{{"content":' || to_json([content])::VARCHAR || '}}'), 16) AS stable_id FROM e""",
     "element_links": f"WITH {_E} SELECT doc_id, element_id, lag(element_id) OVER w AS previous_id, lead(element_id) OVER w AS next_id FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY source_index, element_id)",
@@ -225,7 +245,9 @@ SELECT element_id, last(words IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECE
 b AS (SELECT element_id, {_LEVELS} FROM a WINDOW w AS (PARTITION BY doc_id ORDER BY source_index, element_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT element_id, array_to_string(list_filter([{_PATH}], lambda x: x IS NOT NULL), ' > ') AS path FROM b""",
     "anomaly_report": f"""WITH {_E} SELECT doc_id, count(CASE WHEN element_type = 'text' THEN 1 END) AS texts, count(CASE WHEN element_type = 'table' THEN 1 END) AS tables, count(CASE WHEN element_type = 'image' THEN 1 END) AS images, count(CASE WHEN page_no IS NULL THEN 1 END) AS missing_page,
- count(CASE WHEN trim(content, {_BLANKS}) = '' THEN 1 END) AS blank_content, count(CASE WHEN element_type <> 'text' AND coalesce(asset_path, '') = '' THEN 1 END) AS missing_asset, count(CASE WHEN bbox IS NOT NULL AND NOT coalesce({_OK_BOX}, false) THEN 1 END) AS invalid_bbox, count(DISTINCT page_no) AS pages, max(page_no) AS last_page FROM e GROUP BY ROLLUP (doc_id)""",
+ count(CASE WHEN trim(content, {_BLANKS}) = '' THEN 1 END) AS blank_content, count(CASE WHEN element_type <> 'text' AND coalesce(asset_path, '') = '' THEN 1 END) AS missing_asset, count(CASE WHEN bbox IS NOT NULL AND NOT coalesce({_OK_BOX}, false) THEN 1 END) AS invalid_bbox, count(CASE WHEN {_KIND} = 'unsupported' THEN 1 END) AS unsupported, count(CASE WHEN {_KIND} = 'skipped' THEN 1 END) AS skipped, count(CASE WHEN regexp_matches(asset_path, '(^/|(^|/)\\.\\.(/|$))') THEN 1 END) AS invalid_asset, count(DISTINCT page_no) AS pages, max(page_no) AS last_page FROM e GROUP BY ROLLUP (doc_id)""",
+    "source_histogram": f"WITH {_E} SELECT doc_id, source_locator.source_type AS source_type, {_KIND} AS kind, count(*) AS n FROM e GROUP BY ALL",
+    "page_coverage": f"WITH {_E}, x AS (SELECT *, source_locator.source_page_idx AS i FROM e) SELECT doc_id, coalesce(max(i) + 1, 0) AS source_pages, count(DISTINCT CASE WHEN i >= 0 THEN i END) AS pages_with_items, count(DISTINCT page_no) AS pages_with_elements, coalesce(max(i) + 1, 0) - count(DISTINCT CASE WHEN i >= 0 THEN i END) AS blank_pages FROM x GROUP BY doc_id",
     "chunk_build": _CHUNKED + """ SELECT chunk_id, doc_id, chunk_type, page_no, array_to_string(section_path, ' > ') AS section, content, array_to_string(element_ids, ',') AS element_ids, lag(chunk_id) OVER w AS previous_chunk_id, lead(chunk_id) OVER w AS next_chunk_id FROM named WINDOW w AS (PARTITION BY doc_id ORDER BY no)""",
     "chunk_summary": _CHUNKED + f" SELECT chunk_type, count(*) AS chunks, count(CASE WHEN length(content) > {I.MAX_CHARS} THEN 1 END) AS oversized, sum(len(element_ids))::BIGINT AS elements, count(DISTINCT doc_id) AS documents FROM named GROUP BY chunk_type",
     "chunk_labels": f"WITH {R._CHUNKS} SELECT chunk_id, {O.chunk_kind('content')} AS kind, {O.component_label('section_path')} AS component, metadata, {O.compact('content', 240)} AS short, {O.source_label('section_path', 'page_nos')} AS source, concat_ws(chr(10), concat_ws(' ', brand, model, year), section_text, content) AS indexed FROM chunk",
@@ -255,3 +277,6 @@ SELECT query_id, row_id, query_coverage, reason, CASE WHEN reason = 'answered' T
     "latency_summary": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_disc(value, 0.95), 6) AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type",
     "vehicle_gate": "WITH m AS (SELECT DISTINCT lower(brand) AS brand, lower(model) AS model, lower(year) AS year, lower(region) AS region, doc_id FROM manifest) SELECT brand, model, year, region, count(*) AS manuals, min(doc_id) AS doc_id, count(*) = 1 AS exact FROM m GROUP BY ALL",
 }
+SQL["visual_context"] = f"""WITH {_E}, near AS ({SQL['nearest_text']}), said AS (SELECT e.element_id, concat_ws(chr(10), CASE WHEN len(section_path) > 0 THEN 'Section: ' || array_to_string(section_path, ' > ') END, CASE WHEN trim(coalesce(content, '')) <> '' THEN 'Recognized text: ' || content END,
+  CASE WHEN before <> '' THEN 'Previous text: ' || before END, CASE WHEN after <> '' THEN 'Next text: ' || after END) AS t, page_no FROM e JOIN near USING (element_id) WHERE element_type <> 'text')
+SELECT element_id, CASE WHEN t <> '' THEN t ELSE 'Visual element on PDF page ' || coalesce(page_no::VARCHAR, 'unknown') || '.' END AS context FROM said"""
