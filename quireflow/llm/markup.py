@@ -46,6 +46,8 @@ _MARKDOWN = re.compile(
   | (?<![\w~])~~(?=[^\s~])[^~\n]*[^\s~]~~(?![\w~])
     """
 )
+#: Two lines of one mark after another are a list or a quote also where their items begin with a digit.
+_LISTED = re.compile(r"(?m)^([ \t]*[-*+]|[ ]{0,3}>)[ \t]+\d[^\n|]*\n\1[ \t]+\d")
 _RULE_LINE = re.compile(r"(?m)^[^\n]*\|[^\n]*\n[ \t]*(?=[^\n]*\|)(?!\|-+[ \t]*\r?$)\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*\r?$")
 _WIKI = re.compile(
     r"""(?mx)
@@ -80,27 +82,140 @@ def _is_tag(m: re.Match, text: str) -> bool:
     return True
 
 
-def _has_html(text: str) -> bool:
-    if "<" in text and (_COMMENT.search(text) or any(_is_tag(m, text) for m in _TAG.finditer(text))):
-        return True
-    return "&" in text and any(m[0][1] == "#" or m[0][1:] in html5 for m in _REFERENCE.finditer(text))
+class _Events(HTMLParser):
+    """Constructs as the streaming parser meets them: its events say where one may be, and of what kind it is; the text
+    between them is handed on, to be searched for the kinds that have no parser."""
+
+    def __init__(self, source: str):
+        super().__init__(convert_charrefs=False)
+        self.source = source
+        self.found = False
+        self.starts = [0]
+        for line in source.split("\n")[:-1]:
+            self.starts.append(self.starts[-1] + len(line) + 1)
+        self.feed(source)
+        self.close()
+
+    def _place(self) -> int:
+        line, offset = self.getpos()
+        return self.starts[line - 1] + offset
+
+    def _tag(self, raw: str) -> None:
+        """A region the parser took for a tag; one that runs over others, for want of its end, holds theirs."""
+        self.found |= any(_is_tag(m, self.source) for m in _TAG.finditer(raw))
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self._tag(self.get_starttag_text() or "")
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self._tag(self.get_starttag_text() or "")
+
+    def handle_endtag(self, tag: str) -> None:
+        at = self._place()
+        m = _TAG.match(self.source, at)
+        self.found |= bool(m and _is_tag(m, self.source))
+
+    def handle_comment(self, data: str) -> None:
+        self.found |= bool(_COMMENT.match(self.source, self._place()))
+
+    handle_decl = handle_pi = unknown_decl = handle_comment
+
+    def _reference(self, _: str) -> None:
+        m = _REFERENCE.match(self.source, self._place())
+        self.found |= bool(m and (m[0][1] == "#" or m[0][1:] in html5))
+
+    handle_entityref = handle_charref = _reference
+
+    def handle_data(self, data: str) -> None:
+        """Text, and what no event says: a tag or comment that is never closed, or one inside a script."""
+        if "<" in data:
+            self._tag(data)
+            self.found |= bool(_COMMENT.search(data))
 
 
 def kinds(text: str | None) -> list[str]:
-    """Kinds of markup a text has a construct of, out of html, latex, markdown, wiki."""
+    """Kinds of markup a text has a construct of, out of html, latex, markdown, wiki.
+
+    HTML comes from the events of the parser; the other kinds have none and are found by their constructs' form.
+    """
     if not text:
         return []
     text = text.replace("\r\n", "\n")
-    out = ["html"] if _has_html(text) else []
+    out = ["html"] if ("<" in text or "&" in text) and _Events(text).found or "<!--" in text else []
     if ("\\" in text or "$" in text) and _LATEX.search(text):
         out.append("latex")
-    if _MARKDOWN.search(text) or "|" in text and _RULE_LINE.search(text):
+    if _MARKDOWN.search(text) or "|" in text and _RULE_LINE.search(text) or _LISTED.search(text):
         out.append("markdown")
     if _WIKI.search(text):
         out.append("wiki")
     return out
 
 
+# --- what no rule may touch ----------------------------------------------------------------------------------------
+
+# Commands that make a formula of their arguments.
+_MATHS = "frac dfrac tfrac sqrt sum prod int binom overline underline vec hat bar mathrm mathbf mathit".split()
+_BRACED = r"\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}"
+_MATH_ENVIRONMENTS = "equation|align|displaymath|math|gather|eqnarray"
+_FENCE = re.compile(r"(?m)^ {0,3}(```+|~~~+)[^\n]*\n([\s\S]*?)(?:^ {0,3}\1[ \t]*$|\Z)")
+_VERBATIM = re.compile(r"\\begin\{(verbatim|lstlisting)\}(?:\[[^\]]*\])?\n?([\s\S]*?)\n?\\end\{\1\}")
+_PRE = re.compile(r"(?i)<pre(?:\s[^<>]*)?>\n?([\s\S]*?)\n?</pre\s*>")
+_CODE_TAG = re.compile(r"(?i)<(code|tt|kbd|samp)(?:\s[^<>]*)?>([\s\S]*?)</\1\s*>")
+_NOWIKI = re.compile(r"(?i)<nowiki>([\s\S]*?)</nowiki>")
+_MATH_TAG = re.compile(r"(?i)<math(?:\s[^<>]*)?>([^<>]*?)</math\s*>")
+_CODE = re.compile(r"(?<![`\w])(`+)(?!`)([^\n]+?)(?<!`)\1(?!`)")
+_FORMULA = re.compile(
+    rf"\$\$([^$]+)\$\$|\\\[([\s\S]*?)\\\]|\\\(([^\n]*?)\\\)|\\begin\{{(?:{_MATH_ENVIRONMENTS})\*?\}}([\s\S]*?)\\end\{{(?:{_MATH_ENVIRONMENTS})\*?\}}"
+    r"|(?<![\w$\\])\$(?=\S)([^$\n]*?\S)\$(?![\w$])"
+)
+_BARE_MATH = re.compile(rf"(?:\\(?:{'|'.join(_MATHS)})(?![A-Za-z])(?:\[[^\[\]]*\])?(?:{_BRACED})+[ ^_]*)+(?<! )")
+
+
+class _Held:
+    """Code and formulas taken out of a text before anything is rewritten, and put back at the end."""
+
+    def __init__(self, text: str):
+        # Marks need a character the text does not hold; among so many one is free.
+        self.mark = next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in text)
+        self.parts: list[str] = []
+
+    def put(self, clean: str) -> str:
+        self.parts.append(clean)
+        return f"{self.mark}{len(self.parts) - 1}{self.mark}"
+
+    def back(self, text: str) -> str:
+        pattern = re.compile(f"{self.mark}(\\d+){self.mark}")
+        while pattern.search(text):  # a formula may stand in what was taken out after it
+            text = pattern.sub(lambda m: self.parts[int(m[1])], text)
+        return text
+
+
+def _literal(html: str) -> str:
+    """Text of code in HTML: tags of known names go, references are resolved, all else stays."""
+    return unescape(_TAG.sub(lambda m: "" if m[2].lower() in HTML_NAMES else m[0], html))
+
+
+def _protected(text: str, found: list[str]) -> tuple[str, _Held]:
+    held = _Held(text)
+    block = lambda code: "\n" + held.put(f"```\n{code.strip(chr(10))}\n```") + "\n"
+    inline = lambda code: held.put(f"`{code}`") if code else ""
+    text = _FENCE.sub(lambda m: held.put(f"```\n{m[2].strip(chr(10))}\n```"), text)
+    if "latex" in found:
+        text = _VERBATIM.sub(lambda m: block(m[2]), text)
+    if "html" in found:
+        text = _PRE.sub(lambda m: block(_literal(m[1])), text)
+        text = _NOWIKI.sub(lambda m: held.put(unescape(m[1])), text)
+        text = _MATH_TAG.sub(lambda m: held.put("$" + unescape(m[1]).strip() + "$"), text)
+    if "markdown" in found:
+        text = _CODE.sub(lambda m: held.put(m[0]), text)
+    if "html" in found:
+        text = _CODE_TAG.sub(lambda m: inline(_literal(m[2])), text)
+    if "latex" in found:
+        text = _FORMULA.sub(lambda m: held.put("$" + next(g for g in m.groups() if g is not None).strip() + "$"), text)
+        text = _BARE_MATH.sub(lambda m: held.put(f"${m[0]}$"), text)
+    return text, held
+
+
 # --- HTML ---------------------------------------------------------------------------------------------------------
 
 
@@ -112,10 +227,14 @@ class _Lines(HTMLParser):
         self.source = source
         self.lines: list[list] = [["", 0, False, 0]]  # text, tags, structure, characters of links
         self.lists: list[str | int] = []
-        self.hidden = self.link = self.pre = 0
+        self.hidden = self.link = self.pre = self.drawing = 0
+        self.unseen: list[str] = []  # text since a hidden element opened, restored where that is never closed
         self.row: list[str] | None = None
         self.feed(source)
         self.close()
+        if self.hidden and self.unseen:
+            self.hidden = 0
+            self.handle_data("".join(self.unseen))
         self._end_row()
 
     def _new(self, start: str = "", structure: bool = False) -> None:
@@ -142,12 +261,20 @@ class _Lines(HTMLParser):
             self._new()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in ("svg", "math"):
+            self.drawing += 1
+        if self.drawing and tag not in HTML_NAMES:  # parts of a drawing
+            self.lines[-1][1] += 1
+            return
+        if tag == "body":  # whatever of the head was left open ends here
+            self.hidden, self.unseen = 0, []
         if tag not in HTML_NAMES or not _TAG.match(self.get_starttag_text() or "") or not _is_tag(_TAG.match(self.get_starttag_text()), self.source):
             self._add(self.get_starttag_text() or "")
             return
         self.lines[-1][1] += 1
         if tag in _HIDDEN:
             self.hidden += 1
+            self.hidden_by = tag
         elif tag in ("tr", "table"):
             self._end_row()
             self._new()
@@ -190,13 +317,19 @@ class _Lines(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
+        if tag in ("svg", "math"):
+            self.drawing -= 1
         if tag in _HIDDEN:
             self.hidden -= 1
 
     def handle_endtag(self, tag: str) -> None:
         self.lines[-1][1] += 1
+        if tag in ("svg", "math"):
+            self.drawing = max(0, self.drawing - 1)
         if tag in _HIDDEN:
             self.hidden = max(0, self.hidden - 1)
+            if not self.hidden:
+                self.unseen = []
         elif tag in ("tr", "table", "tbody", "thead"):
             self._end_row()
         elif tag == "pre" and self.pre:
@@ -216,6 +349,8 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if self.hidden:
+            if self.hidden_by not in ("script", "style"):
+                self.unseen.append(data)
             return
         parts = data.replace("\xa0", " ").replace("\u202f", " ").split("\n")
         for i, part in enumerate(parts):
@@ -275,13 +410,20 @@ def _repeated(pattern: str, by: str | Callable[[re.Match], str], text: str) -> s
     return text
 
 
+def _template(m: re.Match) -> str:
+    """What a template was given; its name too where that names its parts, as of a box, and where it was given nothing."""
+    name, given = m[1].strip(), [p.strip() for p in m[2].split("|") if p.strip()]
+    boxed = any(re.match(r"[A-Za-z]\w*\s*=", p) for p in given)
+    return f"{name}: {', '.join(given)}" if boxed and name else ", ".join(given) or (name if not m[2] else "")
+
+
 def _from_wiki(text: str) -> str:
     text = re.sub(r"<ref\b[^>/]*/>|<ref\b[^>]*>.*?</ref>", "", text, flags=re.S)
     text = re.sub(r"(?m)^[ \t]*(={2,6})[ \t]*([^=\n].*?)[ \t]*\1[ \t]*$", lambda m: "#" * len(m[1]) + " " + m[2], text)
     text = re.sub(r"\[\[(?:File|Image|Datei|Fichier|Archivo):[^\[\]|]*((?:\|[^\[\]|]*)*)\]\]", lambda m: (m[1].split("|")[-1]).strip(), text)
     text = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", r"\1", text)
     text = re.sub(r"\[(?:https?|ftp)://\S+ ([^\]\n]+)\]", r"\1", text)
-    text = _repeated(r"\{\{[^{}|]*\|?([^{}]*)\}\}", lambda m: m[1].replace("|", ", "), text)
+    text = _repeated(r"\{\{([^{}|]*)\|?([^{}]*)\}\}", _template, text)
     text = re.sub(r"'{2,5}(?=\S)([^\n]*?\S)'{2,5}", r"\1", text)
     out, inside = [], False
     for line in text.split("\n"):
@@ -304,16 +446,6 @@ _SECTIONS = {"part": 1, "chapter": 1, "section": 1, "subsection": 2, "subsubsect
 
 
 def _from_latex(text: str) -> str:
-    held: list[str] = []
-
-    def hold(m: re.Match) -> str:
-        held.append("$" + next(g for g in m.groups() if g is not None).strip() + "$")
-        return f"\x00{len(held) - 1}\x00"
-
-    text = re.sub(r"\$\$([^$]+)\$\$|\\\[([\s\S]*?)\\\]|\\\(([^\n]*?)\\\)|(?<![\w$\\])\$(?=\S)([^$\n]*?\S)\$(?![\w$])", hold, text)
-    text = re.sub(r"\\begin\{(?:equation|align|displaymath|math)\*?\}([\s\S]*?)\\end\{(?:equation|align|displaymath|math)\*?\}", hold, text)
-    text = re.sub(r"\\begin\{(?:verbatim|lstlisting)\}(?:\[[^\]]*\])?\n?([\s\S]*?)\n?\\end\{(?:verbatim|lstlisting)\}", lambda m: f"```\n{m[1]}\n```", text)
-
     def rows(m: re.Match) -> str:
         lines = (re.sub(r"\\[hc]line(?:\{[^}]*\})?|\\(?:top|mid|bottom)rule", "", r).strip() for r in m[1].split("\\\\"))
         return "\n".join(re.sub(r"\s*(?<!\\)&\s*", " | ", r) for r in lines if r)
@@ -340,12 +472,12 @@ def _from_latex(text: str) -> str:
     text = _repeated(r"(?<![:\\/])\\[A-Za-z]{2,}\*?(?:\[[^\]]*\])?\{([^{}]*)\}", r"\1", text)
     text = re.sub(r"(?<![\w:\\/])\\(?:item|hline|newline|par|noindent|centering|maketitle|toprule|midrule|bottomrule|newpage|clearpage)(?![\w\\])\s?", "", text)
     text = re.sub(r"(?<![\w:])\\([%&#$_{}])", r"\1", text)
-    text = re.sub(r"(?<=\d)~(?=\S)", " ", text)
-    return re.sub("\x00(\\d+)\x00", lambda m: held[int(m[1])], text)
+    return re.sub(r"(?<=\d)~(?=\S)", " ", text)
 
 
 def _from_markdown(text: str) -> str:
     text = re.sub(r"(?m)^ {0,3}([^\s|>#*+=-][^\n|]*)\n {0,3}(={2,}|-{2,})[ \t]*$", lambda m: ("# " if m[2][0] == "=" else "## ") + m[1].strip(), text)
+    listed = bool(_LISTED.search(text))
     out, code = [], False
     for line in text.split("\n"):
         if re.match(r" {0,3}(?:```|~~~)", line):
@@ -360,8 +492,9 @@ def _from_markdown(text: str) -> str:
         if re.match(r"\s*\|.*\|\s*$", line):
             line = _cells(line.strip().strip("|"), "|")
         line = re.sub(r"^( {0,3}#{1,6})[ \t]+(.*?)[ \t]*#*$", lambda m: m[1].strip() + " " + m[2], line)
-        line = re.sub(r"^ {0,3}>[ \t]+(?![\d<>=])", "", line)
-        line = re.sub(r"^([ \t]*)[*+-][ \t]+(?![\d<>=*+-])(?=\S)", r"\1- ", line)
+        digit = "" if listed else r"\d"
+        line = re.sub(rf"^ {{0,3}}>[ \t]+(?![{digit}<>=])", "", line)
+        line = re.sub(rf"^([ \t]*)[*+-][ \t]+(?![{digit}<>=*+-])(?=\S)", r"\1- ", line)
         line = re.sub(r"!?\[([^\[\]\n]*)\]\([^()\s]+(?:[ \t]+\"[^\"\n]*\")?\)", r"\1", line)
         spans = re.split(r"(`+[^`]+`+)", line)
         for i in range(0, len(spans), 2):
@@ -377,7 +510,7 @@ def clean(text: str | None) -> tuple[str | None, list[str]]:
     found = kinds(text)
     if not found:
         return text, found
-    out = text.replace("\r\n", "\n")
+    out, held = _protected(text.replace("\r\n", "\n"), found)
     if "wiki" in found:
         out = _from_wiki(out)
     if "latex" in found:
@@ -386,4 +519,4 @@ def clean(text: str | None) -> tuple[str | None, list[str]]:
         out = _from_markdown(out)
     if "html" in found:
         out = _from_html(out)
-    return re.sub(r"\n{3,}", "\n\n", out).strip(), found
+    return re.sub(r"\n{3,}", "\n\n", held.back(out)).strip(), found

@@ -244,6 +244,20 @@ def test_clean_unwraps_any_nesting():
     assert markup.clean("Some {{a|{{b|{{c|deep}}}}}} text")[0] == "Some deep text"
 
 
+KEPT = [
+    ("Text with `<b>` tag shown and **bold**", "Text with `<b>` tag shown and bold"), ("```\n<b>x</b>\n```\nafter <i>y</i>", "```\n<b>x</b>\n```\nafter y"),
+    ("<pre>\\textbf{x}</pre>", "```\n\\textbf{x}\n```"), ("<code>**a**</code>", "`**a**`"), ("x^2 \\frac{1}{2} holds", "x^2 $\\frac{1}{2}$ holds"), ("\\sqrt{a+b}", "$\\sqrt{a+b}$"),
+    ("{{Warning|text=Hot}}", "Warning: text=Hot"), ("a <svg><path d='x'/></svg> b", "a  b"), ("- 5 bolts\n- 3 nuts", "- 5 bolts\n- 3 nuts"), ("> 5 turns\n> 6 turns", "5 turns\n6 turns"),
+    ("<html><head><title>x<body>Hello</body>", "Hello"), ("a <noscript>rest", "a rest"), ("<math>x</math> <b>q</b>", "$x$ q"),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), KEPT)
+def test_code_and_formulas_are_kept(text, want):
+    got, found = markup.clean(text)
+    assert found and got == want
+
+
 def test_clean_texts(spark):
     df = spark.createDataFrame([("a", "1", "<b>x</b>", 1), ("a", "2", None, 2), ("a", "2", None, 2), (None, None, "y" * 100_000, 3)], "space string, id string, text string, kinds int")
     got = Counter((r.space, r.id, r.text, r.kinds) for r in clean_texts(df).collect())
