@@ -178,6 +178,11 @@ class TextEncoder:
         """Ids without special tokens, whose strings are ordinary text; an empty or null text has no ids."""
         return list(itertools.chain.from_iterable(map(self.pieces.__getitem__, self.findall(text or ""))))
 
+    def tokens(self) -> list[bytes]:
+        """The bytes of each id."""
+        by_id = {i: b for b, i in self.pieces.encoder.token_of.items()}
+        return [by_id.get(i, b"") for i in range(max(by_id) + 1)]
+
     def count(self, text: str | None) -> int:
         return sum(map(len, map(self.pieces.__getitem__, self.findall(text or ""))))
 

@@ -62,5 +62,25 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return token_ids(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p6_ids": p6_ids}
-SQL: dict = {}
+def decoded(df: DataFrame, key: str, ids: str, tokenizer: str = "byte_bpe_50k", folder: str = bpe.DEFAULT_FOLDER) -> DataFrame:
+    """``key`` and ``text`` of every row of ids: the tokens' bytes end to end, read as UTF-8."""
+    from pyspark.sql import types as T
+
+    schema = T.StructType([df.schema[key], T.StructField("text", T.StringType())])
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = bpe.text_encoder(tokenizer, folder).tokens()
+        for batch in batches:
+            texts = [b"".join(tokens[i] for i in x or ()).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
+
+    return df.select(key, ids).mapInArrow(decode, schema)
+
+
+def p6_decoded(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts once more, from their ids."""
+    return decoded(p6_ids(spark, folder), "doc_id", "ids")
+
+
+QUERIES = {"p6_ids": p6_ids, "p6_decoded": p6_decoded}
+SQL = {"p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}

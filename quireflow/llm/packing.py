@@ -72,4 +72,5 @@ def pack(df: DataFrame, key: str, size: str, n_items: int, capacity: int) -> Dat
 
     held = df.where(F.col(key).isNotNull() & (F.col(size) > 0))
     sharded = held.select(F.col(key).alias("k"), F.col(size).cast("bigint").alias("n"), F.pmod(F.xxhash64(key), F.lit(shards)).alias("shard"))
-    return sharded.groupBy("shard").applyInPandas(packed, f"`{key}` {kind}, piece_no bigint, first bigint, length bigint, container_id bigint")
+    spread = sharded.repartition(max(shards, 1), "shard")  # by as many tasks as shards
+    return spread.groupBy("shard").applyInPandas(packed, f"`{key}` {kind}, piece_no bigint, first bigint, length bigint, container_id bigint")
