@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ def reciprocal_rank_fusion(a: DataFrame, b: DataFrame, key: str, limit: int, nam
     left = a.select("query_id", key, F.col("rank").alias(f"{names[0]}_rank"))
     right = b.select("query_id", key, F.col("rank").alias(f"{names[1]}_rank"))
     part = lambda n, w: F.coalesce(w / (k + F.col(f"{n}_rank")), F.lit(0.0))
-    both = left.join(right, ["query_id", key], "full_outer").withColumn("rrf_score", F.round(part(names[0], weights[0]) + part(names[1], weights[1]), 9))
+    both = left.join(right, ["query_id", key], "full_outer").withColumn("rrf_score", F.round(part(names[0], weights[0]) + part(names[1], weights[1]), 15))
     return _ranked(both, "rrf_score", key, limit)
 
 
@@ -29,7 +29,7 @@ def page_fusion(visual: DataFrame, text: DataFrame, key: str, limit: int, k: int
     pages = text.select("query_id", "doc_id", F.explode("page_nos").alias("page_no"), "rank").groupBy("query_id", "doc_id", "page_no").agg(F.min("rank").alias("text_rank"))
     seen = visual.withColumnRenamed("rank", "visual_rank").join(pages, ["query_id", "doc_id", "page_no"], "left")
     score = 1.0 / (k + F.col("visual_rank")) + F.coalesce(1.0 / (k + F.col("text_rank")), F.lit(0.0))
-    return _ranked(seen.drop("score").withColumn("rrf_score", F.round(score, 9)), "rrf_score", key, limit)
+    return _ranked(seen.drop("score").withColumn("rrf_score", F.round(score, 15)), "rrf_score", key, limit)
 
 
 def _ranked(df: DataFrame, score: str, key: str, limit: int) -> DataFrame:
@@ -37,59 +37,49 @@ def _ranked(df: DataFrame, score: str, key: str, limit: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
 
 
+#: Rows scored with one block of queries at a time.
+ROWS = 16_384
+
+
 def vector_search(rows: DataFrame, queries: DataFrame, key: str, vector: str, limit: int, within: str | None = None) -> DataFrame:
     """query_id, key, score, rank: the records of highest cosine with each query vector, itself left out.
 
-    Exact: queries are laid out in blocks of fixed size, each row meets each block once, and a task keeps the best of
-    its rows for each query before anything is shuffled. Null and zero vectors take no part; ties go to the smaller key.
+    Exact, in one plan: queries lie in blocks and rows in parts of bounded size, by hash; each block meets each part in a
+    task that keeps the part's best for each of its queries, so no vector passes through the driver and no task holds more
+    than a block and a part. Null and zero vectors and null keys take no part; ranks go by the raw cosine (of 12 digits), ties to
+    the smaller key; the score has 6 digits.
     """
-    spark = rows.sparkSession
     kind = rows.schema[key].dataType.simpleString()
     extra = [within] if within else []
-    held = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, vector, *extra)
-    asked = queries.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, vector, *extra)
-    numbered = asked.withColumn("block", F.pmod(F.xxhash64(key), F.lit(max(1, -(-asked.count() // BLOCK)))))
-    blocks = numbered.groupBy("block").agg(F.collect_list(F.struct(key, vector, *extra)).alias("asked"))
-    best = None
-    for block in blocks.toLocalIterator():  # one block of bounded size at a time
-        shared = spark.sparkContext.broadcast(
-            (
-                np.array([q[key] for q in block["asked"]]),
-                _unit(np.array([q[vector] for q in block["asked"]], np.float64)),
-                np.array([q[within] for q in block["asked"]]) if within else None,
-            )
-        )
-        part = held.mapInArrow(_scorer(shared, key, limit), f"query_id {kind}, `{key}` {kind}, score double")
-        best = part if best is None else best.unionByName(part)
-    if best is None:
-        return spark.createDataFrame([], f"query_id {kind}, `{key}` {kind}, score double, rank int")
-    return _ranked(best, "score", key, limit)
+    held = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v"), *extra)
+    asked = queries.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v"), *extra)
+    blocks, parts = max(1, -(-asked.count() // BLOCK)), max(1, -(-held.count() // ROWS))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    numbered = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, spread(m))
+    left = numbered(asked, "_block", blocks, "_part", parts).repartition(blocks * parts, "_block", "_part")
+    right = numbered(held, "_part", parts, "_block", blocks).repartition(blocks * parts, "_block", "_part")
+
+    def score(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out: list[pd.DataFrame] = []
+        if len(asked) and len(rows):
+            ids, keys = asked[key].to_numpy(), rows[key].to_numpy()
+            order = np.argsort(keys, kind="stable")  # equal scores keep the order of keys
+            keys = keys[order]
+            cosine = np.round(_unit(np.stack(asked["v"].to_numpy())) @ _unit(np.stack(rows["v"].to_numpy()[order])).T, 12)
+            groups = (asked[within].to_numpy(), rows[within].to_numpy()[order]) if within else None
+            for i, own in enumerate(ids):
+                fine = ~np.isnan(cosine[i]) & (keys != own)
+                if groups is not None:
+                    fine &= groups[1] == groups[0][i]
+                at = np.flatnonzero(fine)
+                best = at[np.argsort(-cosine[i][at], kind="stable")[:limit]]
+                out.append(pd.DataFrame({"query_id": [own] * len(best), key: keys[best], "_s": cosine[i][best]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": asked[key].iloc[:0], key: rows[key].iloc[:0], "_s": np.zeros(0)})
+
+    found = left.groupBy("_block", "_part").cogroup(right.groupBy("_block", "_part")).applyInPandas(score, f"query_id {kind}, `{key}` {kind}, _s double")
+    return _ranked(found, "_s", key, limit).select("query_id", key, F.round("_s", 6).alias("score"), "rank")
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, norms, out=np.full_like(matrix, np.nan), where=norms > 0)
-
-
-def _scorer(shared, key: str, limit: int):
-    def score(batches):
-        ids, asked, groups = shared.value
-        top: dict[int, list[tuple[float, object]]] = {i: [] for i in range(len(ids))}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.array(batch.column(0).to_pylist())
-            cosine = np.round(asked @ _unit(np.array(batch.column(1).to_pylist(), np.float64)).T, 6)
-            cosine[ids[:, None] == keys[None, :]] = np.nan
-            if groups is not None:
-                cosine[groups[:, None] != np.array(batch.column(2).to_pylist())[None, :]] = np.nan
-            for i in range(len(ids)):
-                fine = np.flatnonzero(~np.isnan(cosine[i]))
-                order = fine[np.lexsort((keys[fine], -cosine[i][fine]))[:limit]]
-                top[i] = sorted(top[i] + [(-cosine[i][j], keys[j]) for j in order])[:limit]
-        rows = [(ids[i].item(), k.item() if hasattr(k, "item") else k, -s) for i, hits in top.items() for s, k in hits]
-        columns = list(zip(*rows)) if rows else [[], [], []]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", key, "score"])
-
-    return score

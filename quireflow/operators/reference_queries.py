@@ -14,7 +14,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return orphan_counts(p5_found(spark, folder))
+    tables = {name: table(spark, folder, name) for name in MANUAL_KEYS}
+    return orphan_counts(tables, MANUAL_KEYS, MANUAL_REFERENCES, table(spark, folder, "tombstones"))
 
 
 _FOUND_SQL = """

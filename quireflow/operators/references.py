@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quireflow.plans.workspace import written
+
 
 @dataclass(frozen=True)
 class Reference:
@@ -63,46 +65,72 @@ def reference_rows(tables: dict[str, DataFrame], keys: dict[str, str], reference
     return out
 
 
-def orphan_references(
-    tables: dict[str, DataFrame], keys: dict[str, str], references: list[Reference], tombstones: DataFrame
-) -> DataFrame:
-    """ref_table, ref_field, record_id, ref_id, period of each reference that nothing alive answers at its month's end.
+def _open_months(refs: DataFrame, tables: dict[str, DataFrame], keys: dict[str, str], references: list[Reference], tombstones: DataFrame) -> DataFrame:
+    """space, key, month, counts (ref_table, ref_field, n) of each key and month that no living parent covers.
 
     Parents (a target record with its time, its tombstone as end) and children (a reference key with its month) are
     united in long form, tagged, and grouped by parent space and key; children reach that step already counted down to
-    one row per key and month, so a hub costs a row a month. Groups and months that no living parent covers are kept
-    and joined back to their references. A null or empty key is no reference; keys compare exactly as stored; a
-    reference given twice counts once; a record without time has no period and is no case; tombstones for unknown records change nothing; empty tables
-    give no cases, or make every reference to them one.
+    one row per key and month, so a hub costs a row a month.
     """
-    refs = reference_rows(tables, keys, references).where(F.col("month").isNotNull())
-    children = refs.groupBy("space", "key", "month").agg(F.count(F.lit(1)).alias("n_refs"))
+    fields = refs.groupBy("space", "key", "month", "ref_table", "ref_field").agg(F.count(F.lit(1)).alias("n"))
+    children = fields.groupBy("space", "key", "month").agg(F.collect_list(F.struct("ref_table", "ref_field", "n")).alias("counts"))  # one a referring field
     none = F.lit(None)
-    long = children.select("space", "key", "month", none.cast("timestamp").alias("born"), none.cast("timestamp").alias("dead"))
+    long = children.select("space", "key", "month", "counts", none.cast("timestamp").alias("born"), none.cast("timestamp").alias("dead"))
     ends = tombstones.groupBy(F.col("record_table").alias("t"), F.col("record_id").alias("key")).agg(F.min("deleted_at").alias("dead"))
     for space in dict.fromkeys(r.space for r in references):
         for target in space.split("+"):
             lives = _records(tables, keys, target).join(ends.where(F.col("t") == target).select("key", "dead"), "key", "left")
-            long = long.unionByName(lives.select(F.lit(space).alias("space"), "key", none.cast("date").alias("month"), "born", "dead"))
+            parents = lives.select(F.lit(space).alias("space"), "key", none.cast("date").alias("month"), none.cast(children.schema["counts"].dataType).alias("counts"), "born", "dead")
+            long = long.unionByName(parents)
     # Of one key there are at most as many parents as target tables, and at most as many child rows as months.
     grouped = long.groupBy("space", "key").agg(
         F.collect_list(F.when(F.col("month").isNull(), F.struct("born", "dead"))).alias("parents"),
-        F.collect_list("month").alias("months"),
+        F.collect_list(F.when(F.col("month").isNotNull(), F.struct("month", "counts"))).alias("months"),
     )
     month_end = lambda m: F.add_months(m, 1).cast("timestamp")
-    open_months = F.filter(
+    open_ = F.filter(
         "months",
-        lambda m: ~F.exists("parents", lambda p: F.coalesce(p["born"] < month_end(m), F.lit(False)) & F.coalesce(p["dead"] >= month_end(m), F.lit(True))),
+        lambda m: ~F.exists("parents", lambda p: F.coalesce(p["born"] < month_end(m["month"]), F.lit(False)) & F.coalesce(p["dead"] >= month_end(m["month"]), F.lit(True))),
     )
-    orphans = grouped.where(F.size("months") > 0).select("space", "key", F.explode(open_months).alias("month"))
-    return refs.join(orphans, ["space", "key", "month"], "left_semi").select(
+    return grouped.where(F.size("months") > 0).select("space", "key", F.explode(open_).alias("m")).select("space", "key", "m.month", "m.counts")
+
+
+#: A key with more references in a month than this is hot: its references are scattered over so many parts in the join back.
+HOT_REFERENCES, HOT_PARTS = 100_000, 256
+
+
+def orphan_references(
+    tables: dict[str, DataFrame], keys: dict[str, str], references: list[Reference], tombstones: DataFrame
+) -> DataFrame:
+    """ref_table, ref_field, record_id, ref_id, period of each reference that nothing alive answers at its month's end.
+
+    Keys and months that no living parent covers are found from counts and joined back to their references; an orphaned
+    hub's references are scattered first, its one row copied to each part. A null or empty key is no reference; keys
+    compare exactly as stored; a reference given twice counts once; a record without time has no period and is no case;
+    tombstones for unknown records change nothing; empty tables give no cases, or make every reference to them one.
+    """
+    refs = reference_rows(tables, keys, references).where(F.col("month").isNotNull())
+    orphans = _open_months(refs, tables, keys, references, tombstones)
+    part = F.pmod(F.xxhash64("record_id"), F.lit(HOT_PARTS)).cast("int")
+    total = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, c: a + c["n"])
+    orphans = written(orphans.select("space", "key", "month", (total > HOT_REFERENCES).alias("hot")), "orphans")
+    found = refs.join(orphans.where("not hot").drop("hot"), ["space", "key", "month"], "left_semi")
+    if not orphans.where("hot").isEmpty():
+        copied = orphans.where("hot").select("space", "key", "month", F.explode(F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).alias("part"))
+        found = found.unionByName(refs.withColumn("part", part).join(copied, ["space", "key", "month", "part"], "left_semi").drop("part"))
+    return found.select(
         "ref_table", "ref_field", "record_id", F.col("key").alias("ref_id"), F.date_format("month", "yyyy-MM").alias("period")
     )
 
 
-def orphan_counts(orphans: DataFrame) -> DataFrame:
-    """Orphan references per referring table, field and month, summed over pre-aggregated counts."""
-    return orphans.groupBy("ref_table", "ref_field", "period").agg(F.count(F.lit(1)).alias("n_orphans"))
+def orphan_counts(
+    tables: dict[str, DataFrame], keys: dict[str, str], references: list[Reference], tombstones: DataFrame
+) -> DataFrame:
+    """ref_table, ref_field, period, n_orphans: the counts of the keys and months nothing covers, summed; no reference is
+    joined back."""
+    refs = reference_rows(tables, keys, references).where(F.col("month").isNotNull())
+    rows = _open_months(refs, tables, keys, references, tombstones).select("month", F.explode("counts").alias("c")).select("month", "c.*")
+    return rows.groupBy("ref_table", "ref_field", F.date_format("month", "yyyy-MM").alias("period")).agg(F.sum("n").alias("n_orphans"))
 
 
 #: The references of the manual tables.

@@ -282,7 +282,7 @@ def _vectors(within: bool) -> str:
     return f"""
 WITH pairs AS (SELECT q.vec_id AS query_id, r.vec_id, list_inner_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) / (sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_inner_product(r.embedding::DOUBLE[], r.embedding::DOUBLE[]))) AS s
   FROM embeddings q JOIN embeddings r ON q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id {'AND q.label = r.label' if within else ''})
-SELECT query_id, vec_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, vec_id)::INT AS rank FROM pairs QUALIFY rank <= 10"""
+SELECT query_id, vec_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, vec_id)::INT AS rank FROM pairs QUALIFY rank <= 10"""
 
 
 SQL = {
@@ -296,12 +296,12 @@ SELECT query_id, array_to_string(list_transform({O.search_terms('question')}, la
     "bm25_index_stats": _hits(10) + " SELECT count(DISTINCT k) AS n_rows, count(DISTINCT term) AS n_terms, count(*) AS n_postings, round(sum(tf), 3)::DOUBLE AS weight, count(DISTINCT doc_id) AS documents, (SELECT n FROM hits_s) AS records FROM hits_p",
     "rrf_hybrid": _hits(50)
     + f""", {_COVER}, fused AS (SELECT coalesce(h.query_id, r.query_id) AS query_id, coalesce(h.chunk_id, r.chunk_id) AS chunk_id, h.rank AS text_rank, r.rank AS cover_rank,
-  round(coalesce(1.0 / (60 + h.rank), 0) + coalesce(1.0 / (60 + r.rank), 0), 9) AS rrf_score FROM hits h FULL JOIN ranked r ON r.query_id = h.query_id AND r.chunk_id = h.chunk_id)
+  round(coalesce(1.0 / (60 + h.rank), 0) + coalesce(1.0 / (60 + r.rank), 0), 15) AS rrf_score FROM hits h FULL JOIN ranked r ON r.query_id = h.query_id AND r.chunk_id = h.chunk_id)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id)::INT AS rank FROM fused QUALIFY rank <= 10""",
     "page_fusion": _hits(50)
     + f""", {_NODE}, image AS (SELECT * FROM node WHERE node_type = 'Image'), {_search('seen', 'image', 'node_id', bm25.NODE_WEIGHTS, 50)},
 pages AS (SELECT query_id, doc_id, page_no, min(rank) AS rank FROM (SELECT h.query_id, c.doc_id, unnest(c.page_nos) AS page_no, h.rank FROM hits h JOIN chunk c USING (chunk_id)) GROUP BY ALL),
-fused AS (SELECT s.query_id, s.node_id, s.rank AS visual_rank, p.rank AS text_rank, round(1.0 / (60 + s.rank) + coalesce(1.0 / (60 + p.rank), 0), 9) AS rrf_score
+fused AS (SELECT s.query_id, s.node_id, s.rank AS visual_rank, p.rank AS text_rank, round(1.0 / (60 + s.rank) + coalesce(1.0 / (60 + p.rank), 0), 15) AS rrf_score
   FROM seen s JOIN image i USING (node_id) LEFT JOIN pages p ON p.query_id = s.query_id AND p.doc_id = i.doc_id AND p.page_no = i.page_no)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, node_id)::INT AS rank FROM fused QUALIFY rank <= 10""",
     "dense_search": _vectors(False),

@@ -53,14 +53,38 @@ def read_content_lists(spark: SparkSession, path: str) -> DataFrame:
 
 
 def only_content_list(spark: SparkSession, path: str, doc_id: str) -> str:
-    """The one content list below a folder that is a document's; none or several are an error."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*_content_list.json").load(path)
-    names = [r["path"] for r in found.where(F.contains("path", F.lit(f"/{doc_id}"))).select("path").take(2)]
+    """The one content list of a document below a folder: in a folder of its name or so named itself, first where parsers put
+    it; a document whose id another's begins with is another. None or several are an error."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*_content_list.json").load(path).select("path")
+    own = re.escape(doc_id)
+    names = [r["path"] for r in found.where(F.col("path").rlike(f"/{own}/") | F.col("path").rlike(f"/{own}_content_list[.]json$")).take(1_000)]
+    preferred = [n for n in names if n.endswith(f"/{doc_id}/auto/{doc_id}_content_list.json")]
+    names = preferred or names
     if len(names) != 1:
         raise ValueError(f"{doc_id}: {'no' if not names else 'more than one'} content list")
     return names[0]
 
 
+def parser_versions(spark: SparkSession, path: str, field: str) -> DataFrame:
+    """doc_id and version of parsed documents below a folder, from the marker file of success in each one's folder; null where it
+    cannot be read, lacks the field or has it blank."""
+    marks = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "_SUCCESS.json").text(path, wholetext=True)
+    doc = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/_SUCCESS[.]json$", 1)
+    return marks.select(doc.alias("doc_id"), F.nullif(F.btrim(F.get_json_object("value", f"$.{field}")), F.lit("")).alias("version"))
+
+
+def relative_paths(value: Any, root: str) -> Any:
+    """A nested value with the texts that are paths below the root made relative; others stay. Keys are kept."""
+    top = root.rstrip("/") + "/"
+    if isinstance(value, str):
+        return value.removeprefix(top) if value.startswith(top) else value
+    if isinstance(value, Mapping):
+        return {k: relative_paths(v, root) for k, v in value.items()}
+    if isinstance(value, list | tuple):
+        return [relative_paths(v, root) for v in value]
+    return value
+
+
 ITEM = "type string, text string, text_level int, page_idx int, bbox array<double>, img_path string, content string, html string, table_body string"
 
 
@@ -96,15 +120,24 @@ def flatten_text(column: str) -> Column:
     return run(column)
 
 
+def _line_of(spark: SparkSession, path: str, value: str) -> int:
+    """The number of a line in its file, for an error's text."""
+    numbered = spark.sparkContext.textFile(path, 1).zipWithIndex().filter(lambda x: x[0] == value)
+    found = numbered.take(1)
+    return found[0][1] + 1 if found else 0
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = True) -> DataFrame:
     """Records of JSON lines; blank lines are skipped. Strict reading fails with the first line that is no record."""
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     full = T.StructType([*schema.fields, T.StructField("_broken", T.StringType())])
-    lines = spark.read.text(path).where(F.btrim("value") != "").select(F.col("_metadata.file_path").alias("_file"), F.from_json("value", full, {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"}).alias("r"))
+    raw = spark.read.text(path)
+    read = F.from_json("value", full, {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"})
+    lines = raw.where(F.btrim("value") != "").select(F.col("_metadata.file_path").alias("_file"), "value", read.alias("r"))
     if strict:
         bad = lines.where(F.col("r").isNull() | F.col("r._broken").isNotNull()).first()
         if bad:
-            raise ValueError(f"{bad['_file']}: no record in {(bad['r']['_broken'] if bad['r'] else '')!r}")
+            raise ValueError(f"{bad['_file']}:{_line_of(spark, bad['_file'], bad['value'])}: no record in {bad['value']!r}")
     return lines.select(*[F.col(f"r.{f.name}").alias(f.name) for f in schema.fields])
 
 
@@ -165,6 +198,17 @@ def write_index(tables: Mapping[str, DataFrame], path: str, kind: str) -> None:
     spark.createDataFrame(rows, "kind string, version int, name string, n_rows bigint, checksum string").coalesce(1).write.mode("overwrite").json(f"{path}/_index_meta")
 
 
+def payload_digest(df: DataFrame, order: list[str]) -> str:
+    """SHA-256 of the rows' compact JSON texts, in order, a line feed after each; rows stream through the driver one at a time."""
+    import hashlib
+
+    digest = hashlib.sha256()
+    lines = df.orderBy(*order).select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("j"))
+    for row in lines.toLocalIterator():
+        digest.update(row["j"].encode() + b"\n")
+    return digest.hexdigest()
+
+
 def open_index(spark: SparkSession, path: str, kind: str, verify: bool = False) -> dict[str, DataFrame]:
     """An index's tables. Another kind or version is an error; verifying counts rows and checksums again."""
     meta = spark.read.schema("kind string, version int, name string, n_rows bigint, checksum string").json(f"{path}/_index_meta").collect()
