@@ -115,7 +115,7 @@ def search(index: Index, queries: DataFrame, limit: int | None, within: str | No
 def pruned_search(index: Index, queries: DataFrame, limit: int, within: str | None = None) -> DataFrame:
     """``search``, but records that only common terms lead to are left out where they cannot be among the best.
 
-    The records of a query's rarest term, scored in full, give a score the last of the best cannot lie below. Terms whose
+    Some records of a query's rarest term, scored in full, give a score the last of the best cannot lie below. Terms whose
     greatest shares together stay under it cannot lift a record by themselves: they are looked up, by term and record,
     only for records another term has found. Nothing is lost, and a term in most records makes no join of its own.
     """
@@ -124,7 +124,9 @@ def pruned_search(index: Index, queries: DataFrame, limit: int, within: str | No
     asked = queries.join(index.terms, "term").withColumn("top", F.ceil(F.col("idf") * F.col("most") * UNIT).cast("bigint") + 1)
     rarest = Window.partitionBy("query_id").orderBy(F.desc("top"), "term")
     seeds = asked.withColumn("_n", F.row_number().over(rarest)).where("_n = 1")
-    led = index.postings.join(seeds, on).select("query_id", key).join(asked.select("query_id", "term", "idf"), "query_id")
+    strongest = Window.partitionBy("query_id").orderBy(F.desc("part"), key)
+    led = index.postings.join(seeds, on).withColumn("_n", F.row_number().over(strongest)).where(F.col("_n") <= 5 * limit)
+    led = led.select("query_id", key).join(asked.select("query_id", "term", "idf"), "query_id")
     first = index.postings.select("term", key, "part").join(led, ["term", key]).groupBy("query_id", key).agg(_score(F.col("idf") * F.col("part")).alias("_s"))
     best = Window.partitionBy("query_id").orderBy(F.desc("_s"), key)
     floors = first.withColumn("_n", F.row_number().over(best)).where(F.col("_n") == limit).select("query_id", F.col("_s").alias("floor"))

@@ -15,7 +15,7 @@ from urllib.parse import urlparse
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quireflow.operators.answering import HEADER, REFUSAL
+from quireflow.operators.answering import REFUSAL
 
 #: Most characters of a piece of evidence an extractive answer quotes.
 QUOTED = 650
@@ -32,7 +32,7 @@ def _cut(text: str, limit: int) -> str:
 def extractive(evidence: Sequence[Mapping[str, Any]]) -> str:
     """Cited quotations, then their sources where known."""
     sources = [f"[{e['citation_id']}] {e['source']}" for e in evidence if e.get("source")]
-    return "\n".join([HEADER, *(f"[{e['citation_id']}] {_cut(str(e.get('content') or ''), QUOTED)}" for e in evidence), *(["Sources:", *sources] if sources else [])])
+    return "\n".join([*(f"[{e['citation_id']}] {_cut(str(e.get('content') or ''), QUOTED)}" for e in evidence), *(["Sources:", *sources] if sources else [])])
 
 
 def evidence_json(evidence: Sequence[Mapping[str, Any]]) -> str:

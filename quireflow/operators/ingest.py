@@ -58,14 +58,17 @@ def _in_block(*order: Column):
 
 
 _BLOCKS = ("doc_id", "_b")
-_over_blocks = Window.partitionBy("doc_id").orderBy("_b")  # summaries of blocks, not rows
+
+
+def _over_blocks():
+    return Window.partitionBy("doc_id").orderBy("_b")  # of summaries of blocks, not of rows
 
 
 def _beside(df: DataFrame, values: dict[str, Column], order: list[Column], after: bool = False) -> DataFrame:
     """``df`` (blocked) with _before_x, and _after_x, of each value: that of the row before, or after, in its document."""
     at = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
     ends = df.groupBy(*_BLOCKS).agg(F.max(F.struct(at, *[v.alias(n) for n, v in values.items()])).alias("last"), F.min(F.struct(at, *[v.alias(n) for n, v in values.items()])).alias("first"))
-    sides = ends.select(*_BLOCKS, F.lag("last").over(_over_blocks).alias("_l"), F.lead("first").over(_over_blocks).alias("_f"))
+    sides = ends.select(*_BLOCKS, F.lag("last").over(_over_blocks()).alias("_l"), F.lead("first").over(_over_blocks()).alias("_f"))
     w = _in_block(*order)
     out = df.join(sides, list(_BLOCKS)).withColumn("_n", F.row_number().over(w))
     out = out.withColumn("_m", F.lead(F.lit(1)).over(w)) if after else out
@@ -153,7 +156,7 @@ def section_paths(elements: DataFrame, headers: DataFrame | None = None) -> Data
     df = df.withColumn("_opens", opens).withColumn("_under", over)
     top = F.coalesce(F.col("_level") == 1, F.lit(False))
     w = _in_block(*_order()).rowsBetween(Window.unboundedPreceding, 0)
-    before = _over_blocks.rowsBetween(Window.unboundedPreceding, -1)
+    before = _over_blocks().rowsBetween(Window.unboundedPreceding, -1)
 
     def sets(p: int) -> Column:
         """What a row sets slot p to; a title beats the heading of the page it opens, which it stands under or replaces."""
@@ -264,7 +267,7 @@ def chunks(elements: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     # An island is named by the block it starts in and its number there; one that runs on has the name of the blocks before.
     named = F.when(F.col("_c") > 0, F.struct(F.col("_b").alias("b"), F.col("_c").alias("c")))
     last = df.groupBy(*_BLOCKS).agg(F.max(named).alias("_i"))
-    running = last.select(*_BLOCKS, F.max("_i").over(_over_blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("_running"))
+    running = last.select(*_BLOCKS, F.max("_i").over(_over_blocks().rowsBetween(Window.unboundedPreceding, -1)).alias("_running"))
     df = df.join(running, list(_BLOCKS)).withColumn("island", F.coalesce(named, F.col("_running"))).where("role <> 'title'")
     item = F.struct("source_index", "element_id", "content", F.length("content").alias("n"))
     islands = df.groupBy("doc_id", "island", "key", "role").agg(

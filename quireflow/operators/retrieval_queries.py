@@ -93,7 +93,11 @@ def bm25_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bm25_unfiltered(spark: SparkSession, folder: str) -> DataFrame:
-    """All manuals' chunks for every question, by bounds that leave common terms out where nothing can come of them."""
+    return bm25.search(text_index(spark, folder), asked_terms(spark, folder).drop("doc_id"), 10).select("query_id", "chunk_id", "score", "rank")
+
+
+def bm25_pruned(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, by bounds that leave common terms out where nothing can come of them."""
     return bm25.pruned_search(text_index(spark, folder), asked_terms(spark, folder).drop("doc_id"), 10).select("query_id", "chunk_id", "score", "rank")
 
 
@@ -211,7 +215,7 @@ def route_plan(spark: SparkSession, folder: str) -> DataFrame:
     return A.routes(q, "question").select("query_id", "intent", "multi_hop", "use_text", "use_table", "use_graph", "use_visual")
 
 
-QUERIES = {f.__name__: f for f in (fts_query_terms, bm25_search, bm25_unfiltered, bm25_tables, bm25_entities, bm25_index_stats, rrf_hybrid, page_fusion, dense_search, dense_filtered, evidence_pack, answer_decision, answer_text, answer_metrics, recall_mrr, recall_by_category, route_plan)}
+QUERIES = {f.__name__: f for f in (fts_query_terms, bm25_search, bm25_unfiltered, bm25_pruned, bm25_tables, bm25_entities, bm25_index_stats, rrf_hybrid, page_fusion, dense_search, dense_filtered, evidence_pack, answer_decision, answer_text, answer_metrics, recall_mrr, recall_by_category, route_plan)}
 
 # --- SQL -----------------------------------------------------------------------------------------------------------
 
@@ -291,6 +295,7 @@ SELECT query_id, array_to_string(list_transform({O.search_terms('question')}, la
   array_to_string(list_concat(kept, list_transform(range(1, len(kept)), lambda i: kept[i] || '_' || kept[i + 1])), ' ') AS dense_terms FROM k""",
     "bm25_search": _hits(10) + " SELECT * FROM hits",
     "bm25_unfiltered": f"WITH {_QUESTIONS}, {_CHUNKS}, {_search('hits', 'chunk', 'chunk_id', bm25.TEXT_WEIGHTS, 10, within=False)} SELECT * FROM hits",
+    "bm25_pruned": f"WITH {_QUESTIONS}, {_CHUNKS}, {_search('hits', 'chunk', 'chunk_id', bm25.TEXT_WEIGHTS, 10, within=False)} SELECT * FROM hits",
     "bm25_tables": f"WITH {_QUESTIONS}, {_TABLES}, {_search('hits', 'tab', 'element_id', bm25.TABLE_WEIGHTS, 10, stopwords=T.TABLE_STOPWORDS)} SELECT * FROM hits",
     "bm25_entities": f"WITH {_QUESTIONS}, {_NODE}, {_search('hits', 'node', 'node_id', bm25.NODE_WEIGHTS, 8, stopwords=T.GRAPH_STOPWORDS)} SELECT * FROM hits",
     "bm25_index_stats": _hits(10) + " SELECT count(DISTINCT k) AS n_rows, count(DISTINCT term) AS n_terms, count(*) AS n_postings, round(sum(tf), 3)::DOUBLE AS weight, count(DISTINCT doc_id) AS documents, (SELECT n FROM hits_s) AS records FROM hits_p",

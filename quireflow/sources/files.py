@@ -68,9 +68,20 @@ def only_content_list(spark: SparkSession, path: str, doc_id: str) -> str:
 def parser_versions(spark: SparkSession, path: str, field: str) -> DataFrame:
     """doc_id and version of parsed documents below a folder, from the marker file of success in each one's folder; null where it
     cannot be read, lacks the field or has it blank."""
-    marks = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "_SUCCESS.json").text(path, wholetext=True)
-    doc = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/_SUCCESS[.]json$", 1)
-    return marks.select(doc.alias("doc_id"), F.nullif(F.btrim(F.get_json_object("value", f"$.{field}")), F.lit("")).alias("version"))
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/*/_SUCCESS.json")
+    system = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = []
+    for status in system.globStatus(pattern):  # one a document; readers of tables leave such names out
+        stream = system.open(status.getPath())
+        try:
+            value = json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")).get(field)
+        except (ValueError, AttributeError):
+            value = None
+        finally:
+            stream.close()
+        rows.append((status.getPath().getParent().getName(), str(value).strip() or None if value is not None else None))
+    return spark.createDataFrame(rows, "doc_id string, version string")
 
 
 def relative_paths(value: Any, root: str) -> Any:

@@ -43,7 +43,7 @@ def test_citations(spark):
 
 
 @pytest.mark.parametrize("weights", [bm25.TEXT_WEIGHTS, bm25.TABLE_WEIGHTS])
-def test_bm25_is_that_of_sqlite(spark, weights):
+def test_bm25_is_that_of_sqlite(spark, weights, tmp_path):
     docs = [("a", "red door handle", "doors", "ford"), ("b", "door door lock", "locks", "ford"), ("c", "wheel nut", "wheels", "vw"), ("d", "", "", ""), ("e", "nut red red", "doors", "vw"), ("f", "oil pan", "engine", "vw")]
     con = sqlite3.connect(":memory:")
     con.execute("CREATE VIRTUAL TABLE t USING fts5(k UNINDEXED, content, section_text, metadata, tokenize='unicode61')")
@@ -52,7 +52,8 @@ def test_bm25_is_that_of_sqlite(spark, weights):
     want = {k: round(-s, 6) for k, s in con.execute(f"SELECT k, bm25(t, {w}) FROM t WHERE t MATCH '\"door\" OR \"red\" OR \"wheel\"'")}
     records = spark.createDataFrame(docs, "k string, content string, section_text string, metadata string")
     asked = spark.createDataFrame([("q", t) for t in ("door", "red", "wheel")], "query_id string, term string")
-    got = bm25.search(records, "k", weights, asked, 10).collect()
+    bm25.write(records, "k", weights, str(tmp_path / "index"))
+    got = bm25.search(bm25.opened(spark, str(tmp_path / "index")), asked, 10).collect()
     assert {r["k"]: r["score"] for r in got} == pytest.approx(want, abs=2e-6)
     assert [r["rank"] for r in sorted(got, key=lambda r: (-r["score"], r["k"]))] == list(range(1, len(want) + 1))
 
