@@ -109,7 +109,7 @@ def orphan_references(
     compare exactly as stored; a reference given twice counts once; a record without time has no period and is no case;
     tombstones for unknown records change nothing; empty tables give no cases, or make every reference to them one.
     """
-    refs = reference_rows(tables, keys, references).where(F.col("month").isNotNull())
+    refs = written(reference_rows(tables, keys, references).where(F.col("month").isNotNull()), "refs")
     orphans = _open_months(refs, tables, keys, references, tombstones)
     part = F.pmod(F.xxhash64("record_id"), F.lit(HOT_PARTS)).cast("int")
     total = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, c: a + c["n"])
