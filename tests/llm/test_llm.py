@@ -410,3 +410,64 @@ def test_every_span_holds_a_common_cut():
             cut = h.cuts(spans.WINDOW)
             digests.append(set(h.digests(cut[cut + spans.ANCHOR <= len(text)], spans.ANCHOR).tolist()))
         assert digests[0] & digests[1]
+
+
+# --- hot keys and low similarities --------------------------------------------------------------------------------------
+
+
+def _jaccard_pairs(rows, words, similarity, least):
+    import itertools
+    import re
+
+    sets = {}
+    for space, key, text in rows:
+        w = re.findall(r"[^\W_]+", text.lower())
+        if len(w) >= max(words, least):
+            sets[space, key] = {tuple(w[i : i + words]) for i in range(len(w) - words + 1)}
+    out = set()
+    for (a, x), (b, y) in itertools.combinations(sorted(sets.items()), 2):
+        if a[0] == b[0] and len(x & y) >= similarity * len(x | y) - 1e-9:
+            out.add((a[0], a[1], b[1]))
+    return out
+
+
+@pytest.mark.parametrize("similarity", [0.4, 0.5, 0.6, 0.8])
+def test_near_pairs_are_those_of_brute_force_with_hot_keys(spark, monkeypatch, similarity):
+    import random
+
+    monkeypatch.setattr(near, "HOT_CLASS", 2)  # so that the split of hot keys is taken
+    rnd = random.Random(7)
+    base = [rnd.choice("abcdefghijkl") + str(rnd.randrange(9)) for _ in range(60)]
+    rows = []
+    for i in range(60):
+        w = list(base) if i % 3 == 0 else [rnd.choice("abcdefghijkl") + str(rnd.randrange(9)) for _ in range(60)]
+        for _ in range(rnd.randrange(0, 25)):
+            w[rnd.randrange(60)] = "edit" + str(rnd.randrange(1000))
+        rows.append(("s", f"k{i:02d}", " ".join(w)))
+    rows.append(("s", "half", " ".join(base[::2])))
+    got = {(r.space, r.id_a, r.id_b) for r in near.near_pairs(spark.createDataFrame(rows, "space string, id string, text string"), 1, similarity, 5).collect()}
+    assert got == _jaccard_pairs(rows, 1, similarity, 5) and got
+
+
+def test_a_passage_of_a_third_of_all_documents_is_resolved_in_the_workers(spark, monkeypatch):
+    import random
+
+    from quireflow.llm import spans as S
+
+    monkeypatch.setattr(S, "RESOLVED_AT_ONCE", 2_000)
+    rnd = random.Random(3)
+    text = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    hot = text(260)
+    rows = [(i, text(50 + i) + (hot if i % 3 == 0 else text(260)) + text(40)) for i in range(60)] + [(100, None), (101, ""), (102, hot[:199])]
+    df = spark.createDataFrame(rows, "k bigint, t string").repartition(3)
+    got = {r.k: (r["first"], r.length) for r in S.shared_stretches(df, "k", "t").collect()}
+    assert set(got) == {i for i in range(60) if i % 3 == 0}
+    assert all(at <= 50 + k and at + n >= 50 + k + 260 for k, (at, n) in got.items())
+
+
+def test_further_bits_tell_equal_digests_apart():
+    from quireflow.llm import spans as S
+
+    digest, check, key = np.array([5, 5, 5, 7]), np.array([1, 2, 1, 0]), np.array([1, 2, 3, 3])
+    known, stand = S._resolved(digest, check, key)
+    assert known.tolist() == [True, False, True, False] and sorted(key[stand]) == [1, 3]
