@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quireflow.operators.references import MANUAL_KEYS, MANUAL_REFERENCES, orphan_counts, orphan_references
+from quireflow.operators.references import MANUAL_KEYS, MANUAL_REFERENCES, orphan_references, orphan_totals
 from quireflow.sources.tables import table
 
 
@@ -15,7 +15,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
     tables = {name: table(spark, folder, name) for name in MANUAL_KEYS}
-    return orphan_counts(tables, MANUAL_KEYS, MANUAL_REFERENCES, table(spark, folder, "tombstones"))
+    return orphan_totals(tables, MANUAL_KEYS, MANUAL_REFERENCES, table(spark, folder, "tombstones"))
 
 
 _FOUND_SQL = """

@@ -123,7 +123,12 @@ def orphan_references(
     )
 
 
-def orphan_counts(
+def orphan_counts(orphans: DataFrame) -> DataFrame:
+    """Given orphan references per referring table, field and month."""
+    return orphans.groupBy("ref_table", "ref_field", "period").agg(F.count(F.lit(1)).alias("n_orphans"))
+
+
+def orphan_totals(
     tables: dict[str, DataFrame], keys: dict[str, str], references: list[Reference], tombstones: DataFrame
 ) -> DataFrame:
     """ref_table, ref_field, period, n_orphans: the counts of the keys and months nothing covers, summed; no reference is

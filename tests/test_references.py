@@ -50,3 +50,15 @@ def test_empty_and_hot(spark):
 def test_counts(spark):
     df = spark.createDataFrame([("a", "f", "1", "x", "2025-01"), ("a", "f", "2", "x", "2025-01")], "ref_table string, ref_field string, record_id string, ref_id string, period string")
     assert [tuple(r) for r in orphan_counts(df).collect()] == [("a", "f", "2025-01", 2)]
+
+
+def test_totals_are_the_counts_of_the_cases_also_of_hot_ones(spark, monkeypatch):
+    from quireflow.operators import references as R
+
+    monkeypatch.setattr(R, "HOT_REFERENCES", 3)
+    edges = [(f"x{i}", "gone", "n1" if i % 2 else "also gone", DAY(1 + i % 3, 5)) for i in range(30)]
+    t = tables(spark, nodes=[("n1", [], DAY(1, 1))], edges=edges)
+    dead = spark.createDataFrame([], "record_table string, record_id string, deleted_at timestamp")
+    cases = orphan_references(t, MANUAL_KEYS, MANUAL_REFERENCES, dead)
+    want = sorted(map(tuple, orphan_counts(cases).collect()))
+    assert want == sorted(map(tuple, R.orphan_totals(t, MANUAL_KEYS, MANUAL_REFERENCES, dead).collect())) and sum(r[3] for r in want) == 45
