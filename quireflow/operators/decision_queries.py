@@ -200,7 +200,7 @@ def lsa_search(spark: SparkSession, folder: str) -> DataFrame:
     return fusion.vector_search(v, v, "chunk_id", "vector", limit=5)
 
 
-QUERIES = {f.__name__: f for f in (evidence_merge, metadata_violations, critic_decision, guard_check, path_accuracy, route_accuracy, system_comparison, failure_records, porter_search, hashed_tfidf, lsa_vectors, lsa_search)}
+QUERIES = {f.__name__: f for f in (evidence_merge, metadata_violations, critic_decision, guard_check, path_accuracy, route_accuracy, system_comparison, porter_search, hashed_tfidf, lsa_vectors, lsa_search)}
 
 _FIELDS = ", ".join(META)
 _WANTED = f"""{R._QUESTIONS}, manual AS (SELECT doc_id, unnest(min({{{", ".join(f"'w_{c}': {c}" for c in META if c != "doc_id")}}})) FROM manifest GROUP BY doc_id), wanted AS (SELECT q.query_id, q.doc_id AS w_doc_id, m.* EXCLUDE (doc_id) FROM questions q LEFT JOIN manual m USING (doc_id))"""
@@ -263,5 +263,4 @@ FROM (SELECT *, regexp_extract_all(answer, '\\[(\\d+)\\]', 1) AS cited FROM ({R.
     "system_comparison": f"""{_RECORDS} SELECT system, count(*) AS questions, round(sum(evidence_hits) / sum(evidence_total), 6) AS evidence_recall, round(avg(path_ok::INT), 6) AS path_accuracy, round(avg(CASE WHEN answered THEN cited_well::INT END), 6) AS citation_faithfulness,
  round(avg(route_ok::INT), 6) AS route_accuracy, round(avg(decision_ok::INT), 6) AS decision_accuracy, round(avg(CASE WHEN NOT answerable THEN (NOT answered)::INT END), 6) AS refusal_accuracy, sum(violations)::BIGINT AS metadata_violations, round(avg((retries > 0)::INT), 6) AS retry_rate,
  count(CASE WHEN NOT (decision_ok AND coalesce(path_ok, true) AND coalesce(route_ok, true)) THEN 1 END) AS failures FROM final_recs GROUP BY system""",
-    "failure_records": f"{_RECORDS} SELECT system, query_id, decision_ok AS decision, path_ok AS path, route_ok AS route FROM final_recs WHERE NOT (decision_ok AND coalesce(path_ok, true) AND coalesce(route_ok, true))",
 }

@@ -50,9 +50,10 @@ def vector_search(rows: DataFrame, queries: DataFrame, key: str, vector: str, li
     the smaller key; the score has 6 digits.
     """
     kind = rows.schema[key].dataType.simpleString()
-    extra = [within] if within else []
-    held = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v"), *extra)
-    asked = queries.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v"), *extra)
+    # Columns are named anew, as both sides may come from one table.
+    named = [F.col(c).alias(c) for c in ([key, within] if within else [key])]
+    held = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(*named, F.col(vector).cast("array<double>").alias("v"))
+    asked = queries.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(*named, F.col(vector).cast("array<double>").alias("v"))
     blocks, parts = max(1, -(-asked.count() // BLOCK)), max(1, -(-held.count() // ROWS))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     numbered = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, spread(m))
