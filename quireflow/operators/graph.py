@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quireflow.functions import text as T
-from quireflow.plans.workspace import written
+from quireflow.plans.workspace import remove, tidy, written
 from quireflow.sources.files import open_index, write_index
 
 META = ["doc_id", "brand", "model", "year", "region", "language", "manual_type"]
@@ -260,14 +260,19 @@ KIND = "graph"
 def write(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Writes a graph index: nodes with their terms, and steps, the adjacency with type and terms of where each leads.
     Repeated node ids are an error. Both are parted by ranges of manual and node, so a large manual takes several files."""
-    twice = nodes.groupBy("node_id").count().where("count > 1").first()
+    spark, posted = nodes.sparkSession, f"{path}/_made"
+    node_terms(nodes).write.parquet(posted)
+    termed = spark.read.parquet(posted)
+    twice = termed.groupBy("node_id").count().where("count > 1").first()
     if twice:
         raise ValueError(f"node {twice['node_id']} is indexed {twice['count']} times")
-    termed = node_terms(nodes)
+    tidy(spark)
     ends = termed.select(F.col("node_id").alias("other"), "doc_id", "node_type", "terms")
     steps = adjacency(edges).join(ends, ["doc_id", "other"])
     lay = lambda df, *by: df.repartitionByRange(*by).sortWithinPartitions(*by)
     write_index({"nodes": lay(termed, "doc_id", "node_id"), "steps": lay(steps, "doc_id", "node")}, path, KIND)
+    remove(spark, posted)
+    tidy(spark)
 
 
 def opened(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -290,10 +295,12 @@ def paths(entities: DataFrame, steps: DataFrame, limit: int = PATHS, beam: int =
 
     Each hop adds relation weight times confidence over hop + 0.5, a fifth of the new node's share of the question's
     terms, and 0.08 of its type's weight. All of a hop's paths count; only the ``beam`` best of an anchor go on. A path
-    repeats no node; found from several anchors, it keeps its best score. Ranks go by the score of 6 digits, then the path's id.
+    repeats no node, and begins at its anchor; an entity given twice counts with its best score. Ranks go by the score of 6 digits, then the path's id.
     """
     if hops not in (1, 2):
         raise ValueError("hops must be 1 or 2")
+    once = ["query_id", "doc_id", "wanted", "node_id"]
+    entities = entities.groupBy(*once).agg(F.max("score").alias("score"))
     front = entities.select("query_id", "doc_id", "wanted", F.col("node_id").alias("anchor"), F.col("node_id").alias("node"), F.array("node_id").alias("path"), F.array().cast("array<string>").alias("edges"), "score")
     found = None
     for hop in range(1, hops + 1):
@@ -306,10 +313,10 @@ def paths(entities: DataFrame, steps: DataFrame, limit: int = PATHS, beam: int =
         found = made if found is None else found.unionByName(made)
         order = Window.partitionBy("query_id", "anchor").orderBy(F.desc("score"), "node", F.array_join("edges", ">"))
         front = grown.withColumn("n", F.row_number().over(order)).where(F.col("n") <= beam).drop("n")
-    best = found.groupBy("query_id", "doc_id", "path", "edges", "hops").agg(F.round(F.max("score"), 6).alias("score"))
-    best = best.withColumn("path_id", graph_id("path", F.col("doc_id"), _raw(F.col("path")), _raw(F.col("edges"))))
+    # The best go before they are shuffled: a path begins at its anchor, so only entities given twice find it again.
+    held = found.withColumn("score", F.round("score", 6)).withColumn("path_id", graph_id("path", F.col("doc_id"), _raw(F.col("path")), _raw(F.col("edges"))))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "path_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return held.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
 #: Node types a path's content leaves out, and the most characters of it.

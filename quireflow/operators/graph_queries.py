@@ -9,7 +9,7 @@ from quireflow.functions import oracle as O
 from quireflow.functions import text as T
 from quireflow.operators import graph as G
 from quireflow.operators import retrieval_queries as R
-from quireflow.plans.workspace import checkpoint_root, fingerprint, kept
+from quireflow.plans.workspace import checkpoint_root, fingerprint, kept, tidy, written
 from quireflow.sources.tables import first_arrivals, table
 
 
@@ -69,15 +69,18 @@ def graph_index(spark: SparkSession, folder: str, root: str | None = None) -> tu
 
 
 def _entities(spark: SparkSession, folder: str) -> DataFrame:
-    return G.entity_scores(R.bm25_entities(spark, folder), graph_index(spark, folder)[0], R.questions(spark, folder))
+    """Written, as paths, records and answers all begin at them."""
+    found = written(G.entity_scores(R.bm25_entities(spark, folder), graph_index(spark, folder)[0], R.questions(spark, folder)), "entities")
+    tidy(spark)
+    return found
 
 
 def entity_scores(spark: SparkSession, folder: str) -> DataFrame:
     return _entities(spark, folder).select("query_id", "node_id", F.round("score", 6).alias("score"))
 
 
-def found_paths(spark: SparkSession, folder: str) -> DataFrame:
-    return G.paths(_entities(spark, folder), graph_index(spark, folder)[1])
+def found_paths(spark: SparkSession, folder: str, entities: DataFrame | None = None) -> DataFrame:
+    return G.paths(_entities(spark, folder) if entities is None else entities, graph_index(spark, folder)[1])
 
 
 def graph_paths(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,8 +100,9 @@ def path_records(spark: SparkSession, folder: str) -> DataFrame:
 
 def graph_answer(spark: SparkSession, folder: str) -> DataFrame:
     """Answered by the graph alone where the best path and the best entity score enough."""
-    top = graph_paths(spark, folder).where("rank = 1").select("query_id", F.col("score").alias("path_score"))
-    best = entity_scores(spark, folder).groupBy("query_id").agg(F.max("score").alias("entity_score"))
+    entities = _entities(spark, folder)
+    top = found_paths(spark, folder, entities).where("rank = 1").select("query_id", F.col("score").alias("path_score"))
+    best = entities.groupBy("query_id").agg(F.max(F.round("score", 6)).alias("entity_score"))
     df = R.questions(spark, folder).select("query_id").join(top, "query_id", "left").join(best, "query_id", "left")
     return df.withColumn("status", F.when((F.col("path_score") >= 1.2) & (F.col("entity_score") >= 0.45), "answered").otherwise("refused"))
 
