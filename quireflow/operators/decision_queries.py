@@ -196,7 +196,7 @@ def lsa_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 def lsa_search(spark: SparkSession, folder: str) -> DataFrame:
     """The nearest other chunks of each chunk."""
-    v = dense.lsa(dense.weights(_texts(spark, folder), "chunk_id", "t"), "chunk_id")
+    v = dense.lsa_of(_texts(spark, folder), "chunk_id", "t")
     return fusion.vector_search(v, v, "chunk_id", "vector", limit=5)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quireflow.functions import text as T
-from quireflow.plans.workspace import summed, written
+from quireflow.plans.workspace import release, summed, written, written_so_far
 
 # Features, dimensions, further directions of the random projection, its seed.
 FEATURES, DIMENSIONS, OVERSAMPLE, SEED = 2048, 128, 16, 2026
@@ -116,6 +116,14 @@ def _matrices(batch: pa.RecordBatch, features: int):
         yield out
 
 
+def lsa_of(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``lsa`` of texts; counts and weights go as soon as the vectors are written."""
+    mark = written_so_far()
+    vectors = lsa(weights(df, key, text), key)
+    release(mark, keep=1)
+    return vectors
+
+
 def lsa(weighed: DataFrame, key: str, features: int = FEATURES, dimensions: int = DIMENSIONS, oversample: int = OVERSAMPLE, seed: int = SEED) -> DataFrame:
     """key and vector (array<double>, length 1) of rows key, buckets, weights: each text in the leading right singular directions of all texts' weights.
 

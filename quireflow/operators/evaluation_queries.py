@@ -96,7 +96,7 @@ def lsa_recall(spark: SparkSession, folder: str) -> DataFrame:
     texts = R.chunks(spark, folder).select(F.concat(F.lit("c:"), "chunk_id").alias("id"), F.concat_ws("\n", "metadata", "section_text", "content").alias("t"), "doc_id")
     q = R.questions(spark, folder)
     both = texts.unionByName(q.select(F.concat(F.lit("q:"), "query_id").alias("id"), F.col("question").alias("t"), "doc_id"))
-    v = dense.lsa(dense.weights(both, "id", "t"), "id").join(both.select("id", "doc_id"), "id")
+    v = dense.lsa_of(both, "id", "t").join(both.select("id", "doc_id"), "id")
     hits = fusion.vector_search(v.where("id LIKE 'c:%'"), v.where("id LIKE 'q:%' AND doc_id <> ''"), "id", "vector", fusion.CANDIDATES, within="doc_id")
     dense_hits = hits.select(F.substring("query_id", 3, 1_000_000).alias("query_id"), F.substring("id", 3, 1_000_000).alias("chunk_id"), "rank")
     fused = fusion.reciprocal_rank_fusion(R.text_hits(spark, folder, fusion.CANDIDATES), dense_hits, "chunk_id", 10, ("text", "dense"))

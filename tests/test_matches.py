@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quireflow.operators import bm25, matches
+from quireflow.operators import bm25, fusion, matches
 
 
 def shuffled(spark, run):
@@ -61,3 +61,26 @@ def test_blocks_and_shares_change_nothing(spark, tmp_path, monkeypatch):
             for within in (None, "doc_id"):
                 q = asked if within else asked.drop("doc_id")
                 assert sorted(map(tuple, search(index, q, limit, within).collect())) == by_hand(index, q, limit, within)
+
+
+def test_vector_search_copies_no_vectors(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(fusion, "BLOCK", 16)
+    monkeypatch.setattr(fusion, "ROWS", 64)
+    rng = np.random.default_rng(3)
+    m = np.concatenate([rng.standard_normal((299, 8)), np.zeros((1, 8))])
+    m[7] = m[11] = m[5]  # ties go to the smaller key
+    df = spark.createDataFrame([(f"k{i:03}", f"g{i % 3}", m[i].tolist()) for i in range(300)], "id string, g string, v array<double>")
+    with np.errstate(invalid="ignore"):
+        u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    cosine = np.round(u @ u.T, 12)
+    for within in (None, "g"):
+        want = []
+        for i in range(299):
+            near = sorted((-cosine[i, j], f"k{j:03}") for j in range(299) if j != i and (within is None or i % 3 == j % 3))[:4]
+            want += [(f"k{i:03}", k, n) for n, (_, k) in enumerate(near, 1)]
+        found = []
+        rows = shuffled(spark, lambda: found.extend((r["query_id"], r["id"], r["rank"]) for r in fusion.vector_search(df, df, "id", "v", 4, within).collect()))
+        assert sorted(found) == sorted(want)
+        assert rows < 2_500  # results and each vector once; blocks and parts of this size would copy it 24 times
