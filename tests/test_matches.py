@@ -84,3 +84,16 @@ def test_vector_search_copies_no_vectors(spark, monkeypatch):
         rows = shuffled(spark, lambda: found.extend((r["query_id"], r["id"], r["rank"]) for r in fusion.vector_search(df, df, "id", "v", 4, within).collect()))
         assert sorted(found) == sorted(want)
         assert rows < 2_500  # results and each vector once; blocks and parts of this size would copy it 24 times
+
+
+def test_index_shuffles_no_postings(spark, tmp_path):
+    """Postings stay in the task that made them, and keys many rows repeat are kept once a file."""
+    rand = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(f"a_long_manual:chunk:text:{rand.getrandbits(64):016x}", " ".join(rand.choices(words, k=30)), "", "") for _ in range(4_000)]
+    docs = spark.createDataFrame(rows, "k string, content string, section_text string, metadata string").repartition(2, "k")
+    path = tmp_path / "i"
+    assert shuffled(spark, lambda: bm25.write(docs, "k", bm25.TEXT_WEIGHTS, str(path))) < 20_000  # postings: 114,000
+    posted = bm25.opened(spark, str(path)).postings
+    assert sum(f.stat().st_size for f in (path / "postings").glob("*.parquet")) < 10 * posted.count()  # keys alone have 39 bytes
+    assert posted.columns == ["k", "length", "term", "tf", "part"]
