@@ -142,3 +142,10 @@ def test_sources(spark, tmp_path):
     assert files.relative_paths({"a": ["/r/b", "/x"], "c": 1}, "/r/") == {"a": ["b", "/x"], "c": 1}
     df = spark.createDataFrame([(2, "b"), (1, None)], "k int, v string")
     assert files.payload_digest(df, ["k"]) == files.payload_digest(df.repartition(2), ["k"]) != files.payload_digest(df.limit(1), ["k"])
+
+
+def test_rank_audit_fuses_held_ranks(spark):
+    from quireflow.operators import ingest_queries as I
+
+    plan = I.rank_audit(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroups" not in plan and "MapInArrow" not in plan

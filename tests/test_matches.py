@@ -97,3 +97,16 @@ def test_index_shuffles_no_postings(spark, tmp_path):
     posted = bm25.opened(spark, str(path)).postings
     assert sum(f.stat().st_size for f in (path / "postings").glob("*.parquet")) < 10 * posted.count()  # keys alone have 39 bytes
     assert posted.columns == ["k", "length", "term", "tf", "part"]
+
+
+def test_turns_change_nothing(spark, monkeypatch):
+    from quireflow.plans import workspace
+
+    folder = "/root/testdata/sf0.001"
+    from quireflow.operators import graph_queries, retrieval_queries
+
+    rows = lambda q: sorted(map(str, q(spark, folder).collect()))
+    queries = (graph_queries.graph_paths, retrieval_queries.rrf_hybrid)
+    once = [rows(q) for q in queries]
+    monkeypatch.setattr(workspace, "MANY_ROWS", 1)
+    assert [rows(q) for q in queries] == once
