@@ -25,17 +25,17 @@ def evidence_packs(hits: DataFrame, chunks: DataFrame, questions: DataFrame, max
     """The best pieces of evidence of each question, reranked, one a chunk, with citation ids from 1.
 
     hits: query_id, chunk_id, score, rank; chunks and questions with their columns. Terms are taken once a chunk and once
-    a question, before they meet. Coverage of a question without terms is 0; equal rerank scores keep the retrieval order.
+    a question, before they meet, and where the chunk lies: what goes on to be ranked are numbers, and only the pieces kept get
+    their texts. Coverage of a question without terms is 0; equal rerank scores keep the retrieval order.
     """
     section = T.section_text(F.col("section_path"))
     termed = chunks.select(
-        "chunk_id", "brand", "model", "year", "section_path", "page_nos", "chunk_type", "element_ids",
-        T.answer_terms(F.concat_ws("\n", section, F.col("content"))).alias("_had"), T.answer_terms(section).alias("_had_section"),
+        "chunk_id", T.answer_terms(F.concat_ws("\n", section, F.col("content"))).alias("_had"), T.answer_terms(section).alias("_had_section"),
         T.supports_procedure(F.col("chunk_type"), F.col("section_path"), F.col("content")).alias("procedure_support"),
-        T.compact(F.col("content"), CONTENT_LIMIT, "…", collapse=False).alias("content"),
     )
+    texts = chunks.select("chunk_id", "brand", "model", "year", "section_path", "page_nos", "chunk_type", "element_ids", T.compact(F.col("content"), CONTENT_LIMIT, "…", collapse=False).alias("content"))
     asked = questions.select("query_id", T.answer_terms(F.col("question")).alias("_wanted"), T.is_procedural(F.col("question")).alias("_procedural"))
-    df = hits.select("query_id", "chunk_id", "score", "rank").join(termed, "chunk_id").join(asked, "query_id")
+    df = hits.select("query_id", "chunk_id", "score", "rank").join(asked, "query_id").join(termed, "chunk_id")
     df = df.withColumn("_cover", T.coverage(F.col("_wanted"), F.col("_had")))
     bonus = F.when(F.col("_procedural") & F.col("procedure_support"), BONUS_PROCEDURE).otherwise(0.0)
     raw = F.least(W_SCORE * F.least(F.col("score") / score_scale, F.lit(1.0)) + W_CONTENT * F.col("_cover") + W_SECTION * T.coverage(F.col("_wanted"), F.col("_had_section")) + bonus, F.lit(1.0))
@@ -44,7 +44,8 @@ def evidence_packs(hits: DataFrame, chunks: DataFrame, questions: DataFrame, max
     once = df.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy(*order))).where("_n = 1")
     ranked = once.withColumn("citation_id", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("citation_id") <= max_evidence)
     return (
-        ranked.withColumn("rerank_score", F.round("_raw", 6))
+        ranked.join(texts, "chunk_id")
+        .withColumn("rerank_score", F.round("_raw", 6))
         .withColumn("query_term_coverage", F.round("_cover", 6))
         .withColumn("source", T.source_label(F.col("section_path"), F.col("page_nos")))
         .withColumnRenamed("rank", "retrieval_rank")

@@ -268,10 +268,17 @@ def write(nodes: DataFrame, edges: DataFrame, path: str) -> None:
         raise ValueError(f"node {twice['node_id']} is indexed {twice['count']} times")
     tidy(spark)
     ends = termed.select(F.col("node_id").alias("other"), "doc_id", "node_type", "terms")
-    steps = adjacency(edges).join(ends, ["doc_id", "other"])
+    adjacency(edges).write.parquet(f"{path}/_near")
+    tidy(spark)
     lay = lambda df, *by: df.repartitionByRange(*by).sortWithinPartitions(*by)
-    write_index({"nodes": lay(termed, "doc_id", "node_id"), "steps": lay(steps, "doc_id", "node")}, path, KIND)
-    remove(spark, posted)
+
+    def steps() -> DataFrame:
+        tidy(spark)
+        return lay(spark.read.parquet(f"{path}/_near").join(ends, ["doc_id", "other"]), "doc_id", "node")
+
+    write_index({"nodes": lay(termed, "doc_id", "node_id"), "steps": steps}, path, KIND)
+    for made in (posted, f"{path}/_near"):
+        remove(spark, made)
     tidy(spark)
 
 
@@ -284,7 +291,7 @@ def opened(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def entity_scores(hits: DataFrame, nodes: DataFrame, questions: DataFrame) -> DataFrame:
     """query_id, node_id, doc_id, wanted, score of each entity hit (query_id, node_id, score); nodes with their terms."""
     wanted = questions.select("query_id", T.plain_terms(F.col("question"), T.GRAPH_STOPWORDS, T.JOINED_TOKEN).alias("wanted"))
-    df = hits.select("query_id", "node_id", F.col("score").alias("raw")).join(nodes.select("node_id", "doc_id", "node_type", "terms"), "node_id").join(wanted, "query_id")
+    df = hits.select("query_id", "node_id", F.col("score").alias("raw")).join(wanted, "query_id").join(nodes.select("node_id", "doc_id", "node_type", "terms"), "node_id")
     score = 0.48 * F.least(F.col("raw") / SCORE_SCALE, F.lit(1.0)) + 0.37 * T.coverage(F.col("wanted"), F.col("terms")) + 0.15 * _weight(NODE_WEIGHTS, "node_type")
     return df.select("query_id", "node_id", "doc_id", "wanted", F.round(score, 9).alias("score"))
 
@@ -307,12 +314,13 @@ def paths(entities: DataFrame, steps: DataFrame, limit: int = PATHS, beam: int =
         gain = _weight(RELATION_WEIGHTS, "edge_type") * F.col("confidence") / (hop + 0.5) + 0.20 * T.coverage(F.col("wanted"), F.col("terms")) + 0.08 * _weight(NODE_WEIGHTS, "node_type")
         grown = front.join(steps, ["doc_id", "node"]).where(~F.array_contains("path", F.col("other")))
         grown = grown.select(
-            "query_id", "doc_id", "wanted", "anchor", F.col("other").alias("node"), F.concat("path", F.array("other")).alias("path"), F.concat("edges", F.array("edge_id")).alias("edges"), F.round(F.col("score") + gain, 9).alias("score")
+            "query_id", "doc_id", "wanted", "anchor", F.col("node").alias("left"), F.col("other").alias("node"), F.concat("path", F.array("other")).alias("path"), F.concat("edges", F.array("edge_id")).alias("edges"), F.round(F.col("score") + gain, 9).alias("score")
         )
         made = grown.select("query_id", "doc_id", "path", "edges", F.lit(hop).alias("hops"), "score")
         found = made if found is None else found.unionByName(made)
-        order = Window.partitionBy("query_id", "anchor").orderBy(F.desc("score"), "node", F.array_join("edges", ">"))
-        front = grown.withColumn("n", F.row_number().over(order)).where(F.col("n") <= beam).drop("n")
+        # The first hop leaves from anchors, so the join has put an anchor's rows together.
+        order = Window.partitionBy("query_id", *(["doc_id", "left"] if hop == 1 else ["anchor"])).orderBy(F.desc("score"), "node", F.array_join("edges", ">"))
+        front = grown.withColumn("n", F.row_number().over(order)).where(F.col("n") <= beam).drop("n", "left")
     # The best go before they are shuffled: a path begins at its anchor, so only entities given twice find it again.
     held = found.withColumn("score", F.round("score", 6)).withColumn("path_id", graph_id("path", F.col("doc_id"), _raw(F.col("path")), _raw(F.col("edges"))))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "path_id")
@@ -323,12 +331,14 @@ def paths(entities: DataFrame, steps: DataFrame, limit: int = PATHS, beam: int =
 NOT_QUOTED, PATH_CONTENT = ("Vehicle", "EvidencePage"), 1800
 
 
-def path_records(found: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def path_records(found: DataFrame, nodes: DataFrame, edges: DataFrame, content: bool = True) -> DataFrame:
     """``paths`` with what a citation needs: the anchor's manual, page_nos (distinct, ascending), section_path (the longest,
     the first of equals), node_types, node_labels, relations (in order), evidence_ids (first seen first), content, source.
 
-    Nodes are joined once for all places of all paths, which ``paths`` has cut to a few a question.
+    Nodes are joined once for all places of all paths, which ``paths`` has cut to a few a question. Without ``content`` their texts
+    stay where they are.
     """
+    nodes = nodes if content else nodes.withColumn("text", F.lit(""))
     keys = ["query_id", "path_id"]
     at = found.select(*keys, F.posexplode("path").alias("at", "node_id"))
     held = at.join(nodes.select("node_id", *META[1:], "node_type", "label", "text", "page_no", "section_path", "evidence_ids"), "node_id")
@@ -345,4 +355,5 @@ def path_records(found: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFr
     steps = found.select(*keys, F.posexplode("edges").alias("at", "edge_id")).join(edges.select("edge_id", "edge_type"), "edge_id")
     relations = steps.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "edge_type"))), lambda x: x["edge_type"]).alias("relations"))
     out = found.join(made, keys).join(relations, keys)
+    out = out if content else out.drop("content")
     return out.withColumn("source", T.graph_source_label(F.col("section_path"), F.col("page_nos")))

@@ -9,7 +9,7 @@ from quireflow.functions import oracle as O
 from quireflow.functions import text as T
 from quireflow.operators import graph as G
 from quireflow.operators import retrieval_queries as R
-from quireflow.plans.workspace import checkpoint_root, fingerprint, kept, tidy, written
+from quireflow.plans.workspace import checkpoint_root, fingerprint, in_turns, kept, tidy, written
 from quireflow.sources.tables import first_arrivals, table
 
 
@@ -80,15 +80,17 @@ def entity_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def found_paths(spark: SparkSession, folder: str, entities: DataFrame | None = None) -> DataFrame:
-    return G.paths(_entities(spark, folder) if entities is None else entities, graph_index(spark, folder)[1])
+    """Paths written once for all that reads them. A path stays in its manual, so manuals are searched in turns."""
+    entities, steps = _entities(spark, folder) if entities is None else entities, graph_index(spark, folder)[1]
+    return in_turns([entities, steps], "doc_id", G.paths, "paths")
 
 
 def graph_paths(spark: SparkSession, folder: str) -> DataFrame:
     return found_paths(spark, folder).select("query_id", "path_id", F.array_join("path", ">").alias("path"), F.array_join("edges", ">").alias("edges"), "hops", "score", "rank")
 
 
-def records(spark: SparkSession, folder: str) -> DataFrame:
-    return G.path_records(found_paths(spark, folder), graph_index(spark, folder)[0], _edges(spark, folder))
+def records(spark: SparkSession, folder: str, found: DataFrame | None = None, content: bool = True) -> DataFrame:
+    return G.path_records(found_paths(spark, folder) if found is None else found, graph_index(spark, folder)[0], _edges(spark, folder), content)
 
 
 def path_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,10 +100,10 @@ def path_records(spark: SparkSession, folder: str) -> DataFrame:
     return r.select("query_id", "rank", "path_id", "doc_id", joined("page_nos"), joined("section_path", " > "), joined("node_types"), joined("node_labels", "|"), joined("relations"), joined("evidence_ids"), "content", "source")
 
 
-def graph_answer(spark: SparkSession, folder: str) -> DataFrame:
+def graph_answer(spark: SparkSession, folder: str, entities: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
     """Answered by the graph alone where the best path and the best entity score enough."""
-    entities = _entities(spark, folder)
-    top = found_paths(spark, folder, entities).where("rank = 1").select("query_id", F.col("score").alias("path_score"))
+    entities = _entities(spark, folder) if entities is None else entities
+    top = (found_paths(spark, folder, entities) if found is None else found).where("rank = 1").select("query_id", F.col("score").alias("path_score"))
     best = entities.groupBy("query_id").agg(F.max(F.round("score", 6)).alias("entity_score"))
     df = R.questions(spark, folder).select("query_id").join(top, "query_id", "left").join(best, "query_id", "left")
     return df.withColumn("status", F.when((F.col("path_score") >= 1.2) & (F.col("entity_score") >= 0.45), "answered").otherwise("refused"))
