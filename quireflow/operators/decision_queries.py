@@ -89,7 +89,7 @@ def evidence_merge(spark: SparkSession, folder: str) -> DataFrame:
 
 def metadata_violations(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of evidence whose manual's fields differ from what was asked for, by source."""
-    return E.violations(common_evidence(spark, folder), "source")
+    return E.violations(common_evidence(spark, folder, details=False), "source")
 
 
 def _support(spark: SparkSession, folder: str, evidence: DataFrame) -> DataFrame:
