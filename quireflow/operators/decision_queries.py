@@ -115,8 +115,9 @@ def critic_decision(spark: SparkSession, folder: str) -> DataFrame:
 
 def guard_check(spark: SparkSession, folder: str) -> DataFrame:
     """Citations valid, and no cited piece of another manual."""
-    done = A.answers(R.questions(spark, folder), R._packs(spark, folder))
-    foreign = common_evidence(spark, folder).where("source = 'text'").groupBy("query_id").agg(F.count_if("is_foreign").alias("foreign"))
+    packs = R.held_packs(spark, folder)
+    done = A.answers(R.questions(spark, folder), packs)
+    foreign = common_evidence(spark, folder, details=False, packs=packs, sources=("text",)).groupBy("query_id").agg(F.count_if("is_foreign").alias("foreign"))
     return G.guard(done.join(foreign, "query_id", "left").withColumn("foreign", F.coalesce("foreign", F.lit(0)))).select("query_id", "status", F.col("foreign").alias("n_foreign"), "passed")
 
 
