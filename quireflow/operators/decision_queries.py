@@ -92,17 +92,19 @@ def metadata_violations(spark: SparkSession, folder: str) -> DataFrame:
     return E.violations(common_evidence(spark, folder, details=False), "source")
 
 
-def _support(spark: SparkSession, folder: str, evidence: DataFrame) -> DataFrame:
+def _support(spark: SparkSession, folder: str, evidence: DataFrame, packs: DataFrame) -> DataFrame:
     e = evidence.groupBy("query_id").agg(F.max(F.when((F.col("source") == "graph") & (F.col("rank") == 1), F.col("score"))).alias("graph_score"), (F.count_if(F.col("source") == "visual") > 0).alias("visual_ok"), F.count_if("is_foreign").cast("int").alias("violations"))
-    text = R.answer_decision(spark, folder).select("query_id", (F.col("status") == "answered").alias("text_ok"))
-    rows = I.table_answer(spark, folder).select("query_id", (F.col("status") == "answered").alias("table_ok"))
+    text = R.answer_decision(spark, folder, packs).select("query_id", (F.col("status") == "answered").alias("text_ok"))
+    rows = R.held(I.table_answer(spark, folder).select("query_id", (F.col("status") == "answered").alias("table_ok")), "rows")
     df = text.join(rows, "query_id", "left").join(e, "query_id", "left")
     return df.withColumn("visual_ok", F.coalesce("visual_ok", F.lit(False))).withColumn("violations", F.coalesce("violations", F.lit(0)))
 
 
-def critic_decisions(spark: SparkSession, folder: str, evidence: DataFrame | None = None) -> DataFrame:
+def critic_decisions(spark: SparkSession, folder: str, evidence: DataFrame | None = None, packs: DataFrame | None = None) -> DataFrame:
     """The critic's decision on the first plan, and on the broadened one for questions that were to be planned anew."""
-    support = written(_support(spark, folder, common_evidence(spark, folder) if evidence is None else evidence), "support")
+    packs = R.held_packs(spark, folder) if packs is None else packs
+    evidence = common_evidence(spark, folder, details=False, packs=packs) if evidence is None else evidence
+    support = R.held(_support(spark, folder, evidence, packs), "support")
     plan = lambda broaden: planned(spark, folder, broaden).select("query_id", "use_graph", "use_visual")
     first = G.critic(support.join(plan(False), "query_id").withColumn("attempt", F.lit(1)))
     second = G.critic(support.join(plan(True), "query_id").withColumn("attempt", F.lit(2))).select("query_id", F.col("decision").alias("again"))
