@@ -132,8 +132,8 @@ def path_accuracy(spark: SparkSession, folder: str) -> DataFrame:
 GOLD_PATHS = {0: (["Procedure"], ["EXPLAINED_BY"], True), 2: (["Warning"], ["HAS_WARNING"], False), 3: (["Section", "Image"], ["ILLUSTRATED_BY"], False), 5: (["Symbol"], ["SYMBOL_MEANS"], False)}
 
 
-def path_checks(spark: SparkSession, folder: str) -> DataFrame:
-    held = Q.records(spark, folder).groupBy("query_id").agg(F.collect_list(F.struct("node_types", "relations", "page_nos")).alias("paths"))
+def path_checks(spark: SparkSession, folder: str, found: DataFrame | None = None) -> DataFrame:
+    held = Q.records(spark, folder, found, content=False).groupBy("query_id").agg(F.collect_list(F.struct("node_types", "relations", "page_nos")).alias("paths"))
     q = R.questions(spark, folder).select("query_id", "template", "page_no").join(held, "query_id", "left")
     none = F.array().cast("array<string>")
     types, relations, paged = none, none, F.lit(False)
@@ -161,22 +161,24 @@ def route_accuracy(spark: SparkSession, folder: str) -> DataFrame:
 
 def system_records(spark: SparkSession, folder: str) -> DataFrame:
     """One record a question and system: text answers alone, the graph alone, and both under planner, critic and merge."""
-    evidence = written(common_evidence(spark, folder), "evidence")
+    packs, entities = R.held_packs(spark, folder), Q._entities(spark, folder)
+    found = Q.found_paths(spark, folder, entities)
+    evidence = common_evidence(spark, folder, packs=packs, found=found)
     merged = G.merge_evidence(evidence)
-    decided = critic_decisions(spark, folder, evidence).select("query_id", (F.col("final") == "accept").alias("accepted"), (F.col("decision") == "replan").cast("int").alias("retries"))
+    decided = critic_decisions(spark, folder, evidence, packs).select("query_id", (F.col("final") == "accept").alias("accepted"), (F.col("decision") == "replan").cast("int").alias("retries"))
     q = R.questions(spark, folder).select("query_id", "gold", "page_no", (F.size("gold") > 0).alias("answerable"))
-    checks = path_checks(spark, folder).select("query_id", "path_ok").join(route_checks(spark, folder).select("query_id", "route_ok", "graph_expected"), "query_id")
+    checks = R.held(path_checks(spark, folder, found).select("query_id", "path_ok").join(route_checks(spark, folder).select("query_id", "route_ok", "graph_expected"), "query_id"), "checks")
     parts = []
     for name, pieces in (("text", evidence.where("source = 'text'")), ("graph", evidence.where("source = 'graph'")), ("agentic", merged)):
         held = pieces.groupBy("query_id").agg(F.flatten(F.collect_list("element_ids")).alias("ids"), F.flatten(F.collect_list("page_nos")).alias("pages"), F.count_if("is_foreign").alias("violations"), F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("content") == "", 1).otherwise(0)).alias("empty"))
         status = {
-            "text": R.answer_decision(spark, folder).select("query_id", "status"),
-            "graph": Q.graph_answer(spark, folder).select("query_id", "status"),
+            "text": R.answer_decision(spark, folder, packs).select("query_id", "status"),
+            "graph": Q.graph_answer(spark, folder, entities, found).select("query_id", "status"),
             "agentic": decided.select("query_id", F.when(F.col("accepted"), "answered").otherwise("refused").alias("status"), "retries"),
         }[name]
         df = q.join(status, "query_id").join(held, "query_id", "left").join(checks, "query_id")
         pages = F.transform("gold", lambda _: F.col("page_no"))
-        parts.append(
+        one = (
             df.select(
                 F.lit(name).alias("system"), "query_id", "answerable", "status", E.evidence_hits(F.col("gold"), pages, F.coalesce("ids", F.array().cast("array<string>")), F.coalesce("pages", F.array().cast("array<int>"))).alias("evidence_hits"),
                 F.size("gold").alias("evidence_total"), (F.lit(None).cast("boolean") if name == "text" else F.when(F.col("graph_expected") | F.lit(name == "graph"), F.col("path_ok"))).alias("path_ok"),
@@ -184,6 +186,7 @@ def system_records(spark: SparkSession, folder: str) -> DataFrame:
                 F.coalesce("violations", F.lit(0)).alias("violations"), (F.col("retries") if name == "agentic" else F.lit(0)).alias("retries"),
             )
         )
+        parts.append(R.held(one, "system"))
     return E.records(I.I.union_all(parts))
 
 

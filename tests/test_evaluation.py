@@ -144,6 +144,27 @@ def test_sources(spark, tmp_path):
     assert files.payload_digest(df, ["k"]) == files.payload_digest(df.repartition(2), ["k"]) != files.payload_digest(df.limit(1), ["k"])
 
 
+def test_evidence_leaves_no_shuffles(spark, monkeypatch):
+    """Each source is written by itself and read once; what does not ask for a source or for texts does not find them."""
+    from quireflow.operators import decision_queries as D
+    from quireflow.operators import retrieval_queries as R
+
+    folder, names = "/root/testdata/sf0.001", []
+    held = R.held
+    monkeypatch.setattr(R, "held", lambda df, name: (names.append((name, df.columns)), held(df, name))[1])
+    for q, sources in ((D.evidence_merge, 4), (D.metadata_violations, 4), (D.critic_decision, 4), (D.guard_check, 1)):
+        names.clear()
+        made = q(spark, folder)
+        evidence = [c for n, c in names if n == "evidence"]
+        assert len(evidence) == sources and not any("content" in c for c in evidence)
+        assert [n for n, _ in names].count("packs") <= 1
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "chunks.parquet" not in plan and "graph_edges.parquet" not in plan
+    names.clear()
+    D.system_comparison(spark, folder)
+    assert [n for n, _ in names].count("packs") == 1 and [n for n, _ in names].count("evidence") == 4
+
+
 def test_rank_audit_fuses_held_ranks(spark):
     from quireflow.operators import ingest_queries as I
 
